@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, packing, token_table, warc
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,17 +18,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import packing
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(_table(spark, sf_dir, "pages"))
 
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, window=4096)
 
 
-def op6_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import token_table
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(rows.unionByName(chat.adversarial(spark)))
+
 
+def op6_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table.digest(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op6_token_table)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_warc, op4_packing, op5_chat, op6_token_table)}
+ORACLE_SQL = {"op5_chat": chat.SQL}

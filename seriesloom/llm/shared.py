@@ -56,7 +56,7 @@ class Store:
     def create(self, name: str):
         path = f"{self.root}/{name}"
         self.fs.create_dir(path.rpartition("/")[0], recursive=True)
-        return self.fs.open_output_stream(path)
+        return self.fs.open_output_stream(path, compression=None)  # names may end in .gz
 
     def open(self, name: str):
         return self.fs.open_input_file(f"{self.root}/{name}")

@@ -18,7 +18,7 @@ import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 #: White space on which all agree is \t \n \v \f \r and blank; a text with any other candidate takes the slow way.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]|<\\|")
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\\|")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A run of letters that white space, ASCII punctuation, a digit or the end follows is a piece of its own in both.
 _RUN = f"[{_LETTERS}]++(?=[\t-\r -@\\[-`{{-~]|$)"
