@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, token_table, warc
+from . import chat, decontam, packing, quality, token_table, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,5 +35,13 @@ def op6_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table.digest(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_packing, op5_chat, op6_token_table)}
-ORACLE_SQL = {"op5_chat": chat.SQL}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc, op4_packing, op5_chat, op6_token_table, op9_decontamination, op10_quality)}
+ORACLE_SQL = {"op5_chat": chat.SQL, "op9_decontamination": decontam.SQL}
