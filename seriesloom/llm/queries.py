@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, packing, quality, token_table, warc
+from . import chat, decontam, packing, quality, secrets, token_table, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(_table(spark, sf_dir, "pages"))
 
@@ -43,5 +47,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_packing, op5_chat, op6_token_table, op9_decontamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_warc, op4_packing, op5_chat, op6_token_table, op9_decontamination, op10_quality)}
 ORACLE_SQL = {"op5_chat": chat.SQL, "op9_decontamination": decontam.SQL}
