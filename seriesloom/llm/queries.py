@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, neardup, packing, quality, secrets, token_table, warc
+from . import chat, decontam, neardup, packing, quality, secrets, token_table, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table.digest(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_warc, op4_packing, op5_chat, op6_token_table, op8_minhash, op9_decontamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_warc, op4_packing, op5_chat, op6_token_table, op7_toxicity, op8_minhash, op9_decontamination, op10_quality)}
 ORACLE_SQL = {"op5_chat": chat.SQL, "op8_minhash": neardup.SQL, "op9_decontamination": decontam.SQL}

@@ -15,6 +15,9 @@ _U = np.uint64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
+#: Also all ASCII signs, for words without punctuation.
+SIGNS = np.zeros(256, bool)
+SIGNS[[*range(48), *range(58, 97), *range(123, 128)]] = True
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
@@ -36,12 +39,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def _batch(texts: list[str | None], size: int) -> list[np.ndarray]:
+def _batch(texts: list[str | None], size: int, table: np.ndarray) -> list[np.ndarray]:
     raw = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
     joined = b" " + b" ".join(raw) + b" "
     b = np.frombuffer(joined, np.uint8)
     ends_of = 1 + np.cumsum([len(r) + 1 for r in raw])  # a text's end in `joined`
-    blank = _BLANK[b]
+    blank = table[b]
     turn = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     begin, end = turn[::2], turn[1::2]
     up, down = _power_tables(len(b) + 1)
@@ -67,14 +70,15 @@ def _batch(texts: list[str | None], size: int) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(texts: list[str | None], size: int = 5, chars: int = 1_000_000) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; fewer words than ``size`` are one shingle, no words none."""
+def shingle_sets(texts: list[str | None], size: int = 5, chars: int = 1_000_000, blanks: np.ndarray = _BLANK) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; fewer words than ``size`` are one shingle, no words none. ``blanks`` says
+    which bytes part words."""
     held, n = [], 0
     for t in texts:
         held.append(t)
         n += len(t or "")
         if n >= chars:
-            yield from _batch(held, size)
+            yield from _batch(held, size, blanks)
             held, n = [], 0
     if held:
-        yield from _batch(held, size)
+        yield from _batch(held, size, blanks)
