@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, neardup, packing, quality, secrets, token_table, toxicity, warc
+from . import chat, decontam, licenses, neardup, packing, quality, secrets, token_table, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(_table(spark, sf_dir, "pages"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, window=4096)
 
@@ -55,5 +59,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_warc, op4_packing, op5_chat, op6_token_table, op7_toxicity, op8_minhash, op9_decontamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_warc, op3_licenses, op4_packing, op5_chat, op6_token_table, op7_toxicity, op8_minhash, op9_decontamination, op10_quality)}
 ORACLE_SQL = {"op5_chat": chat.SQL, "op8_minhash": neardup.SQL, "op9_decontamination": decontam.SQL}
