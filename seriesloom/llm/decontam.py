@@ -127,8 +127,8 @@ def proximity(postings: DataFrame, phrase: list[str], span: int) -> DataFrame:
     return whole.select("doc_id", "h", F.col("pos").alias("begin"), end.alias("end"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, spare: int = 3) -> DataFrame:
-    """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (hit words are a twentieth or more)."""
+def judge(docs: DataFrame, benchmark: DataFrame, n: int = 13, spare: int = 3) -> DataFrame:
+    """A row per document: doc_id, h, n_words, n_hit, n_items, items_sha256, contaminated (hit words are a twentieth or more)."""
     items = items_of(benchmark, n)
     hits = matches(docs, items, spare)
     spread = F.flatten(F.transform("begins", lambda b: F.sequence(b, b + F.col("w") - 1)))
@@ -138,7 +138,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, spare: int
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     all_ = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
-    return all_.select("doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return all_.select("doc_id", "h", "n_words", n_hit.cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
+    """:func:`judge` without the texts' hashes."""
+    return judge(docs, benchmark, n).drop("h")
 
 
 #: DuckDB: every document window of every window length against every item window.

@@ -172,8 +172,8 @@ def links(members: DataFrame, k: int, size: int, percent: int) -> DataFrame:
     return cells.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a binary, b binary")
 
 
-def groups(docs: DataFrame, percent: int = 85, size: int = 5, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id, kept."""
+def assign(docs: DataFrame, percent: int = 85, size: int = 5, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: doc_id, h (hash of the text), n_shingles, component_id, kept."""
     rows = cut(sketches(docs, k, size, id_col, text_col), "sketches")
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("member"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("node", F.xxhash64("fp")), "classes")
@@ -187,12 +187,17 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 5, k: int = 64, id_co
     found = linked.join(own, F.col("node") == F.col("fp")).select("root", "fp", "least")
     named = cut(found.groupBy("root").agg(F.min("least").alias("component_id")).join(found, "root").select("fp", "component_id"), "named")
     class_ids = own.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "fp").join(class_ids, "fp", "left")
+    out = rows.select("doc_id", "h", "n_shingles", "fp").join(class_ids, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "h", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def groups(docs: DataFrame, **parameters) -> DataFrame:
+    """:func:`assign` without the texts' hashes."""
+    return assign(docs, **parameters).drop("h")
+
+
 #: DuckDB: all pairs that share a shingle, and the closure of the links.
 SQL = r"""
 with recursive words as (
