@@ -37,10 +37,10 @@ def z_normalise(v: Column) -> Column:
     """Zero mean, unit sample deviation; null for a constant series, which has none."""
 
     def scaled(v: Column) -> Column:
-        mean = total(v) / F.size(v)
+        mean = F.try_divide(total(v), F.size(v))
 
         def by(m: Column) -> Column:
-            deviation = F.sqrt(total(F.transform(v, lambda x: (x - m) * (x - m))) / (F.size(v) - 1))
+            deviation = F.sqrt(F.try_divide(total(F.transform(v, lambda x: (x - m) * (x - m))), F.size(v) - 1))
             return F.transform(F.array(deviation), lambda s: F.when(s > 0, F.transform(v, lambda x: (x - m) / s)))[0]
 
         return F.transform(F.array(mean), by)[0]  # a lambda's argument is computed once
@@ -114,7 +114,7 @@ def in_nodes(w: Column, nodes: list[str]) -> Column:
 def word_symbols(w: Column, cfg: IndexConfig) -> Column:
     """Symbols of a word (of any number of levels), for any number of segments."""
     n, d = cfg.word_length, cfg.digits
-    levels = F.transform(F.sequence(F.lit(0), F.length(w) / d - 1), lambda i: F.conv(F.substring(w, (i * d + 1).cast("int"), F.lit(d)), 16, 10).cast("long"))
+    levels = F.transform(F.sequence(F.lit(0), (F.length(w) / d).cast("int") - 1), lambda i: F.conv(F.substring(w, (i * d + 1).cast("int"), F.lit(d)), 16, 10).cast("long"))
 
     def symbol(j: int) -> Column:
         return F.aggregate(levels, F.lit(0), lambda a, x: (a * 2 + F.shiftright(x, n - 1 - j).bitwiseAND(F.lit(1)).cast("int")).cast("int"))

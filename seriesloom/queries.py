@@ -138,10 +138,10 @@ def t2_z_normalise(spark, sf_dir):
     return series(spark, sf_dir).select("series_id", F.size(v).alias("n"), r6(v[0]).alias("first"), r6(v[63]).alias("last"), r6(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)).alias("squares"))
 
 
-@query(f"{Z} select series_id, pos::int as pos, round(sum(x) over (partition by series_id order by pos), 6) as s from (select series_id, unnest(v) as x, unnest(range(1, 65)) as pos from z) qualify pos % 16 = 0")
+@query(f"{Z} select series_id, pos::int as pos, round(sum(x) over (partition by series_id order by pos), 6) + 0.0 as s from (select series_id, unnest(v) as x, unnest(range(1, 65)) as pos from z) qualify pos % 16 = 0")
 def t1_running_sum(spark, sf_dir):
     rows = series(spark, sf_dir).select("series_id", F.posexplode(rep.running_sum(F.col("values"))).alias("pos", "s"))
-    return rows.select("series_id", (F.col("pos") + 1).alias("pos"), r6("s").alias("s")).where("pos % 16 = 0")
+    return rows.select("series_id", (F.col("pos") + 1).alias("pos"), (r6("s") + 0.0).alias("s")).where("pos % 16 = 0")
 
 
 @query(f"{Z} select series_id, unnest(range(0, 8))::int as segment, round(unnest({sql_paa('v', WIDE)}), 6) as mean from z")
@@ -226,6 +226,21 @@ def d3_node_bounds(spark, sf_dir):
     return both.select("qid", "series_id", "level", r6(distance.node_bound(node, F.col("p"), F.col("p"), WIDE)).alias("bound"))
 
 
+def _interval_bound_sql(level: int) -> str:
+    edges = sql_list([-1e300, *breakpoints(1 << level), 1e300])
+    shift = WIDE.bits - level
+    gap = f"list_transform(range(1, 9), lambda j: power(greatest(({edges})[(n.y[j] >> {shift}) + 1] - bm.up[j], bm.lo[j] - ({edges})[(n.y[j] >> {shift}) + 2], 0), 2) * 8)"
+    return f"select bm.qid, n.series_id, {level} as level, round(sqrt(list_sum({gap})), 6) as bound from bm join y n on n.series_id = bm.qid + 1"
+
+
+@query(f"{sql_words(WIDE)}, {BANDS}, bm as (select qid, {sql_paa('lo', WIDE)} as lo, {sql_paa('up', WIDE)} as up from b) " + " union all ".join(_interval_bound_sql(x) for x in (2, 4, 6)))
+def d4_interval_node_bounds(spark, sf_dir):
+    b = bands(spark, sf_dir).select((F.col("qid") + 1).alias("series_id"), "qid", rep.paa_interval(F.col("lower"), F.col("upper"), WIDE).alias("p"))
+    both = b.join(tagged(spark, sf_dir, WIDE).select("series_id", "word"), "series_id").select("*", F.explode(F.array(F.lit(2), F.lit(4), F.lit(6))).alias("level"))
+    node = F.substring("word", F.lit(1), F.col("level") * WIDE.digits)
+    return both.select("qid", "series_id", "level", r6(distance.node_bound(node, F.col("p.lower"), F.col("p.upper"), WIDE)).alias("bound"))
+
+
 @query(f"{sql_words(WIDE)} select a.series_id, round(sqrt(list_sum(list_transform(range(1, 9), lambda j: case when abs(a.y[j] - b.y[j]) <= 1 then 0 else power(({sql_list(breakpoints(64))})[greatest(a.y[j], b.y[j])] - ({sql_list(breakpoints(64))})[least(a.y[j], b.y[j]) + 1], 2) end))), 6) as bound from y a join y b on b.series_id = a.series_id + 1")
 def d5_symbol_bound(spark, sf_dir):
     rows = tagged(spark, sf_dir, WIDE).select("series_id", rep.symbols(rep.paa(F.col("values"), WIDE), 64).alias("a"))
@@ -405,8 +420,8 @@ def a14_local_nodes(spark, sf_dir):
     return stats.node_numbers(built(spark, sf_dir, NARROW).nodes())
 
 
-_NODES = f"""{LAYERS}, s as (select min(level) as start from (select level from l group by level having count(*) > 1)),
-n as (select l.level, l.prefix, l.cnt from l left join l u on u.level = l.level - 1 and u.prefix = l.prefix[:-2], s where l.level = start or l.level > start and u.cnt > 10)"""
+_NODES = f"""{LAYERS}, g as (select min(level) as start from (select level from l group by level having count(*) > 1)),
+n as (select l.level, l.prefix, l.cnt from l left join l u on u.level = l.level - 1 and u.prefix = l.prefix[:-2], g where l.level = start or l.level > start and u.cnt > 10)"""
 
 
 @query(f"{_NODES} select 0 as pid, 0 as level, '' as prefix, count(*) as cnt, false as is_leaf from w union all select 0, level, prefix, cnt, cnt <= 10 or level = 6 from n")
@@ -453,6 +468,14 @@ def p1_bloom_members(spark, sf_dir):
     return filters.might_contain(rows.select("series_id", "pid", F.col("word").alias("key")), blooms).select("series_id", "maybe")
 
 
+@query("select series_id % 7 as pid, count(distinct key) as keys from (select vec_id as series_id, vec_id % 50 as key from embeddings) group by all")
+def u3_native_bloom_keys(spark, sf_dir):
+    """Bitmaps made by the JVM's aggregates, one partition's keys each; here the keys that each filter was given."""
+    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 7).alias("pid"), (F.col("vec_id") % 50).alias("key"))
+    maps = filters.native_bloom(rows, 32768, 1)
+    return maps.groupBy("pid").agg(F.sum(F.bitmap_count("bitmap")).alias("keys"))
+
+
 # labels and evaluation
 
 HALF = f"{Z}, {PAIRS}, t as ({TOP.format(k=K).replace('round(dist, 6) as dist', 'dist')}), h as (select * from d where series_id % 2 = 0), f as ({TOP.format(k=K).replace('from d', 'from h').replace('round(dist, 6) as dist', 'dist')})"
@@ -473,7 +496,14 @@ def a10_error_ratio(spark, sf_dir):
     return evaluate.error_ratio(*_half(spark, sf_dir)).withColumn("error_ratio", r6("error_ratio"))
 
 
-@query(f"{HALF}, r as (select qid, count(*) filter (series_id in (select series_id from f where f.qid = t.qid)) / {K}.0 as recall from t group by qid), e as (select f.qid, avg(case when t.dist = 0 then 1 else f.dist / t.dist end) as x from f join t using (qid, rank) group by f.qid) select count(*) as queries, round(avg(recall), 6) as recall, round(avg(x), 6) as error_ratio, 0::bigint as ms_per_query from r join e using (qid)")
+@query(f"{Z}, {PAIRS}, t as (select * from d where dist <= {RADIUS}) select qid, round(count(*) filter (series_id % 2 = 0) / count(*), 6) as recall from t group by qid")
+def a11_range_recall(spark, sf_dir):
+    all_, ask = series(spark, sf_dir), asked(spark, sf_dir)
+    truth, found = search.brute_range(all_, ask, RADIUS), search.brute_range(all_.where("series_id % 2 = 0"), ask, RADIUS)
+    return evaluate.recall(truth, found).withColumn("recall", r6("recall"))
+
+
+@query(f"{HALF}, r as (select qid, count(*) filter (series_id in (select series_id from f where f.qid = t.qid)) / {K}.0 as recall from t group by qid), er as (select f.qid, avg(case when t.dist = 0 then 1 else f.dist / t.dist end) as x from f join t using (qid, rank) group by f.qid) select count(*) as queries, round(avg(recall), 6) as recall, round(avg(x), 6) as error_ratio, 0::bigint as ms_per_query from r join er using (qid)")
 def a12_knn_report(spark, sf_dir):
     return evaluate.knn_report(*_half(spark, sf_dir)).withColumns({"recall": r6("recall"), "error_ratio": r6("error_ratio")})
 
