@@ -59,8 +59,8 @@ def segments(formatted: Column) -> Column:
 
 
 def _inner(segment: Column) -> Column:
-    """What follows the turn's head mark, up to another head mark (of which there is none in a sound text)."""
-    return F.element_at(F.split(segment, _HEAD, -1), 2)
+    """What follows the turn's head mark, up to another head mark (of which there is none in a sound text); null without one."""
+    return F.get(F.split(segment, _HEAD, -1), F.lit(1))
 
 
 def _role_end(segment: Column) -> Column:
@@ -105,7 +105,7 @@ def conversations_of(rows: DataFrame, conv: str = "conv_id", turn: str = "turn",
 def format_conversations(rows: DataFrame, assistant: str = ASSISTANT, **columns: str) -> DataFrame:
     """conv_id, formatted, recovered (turns read back), loss_spans, round_trip."""
     plain = conversations_of(rows, **columns).withColumn("plain", _render(F.col("turns"), 0))
-    chosen = plain.withColumn("formatted", F.when(parse(F.col("plain")) == F.col("turns"), F.col("plain")).otherwise(_render(F.col("turns"), 1)))
+    chosen = plain.withColumn("formatted", F.when(F.coalesce(parse(F.col("plain")) == F.col("turns"), F.lit(False)), F.col("plain")).otherwise(_render(F.col("turns"), 1)))
     out = chosen.withColumn("recovered", parse(F.col("formatted")))
     masked = F.transform(F.filter(raw_spans(F.col("formatted")), lambda s: s.role == assistant), lambda s: F.struct(s.begin.alias("begin"), s.end.alias("end")))
     return out.select("conv_id", "formatted", "recovered", masked.alias("loss_spans"), (F.col("recovered") == F.col("turns")).alias("round_trip"))

@@ -1,0 +1,129 @@
+"""Toxicity, secrets, licences, and the pipeline."""
+
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from seriesloom.llm import licenses, secrets, toxicity
+from seriesloom.llm.shingles import SIGNS, shingle_sets
+
+from ..oracle import DATA
+
+# toxicity
+
+
+def _toxic_docs(n, seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    bad = ["idiot", "scum", "grobnik", "moron", "worthless"]
+    out = []
+    for i in range(n):
+        toxic = i % 5 == 0
+        text = [rng.choice(words) for _ in range(60)]
+        if toxic:
+            for _ in range(rng.randint(1, 4)):
+                text[rng.randrange(60)] = rng.choice(bad)
+        out.append((i, " ".join(text).capitalize() + ".", int(toxic)))
+    return out
+
+
+def test_held_out_accuracy(spark):
+    rows = _toxic_docs(1500, 1)
+    docs = spark.createDataFrame([(i, t, "q") for i, t, _ in rows] + [(None, None, "q"), (3, "", "q")], "doc_id long, text string, toxic string").repartition(3)
+    known = spark.createDataFrame([(i, y) for i, _, y in rows[:1000]] + [(None, 1), (5, None), (2, 0)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(docs, known).collect()}
+    held = rows[1000:]
+    right = sum(got[i].toxic == bool(y) for i, _, y in held)
+    assert right / len(held) > 0.97
+    assert not any(got[i].toxic for i, _, y in held if not y)
+    assert got[None].kept and {"p_insult", "p_contempt", "p_toxic"} <= set(got[0].asDict())
+    assert toxicity.classify(docs, known.where("false")).where("toxic").count() == 0
+    assert toxicity.classify(docs.where("false"), known).count() == 0
+
+
+def test_chain_uses_earlier_categories():
+    rng = np.random.default_rng(0)
+    vocab = [f"x{i}" for i in range(50)]
+    texts = [" ".join(rng.choice(vocab, 10)) for _ in range(800)]
+    sets = list(shingle_sets(texts, 1, blanks=SIGNS))
+    first = np.array(["x7" in t.split() for t in texts], int)
+    chain, threshold = toxicity.train_chain(sets, np.stack([first, first], 1), np.arange(800) % 5)
+    assert abs(chain[1].earlier[0]) > 0.1 and 0 < threshold <= 0.5
+    assert ((toxicity.predict(chain, sets)[:, 1] > 0.5) == first.astype(bool)).mean() > 0.99
+
+
+# secrets
+
+
+def test_forest_on_other_findings(spark):
+    model = secrets.train(secrets.labelled_findings(spark, 3000))
+    fresh = secrets.score(model, secrets.labelled_findings(spark, 1500, seed=50))
+    assert fresh.where((F.col("probability") >= 0.5) == (F.col("label") == 1)).count() >= 1470
+
+
+def test_scan_and_redact(spark):
+    hexes = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = {
+        1: f'Some words here. token = "{hexes}" and more.\ncommit {hexes[::-1]} fixes it',
+        2: f"é\x01 password={hexes[:18]} \U0001f600 end",
+        3: "order 4539 1488 0343 6467 or 4539148803436467, see docs/path/page01.html",
+        4: None,
+        5: "",
+        6: "plain words only " * 50,
+        7: ("filler " * 3000) + f'api_key: "{hexes[:32]}"',
+    }
+    docs = spark.createDataFrame([(i, t, "src0", len(t or ""), 1) for i, t in texts.items()] + [(2, texts[2], "src1", 5, 1), (None, texts[1], None, 5, 1)], "doc_id long, text string, source string, n_chars long, begin int").repartition(2)
+    found = secrets.scan(docs).cache()
+    for r in found.collect():
+        own = texts[r.doc_id] if r.doc_id else texts[1]
+        assert own[r.begin : r.end] == r.candidate
+    good = {(r.doc_id, r.candidate) for r in found.where("is_secret").collect()}
+    assert good == {(1, hexes), (None, hexes), (2, hexes[:18]), (7, hexes[:32])}
+    out = secrets.redact(docs, found).collect()
+    assert len(out) == docs.count()
+    for r in out:
+        own = texts[r.doc_id] if r.doc_id else texts[1]
+        want = own
+        for i, s in good:
+            if i == r.doc_id and want:
+                want = re.sub(rf'(token = "|password=|api_key: "){s}', rf"\1{secrets.MASK}", want)
+        assert r.text == want and (want == own or r.n_chars == len(want))
+    assert secrets.scan(docs.where("false")).count() == 0
+
+
+# licences
+
+
+def test_licences(spark):
+    mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0"]
+    files = [
+        ("a", "repo/LICENSE", mit, True), ("b", "repo/src/x.py", "code", False), ("c", "repo/src/lib/LICENSE", apache, True), ("d", "repo/src/lib/y.py", None, False),
+        ("e", "repo/src/lib/deep/z.py", "# " + "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.\ncode", False),
+        ("f", "other/w.py", "", False), ("g", None, "text about a license to kill", None), ("h", "repo/src/lib/deep/er/v.py", "x" * 100_000, False), ("h", "repo/src/lib/deep/er/v.py", "x" * 100_000, False),
+    ]
+    df = spark.createDataFrame([(*f, "q") for f in files], "key string, path string, text string, is_licence_file boolean, licence0 string").repartition(3)
+    got = sorted((r.key, r.licence, r.how, r.from_dir) for r in licenses.scan(df).collect())
+    assert got == [
+        ("a", "MIT", "own", None), ("b", "MIT", "inherited", "repo"), ("c", "Apache-2.0", "own", None), ("d", "Apache-2.0", "inherited", "repo/src/lib"), ("e", "BSD", "own", None), ("f", None, None, None),
+        ("g", None, None, None), ("h", "Apache-2.0", "inherited", "repo/src/lib"), ("h", "Apache-2.0", "inherited", "repo/src/lib"),
+    ]
+    assert licenses.scan(df.where("false")).count() == 0
+
+
+# pipeline
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, corpus_pipeline.cut(stage(spark, kept, DATA), name)
+        assert kept.columns == docs.columns
+        assert 0.7 * before.count() < kept.count() <= before.count()
+    pieces = corpus_pipeline.STAGES[-1][1](spark, kept, DATA)
+    assert pieces.select("doc_id").distinct().count() == kept.count()
+    assert kept.where(F.col("text").rlike('token = "[0-9a-f]{40}"')).count() == 0
