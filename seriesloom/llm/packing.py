@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Store, fresh, unique_name
-from .tokens import batches, encoder
+from .tokens import encoder, slices
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_to long"
 _SHARD = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -155,14 +155,13 @@ def tokenize_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, win
         encode, end, name, file = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), unique_name("ids/part", ".arrow"), None
         counts = np.zeros(window, np.int64)
         for part in parts:
-            ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-            for a, b in batches(texts):
-                raw = [x + end for x in encode.ids(texts[a:b])]
+            for at, texts in slices(part.column(1)):
+                raw = [x.tobytes() + end for x in encode.column(texts)]
                 counts += np.bincount([len(x) // 4 % window for x in raw], minlength=window)
                 if file is None:
                     out = Store(root).create(name)
                     file = pa.ipc.new_stream(out, _SHARD, options=pa.ipc.IpcWriteOptions(compression="zstd"))
-                file.write_batch(pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(raw, pa.binary())], schema=_SHARD))
+                file.write_batch(pa.RecordBatch.from_arrays([part.column(0).slice(at, len(texts)), pa.array(raw, pa.binary())], schema=_SHARD))
         if file is not None:
             file.close()
             out.close()

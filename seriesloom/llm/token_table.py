@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Store, fresh, unique_name
-from .tokens import batches, encoder
+from .tokens import encoder, slices
 
 MAGIC = b"SLTOK001"
 _FOOTER = struct.Struct("<QQQQIQ8s")
@@ -75,10 +75,10 @@ def _bloom_bits(key: bytes, hashes: int, bits: int) -> list[int]:
 
 
 class ShardWriter:
-    """Takes entries in key order; holds one block, the sparse index and the keys' hashes in memory."""
+    """Takes entries in key order (``width``: bytes that every id fits, if known); holds one block, the sparse index and the keys' hashes in memory."""
 
-    def __init__(self, out, block_bytes: int = 1 << 18):
-        self.out, self.block_bytes, self.at = out, block_bytes, 0
+    def __init__(self, out, block_bytes: int = 1 << 18, width: int | None = None):
+        self.out, self.block_bytes, self.width, self.at = out, block_bytes, width, 0
         self.block, self.first, self.last = bytearray(), b"", b""
         self.index, self.keys, self.zip = [], [], zstandard.ZstdCompressor(level=1)
 
@@ -89,7 +89,7 @@ class ShardWriter:
                 shared += 1
         else:
             self.first = key
-        width = 2 if not len(ids) or int(ids.max()) < 65536 else 4
+        width = self.width or (2 if not len(ids) or int(ids.max()) < 65536 else 4)
         value = bytes([width]) + ids.astype(f"<u{width}").tobytes()
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.last = key
@@ -173,16 +173,16 @@ def write_table(docs: DataFrame, root: str, tokenizer: str, end_id: int, partiti
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, shard, first, n_ids, encode = unique_name("shards/part", ".sst"), None, b"", 0, encoder(tokenizer)
-        end = np.array([end_id], "<u4")
+        end, width = np.array([end_id], "<u4"), 2 if max(end_id, len(encode.marks) - 1) < 65536 else 4
         for part in parts:
-            ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-            for a, b in batches(texts):
-                for doc_id, raw in zip(ids[a:b], encode.ids(texts[a:b]), strict=True):
+            ids = part.column(0).to_pylist()
+            for at, texts in slices(part.column(1)):
+                for doc_id, values in zip(ids[at : at + len(texts)], encode.column(texts), strict=True):
                     key = key_of(doc_id)
                     if shard is None:
-                        shard, first = ShardWriter(Store(root).create(name)), key
-                    shard.add(key, values := np.concatenate([np.frombuffer(raw, "<u4"), end]))
-                    n_ids += len(values)
+                        shard, first = ShardWriter(Store(root).create(name), width=width), key
+                    shard.add(key, np.concatenate([values, end]))
+                    n_ids += len(values) + 1
         if shard is not None:
             shard.close()
             yield pa.RecordBatch.from_pydict({"shard": [name], "first_key": [first], "last_key": [shard.last], "n_docs": [len(shard.keys)], "n_ids": [n_ids]})

@@ -15,10 +15,15 @@ import re
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
+import pyarrow.compute as pc  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 #: White space on which all agree is \t \n \v \f \r and blank; a text with any other candidate takes the slow way.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\\|")
+#: The same for Arrow's matcher, which wants its own notation.
+_SLOW_WORD = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]|<\|"
+_SLOW_BYTE = r"[\t-\r ] |" + _SLOW_WORD
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A run of letters that white space, ASCII punctuation, a digit or the end follows is a piece of its own in both.
 _RUN = f"[{_LETTERS}]++(?=[\t-\r -@\\[-`{{-~]|$)"
@@ -29,6 +34,9 @@ _WORD_CHUNKS = re.compile(f"{_RUN}|[^\t-\r ]+")
 #: Entries kept per worker (about 120 MB); a full cache is emptied, which costs time and changes nothing else.
 CACHE_ENTRIES = 600_000
 
+#: Characters up to which a unit of several pieces is kept too: short ones come again.
+_SHORT = 10
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -94,6 +102,74 @@ class Encoder:
         return [next(whole) if chunks is None else b"".join(map(get, chunks)) for chunks in split]
 
 
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units; new ones that are no plain word are put together from their pieces."""
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache.clear()
+        cache = self.cache
+        raws = list(map(cache.get, units))
+        new = [u for u, r in zip(units, raws) if r is None]
+        plain, mixed = [], []
+        for u in new:
+            (plain if self.plain(u) else mixed).append(u)
+        split = [self.chunks(u) for u in mixed]
+        pieces = {c for chunks in split for c in chunks}.difference(cache).difference(plain)
+        more = [c for c in pieces if self.plain(c)]
+        self._learn(plain + more, self.glue)
+        rest = pieces.difference(more)
+        if self.first:
+            bare = [c for c in rest if self.bare(c)]
+            self._learn(bare, "\n")
+            rest = rest.difference(bare)
+        rest = list(rest)
+        cache.update(zip(rest, self.encode(rest), strict=True))
+        own = {u: b"".join([cache[c] for c in chunks]) for u, chunks in zip(mixed, split, strict=True)}
+        cache.update((u, r) for u, r in own.items() if len(u) <= _SHORT)
+        return [r if r is not None else own[u] if u in own else cache[u] for u, r in zip(units, raws, strict=True)]
+
+    def column(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a column (null: none), each distinct unit of the column looked up once.
+
+        A unit is a word (word level) or a word with the blank before it (byte level). Texts in which units would not part
+        as the library parts them (a blank after other white space, and those of :data:`_ODD`) go through :meth:`ids`.
+        """
+        texts = pc.fill_null(texts, "")
+        slow = pc.match_substring_regex(texts, _SLOW_BYTE if self.first else _SLOW_WORD).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if slow.any():
+            at = np.flatnonzero(slow)
+            for i, raw in zip(at.tolist(), self.ids(texts.take(pa.array(at)).to_pylist()), strict=True):
+                out[i] = np.frombuffer(raw, "<u4")
+        fast = np.flatnonzero(~slow)
+        if not len(fast):
+            return out
+        split = (pc.split_pattern(texts, " ") if self.first else pc.ascii_split_whitespace(texts)) if len(fast) == len(texts) else (pc.split_pattern(texts.take(pa.array(fast)), " ") if self.first else pc.ascii_split_whitespace(texts.take(pa.array(fast))))
+        cuts = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        codes, n = coded.indices.to_numpy(), len(coded.dictionary)
+        if self.first:  # a text's first piece has no blank before it
+            head = cuts[:-1] - cuts[0]
+            codes = codes.astype(np.int64)
+            first = np.unique(codes[head])
+            own = np.zeros(n, np.int64)
+            own[first] = np.arange(n, n + len(first))
+            codes[head] = own[codes[head]]
+            blank = pc.binary_join_element_wise(pa.scalar(" "), coded.dictionary, pa.scalar(""))
+            units = pa.concat_arrays([blank, coded.dictionary.take(pa.array(first))])
+        else:
+            units = coded.dictionary
+        raws = self._units(units.to_numpy(zero_copy_only=False).tolist())
+        size = np.array([len(r) // 4 for r in raws], np.int64)
+        flat, begin = np.frombuffer(b"".join(raws), "<u4"), np.cumsum(size) - size
+        lengths = size[codes]
+        ends = np.cumsum(lengths)
+        all_ = flat[np.repeat(begin[codes] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[cuts - cuts[0]]
+        for i, a, b in zip(fast.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[i] = all_[a:b]
+        return out
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
     if path not in _encoders:
@@ -101,14 +177,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def batches(texts: list[str | None], chars: int = 4_000_000):
-    """Ranges of rows with at most about so many characters, so that memory stays bounded; a longer text stands alone."""
-    begin = used = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > begin and used + n > chars:
-            yield begin, i
-            begin, used = i, 0
-        used += n
-    if begin < len(texts):
-        yield begin, len(texts)
+def slices(texts: pa.Array, size: int = 4_000_000):
+    """Pieces of a column with at most about so many bytes each, so that memory stays bounded; a longer text stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, "right")))
+        yield begin, texts.slice(begin, end - begin)
+        begin = end

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from seriesloom.llm import packing, token_table, warc
 from seriesloom.llm.queries import vocabulary
 from seriesloom.llm.shared import fresh
-from seriesloom.llm.tokens import encoder
+from seriesloom.llm.tokens import encoder, slices
 
 BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 TEXTS = ["", None, "a", "Hello, world's end\n\n  x", "word " * 9000, "<|endoftext|> é ß 漢字 \x85  z", "same", "same", " " * 50, "x\ny\r\nz\t1234567"]
@@ -26,11 +27,14 @@ def docs(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.sampled_from("aBé' .,\n\t 1λ漢ß \x1f́İΣς") | st.characters(), max_size=40), max_size=5))
+@given(st.lists(st.text(st.sampled_from("aBé' .,\n\t 1λ漢ß \x1f́İΣς") | st.characters(codec="utf-8"), max_size=40), max_size=5))
 def test_cached_ids_equal_the_library(texts):
     for path in (BYTE, WORD):
         e = encoder(path)
         assert e.ids(texts) == e.encode(texts)
+        column = pa.array([*texts, None], pa.string())
+        got = [x.tobytes() for _, part in slices(column, 60) for x in e.column(part)]
+        assert got == e.encode([*texts, ""])
 
 
 def _ids(path, text, end=2):
