@@ -139,3 +139,27 @@ def files_of(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, licence, how, cosine, from_dir of every document."""
     return scan(files_of(docs)).select("doc_id", "licence", "how", "cosine", "from_dir")
+
+
+def sql() -> str:
+    """DuckDB: the same over ``documents``."""
+    text = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+    rows = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in template_weights())
+    return rf"""
+with t(template, word, idf, weight) as (values {rows}),
+idf as (select distinct word, idf from t),
+f as (select doc_id, source || '/' || lang || '/' || (doc_id // 1000) || '/' || (doc_id // 100) as dir, doc_id % 10 = 0 as is_file, string_split(text, chr(10)) as lines from documents),
+m as (select *, list_transform(lines, lambda x: regexp_matches(x, '{MARKS}')) as marked from f where regexp_matches(array_to_string(lines, chr(10)), '{MARKS}')),
+k as (select doc_id, array_to_string(list_filter(lines, lambda x, i: marked[i] or (len(x) > 0 and (coalesce(marked[i - 1], false) and i > 1 or coalesce(marked[i - 2], false) and i > 2))), chr(10)) as txt from m),
+c as (select doc_id, word, count(*) as tf from (select doc_id, trim(unnest(regexp_split_to_array(lower(txt), '[^a-z0-9.]+')), '.') as word from k) where word <> '' group by all),
+x as (select doc_id, word, (1 + ln(tf)) * idf as x from c join idf using (word)),
+n as (select doc_id, sqrt(sum(x * x)) as norm from x group by doc_id),
+d as (select doc_id, template, sum(x * weight) as dot from x join t using (word) group by all),
+s as (select doc_id, round(dot / norm, 6) as cosine, regexp_replace(template, '-short$', '') as licence from d join n using (doc_id)),
+own as (select * from s qualify row_number() over (partition by doc_id order by cosine desc, licence) = 1),
+known as (select f.doc_id, f.dir, f.is_file, own.licence, own.cosine from f left join own on own.doc_id = f.doc_id and own.cosine >= {THRESHOLD}),
+decl as (select dir, licence as given from known where is_file and licence is not null qualify row_number() over (partition by dir order by cosine desc, licence) = 1),
+near as (select k.doc_id, max_by(decl.given, len(decl.dir)) as given, max_by(decl.dir, len(decl.dir)) as from_dir from known k join decl on starts_with(k.dir || '/', decl.dir || '/') where k.licence is null group by k.doc_id)
+select known.doc_id, coalesce(licence, given) as licence, case when licence is not null then 'own' when given is not null then 'inherited' end as how, cosine, from_dir
+from known left join near using (doc_id)
+"""

@@ -60,4 +60,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_warc, op3_licenses, op4_packing, op5_chat, op6_token_table, op7_toxicity, op8_minhash, op9_decontamination, op10_quality)}
-ORACLE_SQL = {"op5_chat": chat.SQL, "op8_minhash": neardup.SQL, "op9_decontamination": decontam.SQL}
+ORACLE_SQL = {"op2_warc": warc.SQL, "op3_licenses": licenses.sql(), "op5_chat": chat.SQL, "op8_minhash": neardup.SQL, "op9_decontamination": decontam.SQL}

@@ -242,8 +242,19 @@ class CaptureIndex:
 
 
 def digest(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write archives and index, read back, and describe each record: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
+    """Write archives and index, read back, and describe each record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
     root = fresh(spark, "warc")
     build_index(write_archives(pages, root, min_bytes), root)
-    return read_records(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return read_records(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: DuckDB: what the archives must hold, from the pages themselves.
+SQL = """
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as x from pages),
+g as (select *, list_transform(range(0, 8), lambda g: ('0x' || x[g * 5 + 1 : g * 5 + 5])::bigint) as v, min(page_id) over (partition by h) as first from p)
+select page_id, octet_length(encode(h))::bigint as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1]), '') as payload_digest,
+  case when page_id <> first then 'revisit' else 'response' end as record_type, case when page_id <> first then first end as refers_to
+from g
+"""
