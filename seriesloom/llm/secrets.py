@@ -166,10 +166,10 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
 
 def redact(docs: DataFrame, found: DataFrame, mask: str = MASK, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with secrets replaced by ``mask``; all columns kept, ``chars_col`` brought up to date."""
-    spans = found.where("is_secret").groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_spans"))
-    spans = cut(spans.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "_spans"), "spans")
-    joined = docs.join(hinted(spans, BROADCAST_ROWS), F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(text_col) == F.col("_h")), "left")
-    text, s = F.col(text_col), F.col("_spans")
+    spans = found.where("is_secret").groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("__finding_spans"))
+    spans = cut(spans.select(F.col("doc_id").alias("__finding_id"), F.col("h").alias("__finding_h"), "__finding_spans"), "spans")
+    joined = docs.join(hinted(spans, BROADCAST_ROWS), F.col(id_col).eqNullSafe(F.col("__finding_id")) & (F.xxhash64(text_col) == F.col("__finding_h")), "left")
+    text, s = F.col(text_col), F.col("__finding_spans")
     piece = lambda x, i: F.concat(F.substring(text, F.when(i > 0, F.get(s, i - 1)["end"]).otherwise(0).cast("int") + 1, (x["begin"] - F.when(i > 0, F.get(s, i - 1)["end"]).otherwise(0)).cast("int")), F.lit(mask))
     tail = F.substring(text, F.get(s, F.size(s) - 1)["end"].cast("int") + 1, F.length(text))
     new = F.when(s.isNotNull(), F.concat(F.array_join(F.transform(s, piece), ""), tail)).otherwise(text)
