@@ -7,8 +7,10 @@ a complete index or none.
 
 from __future__ import annotations
 
+import atexit
 import json
 import logging
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors share (below ``spark.checkpoint.dir``, or a local one if that is unset)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
+        local = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, local, ignore_errors=True)  # this process's own; a cluster's folder is left alone
+        root = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
