@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .shingles import SIGNS, shingle_sets
 
-MAX_LABELLED = 12_000
+MAX_LABELLED = 8_000
 FEATURES = 300
 FOLDS = 5
 #: Probability from which a document is rejected where none can be learned (see ``best_threshold``).
@@ -87,7 +87,7 @@ def choose_words(sets: list[np.ndarray], y: np.ndarray, n: int = FEATURES, least
     return np.sort(value[best[chi[best] > 4]])
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, steps: int = 25) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, steps: int = 15) -> np.ndarray:
     """Logistic regression (last weight: intercept, not penalised) by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     ridge = np.full(x.shape[1], penalty)
@@ -98,7 +98,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, steps: int = 25) ->
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (p - y) + ridge * w)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -128,7 +128,7 @@ def train_chain(sets: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) ->
                 return Link(np.zeros(0, np.uint64), np.zeros(0), np.zeros(before.shape[1]), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
             own = [sets[i] for i in rows]
             words = choose_words(own, y[rows])
-            x = np.zeros((len(rows), len(words)), np.float64)
+            x = np.zeros((len(rows), len(words)))
             x[_present(words, own)] = 1
             w = fit(np.hstack([x, before[rows]]), y[rows])
             return Link(words, w[: len(words)], w[len(words) : -1], float(w[-1]))
@@ -209,3 +209,17 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None)
     columns, names = with_kinds(sets, y[:, 0])
     chain, threshold = train_chain(sets, columns, fold)
     return score(docs, chain, names, threshold=threshold, keep=keep)
+
+
+def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, all columns as they are."""
+    sets, y, fold = sample(docs, labels, ["toxic"], id_col, text_col)
+    chain, threshold = train_chain(sets, with_kinds(sets, y[:, 0])[0], fold)
+    place = docs.columns.index(text_col)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sets = list(shingle_sets(part.column(place).to_pylist(), 1, blanks=SIGNS))
+            yield part.filter(pa.array(np.round(predict(chain, sets), 6)[:, -1] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

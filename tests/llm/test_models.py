@@ -41,6 +41,9 @@ def test_held_out_accuracy(spark):
     assert got[None].kept and {"p_insult", "p_contempt", "p_toxic"} <= set(got[0].asDict())
     assert toxicity.classify(docs, known.where("false")).where("toxic").count() == 0
     assert toxicity.classify(docs.where("false"), known).count() == 0
+    clean = toxicity.clean(docs, known)
+    assert clean.columns == docs.columns
+    assert {r.doc_id for r in clean.collect()} == {i for i, r in got.items() if r.kept}
 
 
 def test_chain_uses_earlier_categories():
@@ -127,3 +130,24 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept, DATA)
     assert pieces.select("doc_id").distinct().count() == kept.count()
     assert kept.where(F.col("text").rlike('token = "[0-9a-f]{40}"')).count() == 0
+
+
+def test_stages_take_odd_tables(spark):
+    import corpus_pipeline
+
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, same, "en", "s", 1, "a"), (1, same, "en", "s", 1, "b"), (None, same, None, None, None, "c"), (2, None, "en", "s", 0, "d"), (None, "", "en", "s", 0, None), (3, 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" ' + "z " * 30, "en", None, None, "e")]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    clashing = "toxic string, kept string, h string, candidate string, begin string, n_hit string, fp string, words string, ids string"
+    docs = spark.createDataFrame([(*r[:5], *[r[5]] * 9) for r in rows], f"{names}, {clashing}")
+    for some in (docs, docs.where("false")):
+        kept = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = corpus_pipeline.cut(stage(spark, kept, DATA), name)
+            assert kept.columns == docs.columns
+        pieces = corpus_pipeline.STAGES[-1][1](spark, kept, DATA).collect()
+        if some is docs:
+            assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "None"]
+            assert any(r.text and secrets.MASK in r.text for r in kept.collect()) and len(pieces) >= 4
+        else:
+            assert not pieces
