@@ -16,14 +16,13 @@ BROADCAST_ROWS = 500_000
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not reject."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.classify(docs, labels, keep=docs.columns).where("kept").select(*docs.columns)
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows (doc_id, h) of ``gone``; h is the hash of the text."""
-    gone = cut(gone.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct(), "gone")
-    return docs.join(hinted(gone, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    gone = cut(gone.select(F.col("doc_id").alias("__gone_id"), F.col("h").alias("__gone_h")).distinct(), "gone")
+    return docs.join(hinted(gone, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.xxhash64("text") == F.col("__gone_h")), "left_anti")
 
 
 def duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
