@@ -187,6 +187,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, c
     before = F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     ranks = seen.withColumn("first", F.coalesce(before, F.lit(0))).groupBy("shard").agg(F.collect_list("length").alias("lengths"), F.collect_list("first").alias("firsts"))
     listed = ranks.withColumn("number", F.regexp_extract("shard", r"part-(\d+)-", 1).cast("long"))
+    listed = listed.repartition(max(1, seen.select("shard").distinct().count()))  # few bytes, much work: not to be coalesced
 
     def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store(root)
