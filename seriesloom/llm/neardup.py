@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut, hinted
+from .shared import cut, hinted, small_batches
 from .shingles import shingle_sets
 
 SKETCH = "doc_id long, h long, n_shingles long, fp binary, sketch array<long>"
@@ -174,6 +174,7 @@ def links(members: DataFrame, k: int, size: int, percent: int) -> DataFrame:
 
 def assign(docs: DataFrame, percent: int = 85, size: int = 5, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, h (hash of the text), n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     rows = cut(sketches(docs, k, size, id_col, text_col), "sketches")
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("member"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("node", F.xxhash64("fp")), "classes")

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Store, fresh, unique_name
-from .tokens import encoder, slices
+from .shared import Store, fresh, small_batches, unique_name
+from .tokens import CACHE_ENTRIES, encoder, slices
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_to long"
 _SHARD = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -147,12 +147,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in PIECES.split(", ")])
 
 
-def tokenize_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, window: int, id_col: str, text_col: str) -> DataFrame:
+def tokenize_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, window: int, id_col: str, text_col: str, cache: int = CACHE_ENTRIES) -> DataFrame:
     """Pass 1. A row per shard and remainder length: shard, length (0: shard without remainders too), count."""
     schema = "shard string, length int, n long"
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, name, file = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), unique_name("ids/part", ".arrow"), None
+        encode, end, name, file = encoder(tokenizer, cache), np.array([end_id], "<u4").tobytes(), unique_name("ids/part", ".arrow"), None
         counts = np.zeros(window, np.int64)
         for part in parts:
             for at, texts in slices(part.column(1)):
@@ -169,15 +169,16 @@ def tokenize_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, win
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["shard", "length", "n"])
 
     spark = docs.sparkSession
+    small_batches(spark)
     docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(write, schema).write.parquet(f"{root}/histogram")
     return spark.read.schema(schema).parquet(f"{root}/histogram")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, combinations: int = 60_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, combinations: int = 60_000, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE_ENTRIES) -> DataFrame:
     """Pieces with their ids and places: see ``PIECES``. ``padded_to`` is the sequence's length as written."""
     spark = docs.sparkSession
     root = fresh(spark, "packing")
-    seen = tokenize_shards(docs, root, tokenizer, end_id, window, id_col, text_col)
+    seen = tokenize_shards(docs, root, tokenizer, end_id, window, id_col, text_col, cache)
     histogram = np.zeros(window, np.int64)
     for r in seen.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `window` rows
         histogram[r.length] = r.n
@@ -221,7 +222,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, c
     return listed.mapInArrow(place, PIECES)
 
 
-def digest(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096) -> DataFrame:
+def digest(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, cache: int = CACHE_ENTRIES) -> DataFrame:
     """Pieces with a CRC-32 in place of their ids."""
-    out = pack(docs, tokenizer, end_id, window)
+    out = pack(docs, tokenizer, end_id, window, cache=cache)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_to")

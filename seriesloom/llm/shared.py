@@ -30,6 +30,12 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches to Python workers be at most 8 MB or 1,000 rows in this session, so that long texts stay small in both."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage ended, safe against lost executors."""
     spark, out = df.sparkSession, fresh(df.sparkSession, name)

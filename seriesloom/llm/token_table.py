@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Store, fresh, unique_name
+from .shared import Store, fresh, small_batches, unique_name
 from .tokens import encoder, slices
 
 MAGIC = b"SLTOK001"
@@ -167,6 +167,7 @@ class ShardReader:
 def write_table(docs: DataFrame, root: str, tokenizer: str, end_id: int, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write shards below ``root`` and return the manifest, a row per shard, itself stored below ``root``."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(*([partitions] if partitions else []), "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")

@@ -31,7 +31,7 @@ _RUN = f"[{_LETTERS}]++(?=[\t-\r -@\\[-`{{-~]|$)"
 _BYTE_CHUNKS = re.compile(f" ?{_RUN}| ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]")
 #: word level: white space separates and is dropped.
 _WORD_CHUNKS = re.compile(f"{_RUN}|[^\t-\r ]+")
-#: Entries kept per worker (about 120 MB); a full cache is emptied, which costs time and changes nothing else.
+#: Entries kept per worker (about 120 MB) unless fewer are asked for; a full cache drops its long words, which costs time and changes nothing else.
 CACHE_ENTRIES = 600_000
 
 #: Characters up to which a unit of several pieces is kept too: short ones come again.
@@ -58,6 +58,7 @@ class Encoder:
             self.plain = re.compile(f"[{_LETTERS}]+").fullmatch
             self.marks[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
+        self.limit = CACHE_ENTRIES
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The library's answer for each text."""
@@ -84,10 +85,15 @@ class Encoder:
             raw = ids.tobytes()
             self.cache.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, begins.tolist(), ends.tolist(), strict=True))
 
+    def _shrink(self) -> None:
+        """Keep the short words of a full cache, which come again; all go if that is not enough."""
+        if len(self.cache) > self.limit:
+            short = {w: r for w, r in self.cache.items() if len(w) <= _SHORT - 2}
+            self.cache = short if len(short) < self.limit // 2 else {}
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         split = [None if t and _ODD.search(t) else self.chunks(t or "") for t in texts]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
+        self._shrink()
         new: set[str] = set()
         for chunks in split:
             if chunks:
@@ -104,8 +110,7 @@ class Encoder:
 
     def _units(self, units: list[str]) -> list[bytes]:
         """Ids of distinct units; new ones that are no plain word are put together from their pieces."""
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
+        self._shrink()
         cache = self.cache
         raws = list(map(cache.get, units))
         new = [u for u, r in zip(units, raws) if r is None]
@@ -170,10 +175,11 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file."""
+def encoder(path: str, limit: int = CACHE_ENTRIES) -> Encoder:
+    """The worker's encoder for a vocabulary file, keeping so many entries."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].limit = limit
     return _encoders[path]
 
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .shingles import SIGNS, shingle_sets
 
 MAX_LABELLED = 8_000
@@ -160,6 +161,7 @@ def predict(chain: list[Link], sets: list[np.ndarray]) -> np.ndarray:
 
 def sample(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Word sets, label columns and folds of at most ``limit`` labelled documents."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("_id"), *(F.col(c).cast("int").alias(c) for c in columns)).dropna()
     known = known.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(limit)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Store, fresh, unique_name
+from .shared import Store, fresh, small_batches, unique_name
 
 PLACES = "key string, page_id long, file string, offset long, length long"
 DIRECTORY = "first_key string, last_key string, file string, offset long, size long, n long"
@@ -101,6 +101,7 @@ def write_archives(pages: DataFrame, root: str, min_bytes: int = 0, file_bytes:
 
     Payloads of fewer than ``min_bytes`` bytes are always written in full.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), _payload(F.col(html_col)).alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("size", F.length("payload").cast("long"))
     again = rows.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
