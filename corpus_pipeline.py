@@ -47,7 +47,7 @@ def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens."""
-    return packing.digest(docs, vocabulary("word_bpe_49k.json"), end_id=2, window=4096)
+    return packing.digest(docs, vocabulary("word_bpe_49k.json"), end_id=2, window=4096, cache=100_000)  # workers serve all stages: keep few words
 
 
 STAGES = [("toxicity", toxic_out), ("near_dedup", duplicates_out), ("decontamination", contaminated_out), ("secrets", secrets_out), ("packing", packed)]
