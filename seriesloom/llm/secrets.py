@@ -1,6 +1,7 @@
 r"""Secret scan with a random forest against false positives (operator 1, DataFrame and Spark ML functions only).
 
-Candidates are runs of 12 or more characters ``[A-Za-z0-9_/+.=-]`` that hold a digit. Each is described by its length, its
+Candidates are runs of 12 or more characters ``[A-Za-z0-9_/+.=-]`` that hold a digit, however far into the run, and runs of
+any length, with or without digits, that a key word assigns (``password: ...``). Each is described by its length, its
 character classes and the transitions between them, the share of it that dictionary words cover, its path, and the words and
 signs beside it; a random forest trained from labelled findings gives the probability that it is a secret.
 
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from .shared import cut, hinted
 
 _SIGNS = r"A-Za-z0-9_/+.=\-"
-CANDIDATE = rf"(?<![{_SIGNS}])(?=[A-Za-z_/+.=\-]{{0,64}}[0-9])[A-Za-z0-9_/+\-][{_SIGNS}]{{10,}}[A-Za-z0-9_/+=\-]"
 TRAINING_ROWS = 6000
 THRESHOLD = 0.5
 MASK = "[SECRET]"
@@ -37,6 +37,11 @@ MASK = "[SECRET]"
 BROADCAST_ROWS = 100_000
 
 KEY_WORDS = "pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credentials?"
+_VALUE = rf"[A-Za-z0-9_/+\-](?:[{_SIGNS}]*[A-Za-z0-9_/+=\-])?"
+#: What leads to a value that a key word assigns: the rest of the key's name, a sign, a quote.
+_ASSIGNED = rf"(?i:{KEY_WORDS})(?:s|[A-Z0-9_.\-][A-Za-z0-9_.\-]*+)?[\"']?[\x20\t]*+[=:]++>?[\x20\t]*+[\"']?(?:(?i:bearer|basic)[\x20\t]++)?"
+#: What leads to a candidate, and the candidate: a long run with a digit anywhere, or a run of any kind that is assigned.
+CANDIDATE = rf"((?<![{_SIGNS}])[=.]*+(?=[A-Za-z_/+.=\-]*+[0-9])(?=[A-Za-z0-9_/+\-][{_SIGNS}]{{10,}}[A-Za-z0-9_/+=\-])|{_ASSIGNED})({_VALUE})"
 OTHER_WORDS = "commit|sha\\d*|md5|checksum|digest|hash|etag|uuid|guid|rev(?:ision)?|version|order|invoice|tracking|isbn|phone|tel|card|account|ref|id|number|no|build|see|file|path|url"
 TEST_PATHS = "test|tests|spec|example|examples|sample|fixture|fixtures|mock|doc|docs|vendor|lock|dist"
 DICTIONARY = (
@@ -96,13 +101,14 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS, seed: int
     hexes = lambda k, n: F.substring(F.sha2(F.concat_ws("-", "id", F.lit(seed), F.lit(k)), 512), 1, n)
     b64 = lambda k, n: F.substring(F.regexp_replace(F.base64(F.unhex(hexes(k, 128))), "=", ""), 1, n)
     plain = lambda k, n: F.substring(F.regexp_replace(F.base64(F.unhex(hexes(k, 128))), r"[=+/]", "x"), 1, n)
+    letters = lambda k, n: F.translate(plain(k, n), "0123456789", "gQkWzRmXpT")
     pick = lambda k, *xs: F.array(*(x if isinstance(x, Column) else F.lit(x) for x in xs))[r(k, len(xs))]
     syllable = lambda k: pick(k, "the", "ing", "tion", "er", "an", "est", "ble", "schein", "keit", "mente", "eaux", "ver", "con", "data", "set", "load", "test", "name")
     word = lambda k: F.concat(*(syllable(f"{k}{i}") for i in range(3)))
     digits = lambda k, n: F.lpad(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10**n)).cast("string"), n, "4")
     key = pick("key", "password", "token", "secret", "api_key", "auth_token", "access_key", "passwd", "client_secret", "db_password", "private_key", "credential")
     sep, quote = pick("sep", "=", " = ", ": ", ":", "="), pick("quote", '"', "'", "", "")
-    secret = pick("kind", hexes("a", 40), hexes("b", 32), hexes("c", 18), hexes("c2", 64), b64("d", 40), plain("e", 24), plain("f", 16), F.concat(F.lit("AKIA"), F.upper(plain("g", 16))), F.concat(F.lit("ghp_"), plain("h", 36)), F.concat(F.lit("sk_live_"), plain("i", 24)), F.concat(F.substring(word("j"), 1, 9), digits("k", 4)))
+    secret = pick("kind", hexes("a", 40), hexes("b", 32), hexes("c", 18), hexes("c2", 64), b64("d", 40), plain("e", 24), plain("f", 16), F.concat(F.lit("AKIA"), F.upper(plain("g", 16))), F.concat(F.lit("ghp_"), plain("h", 36)), F.concat(F.lit("sk_live_"), plain("i", 24)), F.concat(F.substring(word("j"), 1, 9), digits("k", 4)), b64("sa", 8), plain("sb", 11), letters("sc", 20), letters("sd", 32))
     uuid = F.concat_ws("-", hexes("l", 8), hexes("m", 4), hexes("n", 4), hexes("o", 4), hexes("p", 12))
     harmless = [
         ("hash", pick("q", hexes("q1", 40), hexes("q2", 32), hexes("q3", 64), hexes("q4", 18)), pick("q5", "commit ", "sha256:", "md5 = ", "checksum: ", "digest=\"", "etag: \"", "revision ")),
@@ -112,6 +118,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS, seed: int
         ("path", F.concat_ws("/", word("u"), word("v"), F.concat(word("w"), digits("x", 2), F.lit(".html"))), pick("y", "see ", "url=", "file: ", "path = \"", " ")),
         ("name", F.concat_ws("_", word("z"), word("za"), digits("zb", 2)), pick("zc", "class ", "def ", "the ", "name = ", " ", "token type ")),
         ("placeholder", pick("zd", "xxxxxxxxxxxx1234", "your_api_key_1234", "example_token_000", "changeme12345678", "0000000000000000", "dummy-secret-1234"), F.concat(key, sep, quote)),
+        ("assigned word", pick("zi", syllable("zj"), word("zk"), F.concat(syllable("zl"), syllable("zm")), "null", "none", "true", "false", "string", "required", "optional", "undefined", F.concat_ws("_", word("zn"), syllable("zo")), F.concat_ws(".", syllable("zp"), word("zq"))), F.concat(key, sep, quote)),
         ("version", F.concat(word("ze"), F.lit("-"), digits("zf", 2), F.lit("."), digits("zg", 2), F.lit(".tar.gz")), pick("zh", "download ", "version ", "build ", "package ", " ")),
     ]
     which = r("which", len(harmless))
@@ -143,7 +150,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), path.alias("path"), F.col(text_col).alias("text")).where(F.regexp_like("text", F.lit(CANDIDATE)))
     rows = rows.dropDuplicates(["doc_id", "h"])
-    marked = F.regexp_replace(F.translate("text", "\x01\x02", "  "), f"({CANDIDATE})", "\x01$1\x02")
+    marked = F.regexp_replace(F.translate("text", "\x01\x02", "  "), CANDIDATE, "$1\x01$2\x02")
     parts = rows.select("doc_id", "h", "path", F.split(marked, "\x01").alias("parts"))
     parts = parts.select("doc_id", "h", "path", F.posexplode("parts").alias("i", "part"))
     line = Window.partitionBy("doc_id", "h").orderBy("i")
