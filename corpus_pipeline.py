@@ -12,6 +12,8 @@ from seriesloom.llm.shared import cut, hinted
 
 #: Rejected rows (16 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
+#: Similarity of word shingles, in hundredths, from which the stage takes documents as near copies (op8_minhash keeps its 85).
+NEAR_PERCENT = 80
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group; of repeated rows, one."""
-    groups = cut(neardup.assign(docs).select("doc_id", "h", "kept"), "groups")
+    groups = cut(neardup.assign(docs, percent=NEAR_PERCENT).select("doc_id", "h", "kept"), "groups")
     out, kept = _without(docs, groups.where("not kept")), groups.where("kept")
     if kept.groupBy("doc_id", "h").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id", "text"])

@@ -147,6 +147,18 @@ def test_pipeline(spark):
     assert kept.where(F.col("text").rlike('token = "[0-9a-f]{40}"')).count() == 0
 
 
+def test_near_copies_from_four_fifths(spark):
+    import corpus_pipeline
+
+    def pair(name, n, more):  # n shingles, and n + more that hold them: similarity n / (n + more)
+        words = [f"{name}{i}" for i in range(n + 4 + more)]
+        return [" ".join(words[: n + 4]), " ".join(words)]
+
+    texts = pair("a", 40, 10) + pair("b", 40, 8) + pair("c", 400, 90) + pair("d", 40, 11)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.duplicates_out(spark, docs, DATA).collect()) == [0, 2, 4, 6, 7]
+
+
 def test_stages_take_odd_tables(spark):
     import corpus_pipeline
 
