@@ -8,6 +8,8 @@ rows; only reported names are ever read, so retried or speculative tasks leave u
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,10 +19,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder; the cluster's own, or (unset, as in tests) a fresh local one."""
+    """URI of the shared folder: the cluster's own, or, where one machine does everything and none is set, a local one that
+    goes when the process ends. Executors on other machines would not see that, so there a missing setting is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        local = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        root = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/") if "://" in root or root.startswith("file:") else f"file://{root.rstrip('/')}"
 
@@ -40,16 +48,37 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage ended, safe against lost executors."""
     spark, out = df.sparkSession, fresh(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
+    back = spark.read.schema(df.schema).parquet(out)
+    back._cut_path = out
+    return back
 
 
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` (already materialised by :func:`cut`) has at most so many rows, the check before a broadcast."""
-    return df.limit(rows + 1).count() <= rows
+def dropped(*tables: DataFrame) -> None:
+    """Delete what :func:`cut` wrote for these tables, which nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        path.getFileSystem(t.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes (as text) up to which a table is broadcast, however few its rows are.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, rows: int, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` (already materialised by :func:`cut`) has at most so many rows and bytes, the check before a broadcast."""
+    if df.limit(rows + 1).count() > rows:
+        return False
+    wide = [c for c, kind in df.dtypes if kind in ("string", "binary") or "<" in kind]
+    if not wide:
+        return True
+    size = lambda c, kind: F.octet_length(c) if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(c)))
+    kinds = dict(df.dtypes)
+    held = df.agg(F.sum(sum((F.coalesce(size(c, kinds[c]), F.lit(0)).cast("long") for c in wide), F.lit(0))).alias("n")).first().n
+    return (held or 0) <= most_bytes
 
 
 def hinted(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; otherwise unchanged, and Spark shuffles it."""
+    """``df`` with a broadcast hint if it is :func:`small`; otherwise unchanged, and Spark shuffles it."""
     return F.broadcast(df) if small(df, rows) else df
 
 

@@ -3,25 +3,34 @@
 Archives: one gzip member per record, as the format asks, many records to a file. A page whose payload equals that of a
 page with a smaller identifier becomes a ``revisit`` record that refers to it; its HTTP header keeps the payload's length.
 
-Capture index: a line per record, keyed by the reversed host and path (``org,example,www)/path``), sorted and cut into
-compressed blocks; a sparse directory has each block's first key, place and size. A lookup binary-searches the directory,
-reads one block by range, binary-searches it, and reads the record by range.
+Capture index, two levels: a line per record, keyed by the reversed host and path (``org,example,www)/path``), sorted and
+cut into compressed blocks. Each index file ends in its own sparse directory (a block's first and last key, place and size),
+and a table has a row per file (first and last key). A lookup binary-searches the files and a file's directory, reads the
+block by range, binary-searches it, and reads the record by range. :func:`lookup` does this for a table of urls.
 
-Plan: payload digests are computed in the JVM; only digests that repeat are joined back (a hot digest is split by the
-adaptive skew join; its smallest identifier comes from a partial aggregate). Each partition writes its own archive; keys
-(not pages) are dealt by range for the index. Reading back goes through the index: blocks give record places, places are
-dealt by (file, offset), so each task reads neighbouring ranges of few files in order.
+Plan: digests are computed in the JVM. Those that repeat are joined to the pages by broadcast if they are few, so no payload
+moves; else by a hashed join that shuffles payloads but does not sort them, and of which AQE splits a hot digest. Each
+partition writes its own archive; keys (not pages) are dealt by range for the index. In a bulk lookup a key is turned into
+blocks, and (block, key) pairs are dealt, so captures of a hot key are read by as many tasks as they have blocks. Records
+are dealt by (file, offset) to a number of tasks that follows from the archives' bytes, and each task reads forward.
+
+Reading back checks what it reads: the length and SHA-1 of every payload are taken from the payload itself and must agree
+with the record's headers, and a revisit must agree with the response that it refers to; anything else is an error.
 
 Defined results: null html is an empty payload; a null or repeated identifier is kept (rows with the smallest identifier of
 their payload are all responses; a payload of which all identifiers are null has responses only); a null url is empty;
-control characters in urls are percent-encoded; an empty table gives no archives; further columns are ignored.
+control characters in urls are percent-encoded; a payload of any length is one record, held whole by one task at a time;
+ties of keys are in order of file and offset, and records of equal keys are all found; an empty table gives no archives;
+further columns of any name are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
@@ -30,12 +39,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Store, fresh, small_batches, unique_name
+from .shared import Store, cut, fresh, hinted, small_batches, unique_name
 
 PLACES = "key string, page_id long, file string, offset long, length long"
-DIRECTORY = "first_key string, last_key string, file string, offset long, size long, n long"
+FILES = "first_key string, last_key string, file string, blocks long, n long"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 _CRLF = b"\r\n"
+_TAIL, _MAGIC = struct.Struct("<QQ8s"), b"SLCDX002"
+#: Rows of digests or responses (some 60 bytes each) up to which they are broadcast.
+BROADCAST_ROWS = 200_000
+#: Bytes of archives that a task of the read-back takes on.
+READ_BYTES = 8 << 20
 
 
 def capture_key(url: str | None) -> str:
@@ -77,8 +91,16 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, sha1: byt
     return _CRLF.join(lines) + _CRLF * 2 + body + _CRLF * 2
 
 
+def digest_of(payload: bytes) -> str:
+    """Base32 SHA-1."""
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
 def parse_record(raw: bytes) -> tuple:
-    """Values of ``RECORDS`` from one uncompressed record; a revisit's payload is null."""
+    """Values of ``RECORDS`` from one uncompressed record; a revisit's payload is null.
+
+    A response's length and digest are those of the payload that was read, and it is an error if the headers give others.
+    """
     head, _, rest = raw.partition(_CRLF * 2)
     lines = head.split(_CRLF)
     if not lines[0].startswith(b"WARC/"):
@@ -88,8 +110,10 @@ def parse_record(raw: bytes) -> tuple:
     http, _, payload = body.partition(_CRLF * 2)
     revisit = fields[b"warc-type"] == b"revisit"
     size = int(re.search(rb"(?im)^content-length: (\d+)", http)[1])
-    refers = fields.get(b"warc-refers-to")
-    return (_page(fields[b"warc-record-id"]), fields[b"warc-target-uri"].decode(), fields[b"warc-type"].decode(), size, fields[b"warc-payload-digest"].removeprefix(b"sha1:").decode(), _page(refers) if refers else None, None if revisit else payload)
+    refers, said = fields.get(b"warc-refers-to"), fields[b"warc-payload-digest"].removeprefix(b"sha1:").decode()
+    if not revisit and (len(payload), digest_of(payload)) != (size, said):
+        raise ValueError(f"record {fields[b'warc-record-id'].decode()}: its payload is not what its headers say")
+    return (_page(fields[b"warc-record-id"]), fields[b"warc-target-uri"].decode(), fields[b"warc-type"].decode(), size, said, _page(refers) if refers else None, None if revisit else payload)
 
 
 def _payload(html: Column) -> Column:
@@ -105,7 +129,9 @@ def write_archives(pages: DataFrame, root: str, min_bytes: int = 0, file_bytes:
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), _payload(F.col(html_col)).alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("size", F.length("payload").cast("long"))
     again = rows.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    known = rows.join(again, ["sha", "size"], "left").select("page_id", "url", "payload", "sha", "first_id")
+    again = cut(again, "digests")
+    few = hinted(again, BROADCAST_ROWS)
+    known = rows.join(few if few is not again else again.hint("shuffle_hash"), ["sha", "size"], "left").select("page_id", "url", "payload", "sha", "first_id")
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, out, at = Store(root), None, 0
@@ -134,7 +160,7 @@ def write_archives(pages: DataFrame, root: str, min_bytes: int = 0, file_bytes:
 
 
 def build_index(places: DataFrame, root: str, lines: int = 3000) -> DataFrame:
-    """Sort places by key into blocks of so many lines; returns the sparse directory, stored below ``root``."""
+    """Sort places by key into blocks of so many lines; returns the table of index files (``FILES``), stored below ``root``."""
     order = ["key", "file", "offset"]
     dealt = places.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -147,7 +173,7 @@ def build_index(places: DataFrame, root: str, lines: int = 3000) -> DataFrame:
                 out = Store(root).create(name)
             raw = zlib.compress("".join(f"{k} {'-' if p is None else p} {f} {o} {n}\n" for k, p, f, o, n in block).encode())
             out.write(raw)
-            made.append((block[0][0], block[-1][0], name, at, len(raw), len(block)))
+            made.append((block[0][0], block[-1][0], at, len(raw), len(block)))
             at += len(raw)
 
         for part in parts:
@@ -158,12 +184,18 @@ def build_index(places: DataFrame, root: str, lines: int = 3000) -> DataFrame:
         if held:
             flush(held)
         if out is not None:
+            directory = zlib.compress("".join(f"{first} {last} {o} {size}\n" for first, last, o, size, _ in made).encode())
+            out.write(directory)
+            out.write(_tail(at, len(directory)))
             out.close()
-            types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], ["first_key", "last_key", "file", "offset", "size", "n"])
+            yield pa.RecordBatch.from_pydict({"first_key": [made[0][0]], "last_key": [made[-1][1]], "file": [name], "blocks": [len(made)], "n": [sum(m[4] for m in made)]})
 
-    dealt.select("key", "page_id", "file", "offset", "length").mapInArrow(write, DIRECTORY).write.parquet(f"{root}/directory")
-    return places.sparkSession.read.schema(DIRECTORY).parquet(f"{root}/directory")
+    dealt.select("key", "page_id", "file", "offset", "length").mapInArrow(write, FILES).write.parquet(f"{root}/index-files")
+    return places.sparkSession.read.schema(FILES).parquet(f"{root}/index-files")
+
+
+def _tail(at: int, size: int) -> bytes:
+    return _TAIL.pack(at, size, _MAGIC)
 
 
 def read_block(store: Store, file: str, offset: int, size: int) -> list[tuple]:
@@ -175,21 +207,108 @@ def read_block(store: Store, file: str, offset: int, size: int) -> list[tuple]:
     return out
 
 
-def index_entries(spark: SparkSession, root: str) -> DataFrame:
-    """All places, read from the index blocks."""
+def read_directory(store: Store, name: str) -> list[tuple[str, str, int, int]]:
+    """The sparse directory at an index file's end: first key, last key, offset and size of each block, in order."""
+    file = store.open(name)
+    at, size, magic = _TAIL.unpack(file.read_at(_TAIL.size, file.size() - _TAIL.size))
+    if magic != _MAGIC:
+        raise ValueError("not a capture index file")
+    out = []
+    for line in zlib.decompress(file.read_at(size, at)).decode().splitlines():
+        first, last, offset, n = line.split(" ")
+        out.append((first, last, int(offset), int(n)))
+    return out
+
+
+def _overlapping(rows: list[tuple], key: str, low: int = 0, high: int = 1) -> range:
+    """Positions of the rows, sorted by key range, whose range [row[low], row[high]] holds ``key``: two binary searches."""
+    return range(bisect.bisect_left(rows, key, key=lambda r: r[high]), bisect.bisect_right(rows, key, key=lambda r: r[low]))
+
+
+def _index_files(spark: SparkSession, root: str) -> list[tuple[str, str, str]]:
+    """First key, last key and name of each index file, sorted: as many as tasks have written, never captures or blocks."""
+    rows = spark.read.schema(FILES).parquet(f"{root}/index-files").select("first_key", "last_key", "file").collect()
+    return sorted(tuple(r) for r in rows)
+
+
+class CaptureIndex:
+    """Lookups in a capture index by binary search; :func:`lookup` uses it inside tasks."""
+
+    def __init__(self, files: list[tuple[str, str, str]], root: str):
+        self.files, self.store, self.name, self.directory = files, Store(root), None, []
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> "CaptureIndex":
+        return cls(_index_files(spark, root), root)
+
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """File, offset and size of the blocks that may hold a key; the directory last used stays open."""
+        for i in _overlapping(self.files, key):
+            name = self.files[i][2]
+            if name != self.name:
+                self.name, self.directory = name, read_directory(self.store, name)
+            for j in _overlapping(self.directory, key):
+                yield name, *self.directory[j][2:]
+
+    def places(self, url: str | None) -> list[tuple]:
+        """Captures of a url."""
+        key = capture_key(url)
+        return [x for block in self.blocks(key) for x in matching(read_block(self.store, *block), key)]
+
+    def fetch(self, url: str | None) -> list[tuple]:
+        """Records (``RECORDS``) of a url."""
+        return [parse_record(zlib.decompress(self.store.open(f).read_at(n, at), 31)) for _, _, f, at, n in self.places(url)]
+
+
+def matching(block: list[tuple], key: str) -> list[tuple]:
+    """A block's lines of one key, by binary search."""
+    return block[bisect.bisect_left(block, key, key=lambda x: x[0]) : bisect.bisect_right(block, key, key=lambda x: x[0])]
 
-    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Store(root)
-        for part in parts:
-            for file, offset, size in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                rows = read_block(store, file, offset, size)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "page_id", "file", "offset", "length"])
 
-    return spark.read.schema(DIRECTORY).parquet(f"{root}/directory").select("file", "offset", "size").mapInArrow(read, PLACES)
+def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
 
-def read_records(spark: SparkSession, root: str) -> DataFrame:
-    """All records (``RECORDS``) by way of the index: its places, dealt and ordered so that reads run through each archive."""
+def lookup(urls: DataFrame, root: str, url_col: str = "url") -> DataFrame:
+    """Places (``PLACES``) of all captures of a table of urls, each once however often its url is asked for."""
+    spark = urls.sparkSession
+    files = _index_files(spark, root)
+
+    def keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield pa.RecordBatch.from_pydict({"key": sorted({capture_key(u) for u in part.column(0).to_pylist()})})
+
+    def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = CaptureIndex(files, root)
+        for part in parts:
+            found = [(*block, key) for key in part.column(0).to_pylist() for block in index.blocks(key)]
+            for i in range(0, len(found), 10_000):
+                yield _arrow(found[i : i + 10_000], pairs)
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at, block = Store(root), None, []
+        for part in parts:
+            out = []
+            for *place, key in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if place != at:
+                    at, block = place, read_block(store, *place)
+                out += matching(block, key)
+                if len(out) >= 10_000:
+                    yield _arrow(out, PLACES)
+                    out = []
+            if out:
+                yield _arrow(out, PLACES)
+
+    pairs = "file string, offset long, size long, key string"
+    wanted = urls.select(url_col).distinct().mapInArrow(keys, "key string").distinct()
+    blocks = wanted.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(find, pairs)
+    return blocks.repartitionByRange("file", "offset", "key").sortWithinPartitions("file", "offset", "key").mapInArrow(read, PLACES)
+
+
+def read_records(places: DataFrame, root: str) -> DataFrame:
+    """Records (``RECORDS``) at ``places`` (file, offset, length), dealt and ordered so that reads run through each archive."""
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, name, file, rows, held = Store(root), None, None, [], 0
@@ -201,53 +320,37 @@ def read_records(spark: SparkSession, root: str) -> DataFrame:
                 rows.append(parse_record(raw))
                 held += len(raw)
                 if held > 4 << 20:
-                    yield _record_batch(rows)
+                    yield _arrow(rows, RECORDS)
                     rows, held = [], 0
         if rows:
-            yield _record_batch(rows)
-
-    places = index_entries(spark, root).select("file", "offset", "length")
-    return places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, RECORDS)
+            yield _arrow(rows, RECORDS)
 
+    places = cut(places.select("file", "offset", "length"), "places")
+    size = places.agg(F.sum("length").alias("n")).first().n or 0
+    tasks = max(1, -(-size // READ_BYTES))  # places are a few bytes each: left to themselves they would meet in one task
+    return places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, RECORDS)
 
-def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in RECORDS.split(", ")])
 
-
-class CaptureIndex:
-    """Point lookups on the driver. The directory has a row per some thousand captures; give ``directory_rows`` to raise
-    the checked bound on what is held, or look up many urls at once by joining :func:`index_entries`."""
-
-    def __init__(self, spark: SparkSession, root: str, directory_rows: int = 5_000_000):
-        directory = spark.read.schema(DIRECTORY).parquet(f"{root}/directory")
-        if (n := directory.count()) > directory_rows:
-            raise ValueError(f"the directory has {n} rows, over {directory_rows}")
-        self.rows = sorted((tuple(r) for r in directory.collect()))
-        self.firsts, self.store = [r[0] for r in self.rows], Store(root)
-
-    def places(self, url: str) -> list[tuple]:
-        """Captures of a url: binary search in the directory, one range read a block, binary search in the block."""
-        key, out = capture_key(url), []
-        i = max(0, bisect.bisect_left(self.firsts, key) - 1)
-        while i < len(self.rows) and self.rows[i][0] <= key:
-            block = read_block(self.store, *self.rows[i][2:5])
-            keys = [x[0] for x in block]
-            out += block[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
-            i += 1
-        return out
-
-    def fetch(self, url: str) -> list[tuple]:
-        """Records (``RECORDS``) of a url."""
-        return [parse_record(zlib.decompress(self.store.open(f).read_at(n, at), 31)) for _, _, f, at, n in self.places(url)]
+def resolved(records: DataFrame) -> DataFrame:
+    """``records`` without payloads (materialised) whose revisits have been held against the response they refer to: a
+    revisit's length and digest are then those that were measured there. A revisit without such a response is an error."""
+    given = records.where("record_type = 'response'").select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), F.col("payload_bytes").alias("__bytes"))
+    asked = records.where("record_type = 'revisit'")
+    wanted = asked.select(F.col("refers_to").alias("__id"), F.col("payload_digest").alias("__digest")).distinct()
+    given = cut(given.join(wanted, ["__id", "__digest"], "left_semi").distinct(), "responses")
+    met = asked.join(hinted(given, BROADCAST_ROWS), (F.col("refers_to") == F.col("__id")) & (F.col("payload_digest") == F.col("__digest")), "left")
+    wrong = F.raise_error(F.concat(F.lit("a revisit disagrees with the response it refers to: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
+    measured = F.when(F.col("__bytes") == F.col("payload_bytes"), F.col("__bytes")).otherwise(wrong.cast("long"))
+    return records.where("record_type = 'response'").unionByName(met.withColumn("payload_bytes", measured).select(*records.columns))
 
 
 def digest(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write archives and index, read back, and describe each record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    spark = pages.sparkSession
-    root = fresh(spark, "warc")
+    """Write archives and index, look every page's url up again, read the records, and describe each by the payload that was
+    read: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    root = fresh(pages.sparkSession, "warc")
     build_index(write_archives(pages, root, min_bytes), root)
-    return read_records(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = read_records(lookup(pages, root), root)
+    return resolved(cut(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records"))
 
 
 #: DuckDB: what the archives must hold, from the pages themselves.
