@@ -1,27 +1,32 @@
 """Licence scan: TF-IDF cosine to templates, then nearest-ancestor inheritance (operator 3, DataFrame functions only).
 
-A file's licence text is the run of lines around licence words (``MARKS``): its headers, or all of a licence file. Its
-words weigh ``1 + ln(tf)`` times the inverse document frequency of the templates (add-one smoothed; words of no template
-have no weight but count in the length); the cosine with each template is a join of words and a sum. A file declares the
-licence of the template that is nearest, if the cosine reaches ``threshold``.
+What is compared with the templates are a file's sections: each line that holds a licence word (``MARKS``), each paragraph
+(run of lines that are not blank) around such lines, from its first to its last line, and of a licence file, besides, its
+whole text. A section's words weigh ``1 + ln(tf)`` times the inverse document frequency of the templates (add-one smoothed),
+words of no template likewise with a frequency of 0, so foreign words lengthen the section and lower its cosine; the cosine
+with each template is a join of words and a sum. A file declares the licence of the template that is nearest to any of its
+sections, if the cosine reaches ``threshold``.
 
 A licence file (by its name, or because a given column says so) declares for its directory. Every other file without a
 licence of its own takes that of its nearest ancestor directory that has one: files are joined with declarations on each
 ancestor path, and the deepest match wins.
 
-Plan: most texts end at one regular expression; words of the rest are counted per file before any shuffle. Templates are a
-fixed list (some hundred words), broadcast. Ancestors are at most the depth of the path; a directory has one declaration
-after aggregation, so the path join cannot multiply, and a directory that holds a third of all files is split by the skew
-join or met by broadcast if declarations are few (counted first).
+Plan: texts of no licence word end at one regular expression, licence files or not (without such a word no template is near:
+each template has one). Words of sections are counted per file before any shuffle. Templates are a fixed list (some hundred
+words), broadcast. Ancestors are at most the depth of the path; a directory has one declaration after aggregation, so the
+path join cannot multiply, and a directory that holds a third of all files is split by the skew join or met by broadcast
+if declarations are few (counted first).
 
-Defined results: null or wordless text declares nothing; a null path is the root's own file; ties of cosine go to the
-alphabetically first licence, ties of declarations in a directory to the larger cosine, then the first licence; repeated
-rows are kept; an empty table gives an empty result; further columns are ignored.
+Defined results: null or wordless text declares nothing; very long texts are read whole, and a section may be the whole of
+one; a null path is the root's own file; ties of cosine go to the alphabetically first licence, ties of declarations in a
+directory to the larger cosine, then the first licence; repeated rows are kept; an empty table gives an empty result; further
+columns of any name are ignored or, by :func:`scan`, passed through.
 """
 
 from __future__ import annotations
 
 import math
+import string
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +54,8 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
 }
 WORD_SPLIT = r"[^a-z0-9.]+"
+#: What parts paragraphs: a line feed and one or more lines of blanks.
+PARAGRAPHS = r"\n(?:[ \t\r]*\n)+"
 THRESHOLD = 0.55
 BROADCAST_ROWS = 500_000
 
@@ -72,29 +79,32 @@ def template_weights() -> list[tuple[str, str, float]]:
     return out
 
 
-def licence_text(text: Column) -> Column:
-    """The lines that hold a licence word and the next two after each (a header goes on over lines)."""
-    lines = F.split(text, "\n", -1)
+def unknown_weight() -> float:
+    """Inverse document frequency of a word that no template has."""
+    return math.log(1 + len(TEMPLATES)) + 1
 
-    def run(lines: Column) -> Column:
-        marked = lambda i: F.when(i >= 0, F.regexp_like(F.get(lines, i), F.lit(MARKS))).otherwise(F.lit(False))
-        return F.filter(lines, lambda x, i: F.regexp_like(x, F.lit(MARKS)) | marked(i - 1) & (F.length(x) > 0) | marked(i - 2) & (F.length(x) > 0))
 
-    return F.array_join(F.transform(F.array(lines), run)[0], "\n")
+def sections(text: Column, whole: Column) -> Column:
+    """The distinct sections of a text: marked lines, marked paragraphs, and the text itself where ``whole`` is true."""
+    marked = lambda parts: F.filter(parts, lambda x: F.regexp_like(x, F.lit(MARKS)))
+    own = F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(marked(F.split(text, "\n", -1)), marked(F.split(text, PARAGRAPHS, -1)), own))
 
 
 def declared(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, licence, cosine) of rows (key, text) whose licence text is near a template. Rows of equal key are equal."""
+    """(key, licence, cosine) of rows (key, text, whole) of which a section is near a template. Rows of equal key are equal."""
     spark = files.sparkSession
     templates = F.broadcast(spark.createDataFrame(template_weights(), "template string, word string, idf double, weight double"))
-    marked = files.where(F.regexp_like("text", F.lit(MARKS))).dropDuplicates(["key"]).select("key", licence_text(F.col("text")).alias("text"))
-    tokens = marked.select("key", F.explode(F.split(F.lower("text"), WORD_SPLIT, -1)).alias("word")).select("key", F.btrim("word", F.lit(".")).alias("word")).where("word <> ''")
-    counted = tokens.groupBy("key", "word").agg(F.count("*").alias("tf"))
+    marked = files.where(F.regexp_like("text", F.lit(MARKS))).dropDuplicates(["key"])
+    parts = marked.select("key", F.posexplode(sections(F.col("text"), F.col("whole"))).alias("section", "text"))
+    tokens = parts.select("key", "section", F.explode(F.split(F.translate("text", string.ascii_uppercase, string.ascii_lowercase), WORD_SPLIT, -1)).alias("word"))
+    tokens = tokens.select("key", "section", F.btrim("word", F.lit(".")).alias("word")).where("word <> ''")
+    counted = tokens.groupBy("key", "section", "word").agg(F.count("*").alias("tf"))
     idf = F.broadcast(spark.createDataFrame(sorted({(w, i) for _, w, i, _ in template_weights()}), "word string, idf double"))
-    weighed = counted.join(idf, "word").select("key", "word", ((1 + F.log("tf")) * F.col("idf")).alias("x"))
-    norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(templates, "word").groupBy("key", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    near = dots.join(norms, "key").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).withColumn("licence", F.regexp_replace("template", "-short$", ""))
+    weighed = counted.join(idf, "word", "left").select("key", "section", "word", F.col("idf").isNotNull().alias("known"), ((1 + F.log("tf")) * F.coalesce("idf", F.lit(unknown_weight()))).alias("x"))
+    norms = weighed.groupBy("key", "section").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighed.where("known").join(templates, "word").groupBy("key", "section", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    near = dots.join(norms, ["key", "section"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).withColumn("licence", F.regexp_replace("template", "-short$", ""))
     best = near.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("far"), "licence")).alias("b"))
     return best.select("key", F.col("b.licence").alias("licence"), (-F.col("b.far")).alias("cosine")).where(F.col("cosine") >= threshold)
 
@@ -108,7 +118,7 @@ def ancestors(path: Column) -> Column:
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (key, path, text, is_licence_file, ...) without text, with licence, how (``own``, ``inherited`` or null), cosine
     and from_dir, the directory whose declaration was inherited. Rows of equal key must be equal."""
-    own = cut(declared(files.select("key", "text"), threshold), "licences")
+    own = cut(declared(files.select("key", "text", F.coalesce("is_licence_file", F.lit(False)).alias("whole")), threshold), "licences")
     names = files.drop("text").withColumns({"path": F.coalesce("path", F.lit("")), "is_licence_file": F.coalesce("is_licence_file", F.lit(False))})
     known = names.join(own, "key", "left")
     directory = F.regexp_replace("path", "/?[^/]*$", "")
@@ -127,13 +137,17 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def files_of(docs: DataFrame) -> DataFrame:
     """Documents as files of repositories: source/lang/thousands/hundreds/number.
 
-    A document whose number is a multiple of 10 stands for its directory's licence file. The key is the identifier and
-    the hash of the rest.
+    A document whose number is a multiple of 10 stands for a licence file: of the source if it is a multiple of 500, of the
+    language's directory if of 100, of the thousands' if of 50, else of its own. The key is the identifier and the hash of
+    the rest.
     """
     number = F.coalesce(F.col("doc_id"), F.lit(-1))
-    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(number / 1000), F.floor(number / 100), number)
+    up = lambda n: F.pmod(number, F.lit(n)) == 0
+    folders = [F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(number / 1000).cast("string"), F.floor(number / 100).cast("string")]
+    depth = F.when(up(500), 1).when(up(100), 2).when(up(50), 3).otherwise(4)
+    path = F.concat_ws("/", F.array_join(F.slice(F.array(*folders), F.lit(1), depth), "/"), number)
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text", "source", "lang"))
-    return docs.select(key.alias("key"), "doc_id", path.alias("path"), "text", (F.pmod(number, F.lit(10)) == 0).alias("is_licence_file"))
+    return docs.select(key.alias("key"), "doc_id", path.alias("path"), "text", up(10).alias("is_licence_file"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -148,14 +162,16 @@ def sql() -> str:
     return rf"""
 with t(template, word, idf, weight) as (values {rows}),
 idf as (select distinct word, idf from t),
-f as (select doc_id, source || '/' || lang || '/' || (doc_id // 1000) || '/' || (doc_id // 100) as dir, doc_id % 10 = 0 as is_file, string_split(text, chr(10)) as lines from documents),
-m as (select *, list_transform(lines, lambda x: regexp_matches(x, '{MARKS}')) as marked from f where regexp_matches(array_to_string(lines, chr(10)), '{MARKS}')),
-k as (select doc_id, array_to_string(list_filter(lines, lambda x, i: marked[i] or (len(x) > 0 and (coalesce(marked[i - 1], false) and i > 1 or coalesce(marked[i - 2], false) and i > 2))), chr(10)) as txt from m),
-c as (select doc_id, word, count(*) as tf from (select doc_id, trim(unnest(regexp_split_to_array(lower(txt), '[^a-z0-9.]+')), '.') as word from k) where word <> '' group by all),
-x as (select doc_id, word, (1 + ln(tf)) * idf as x from c join idf using (word)),
-n as (select doc_id, sqrt(sum(x * x)) as norm from x group by doc_id),
-d as (select doc_id, template, sum(x * weight) as dot from x join t using (word) group by all),
-s as (select doc_id, round(dot / norm, 6) as cosine, regexp_replace(template, '-short$', '') as licence from d join n using (doc_id)),
+f as (select doc_id, text, doc_id % 10 = 0 as is_file,
+  array_to_string([source, lang, (doc_id // 1000)::varchar, (doc_id // 100)::varchar][1 : case when doc_id % 500 = 0 then 1 when doc_id % 100 = 0 then 2 when doc_id % 50 = 0 then 3 else 4 end], '/') as dir from documents),
+m as (select distinct doc_id, unnest(list_concat(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{MARKS}')), list_filter(regexp_split_to_array(text, '{PARAGRAPHS}'), lambda x: regexp_matches(x, '{MARKS}')), case when is_file then [text] else [] end)) as txt
+  from f where regexp_matches(text, '{MARKS}')),
+k as (select doc_id, row_number() over () as section, translate(txt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as txt from m),
+c as (select doc_id, section, word, count(*) as tf from (select doc_id, section, trim(unnest(regexp_split_to_array(txt, '[^a-z0-9.]+')), '.') as word from k) where word <> '' group by all),
+x as (select doc_id, section, word, (1 + ln(tf)) * coalesce(idf, {unknown_weight()!r}) as x from c left join idf using (word)),
+n as (select section, sqrt(sum(x * x)) as norm from x group by section),
+d as (select doc_id, section, template, sum(x * weight) as dot from x join t using (word) group by all),
+s as (select doc_id, round(dot / norm, 6) as cosine, regexp_replace(template, '-short$', '') as licence from d join n using (section)),
 own as (select * from s qualify row_number() over (partition by doc_id order by cosine desc, licence) = 1),
 known as (select f.doc_id, f.dir, f.is_file, own.licence, own.cosine from f left join own on own.doc_id = f.doc_id and own.cosine >= {THRESHOLD}),
 decl as (select dir, licence as given from known where is_file and licence is not null qualify row_number() over (partition by dir order by cosine desc, licence) = 1),

@@ -130,6 +130,27 @@ def test_licences(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_sections_are_whole_and_foreign_words_count(spark):
+    lgpl = licenses.TEMPLATES["LGPL-3.0"].split(" ")
+    header = "\n".join(" ".join(lgpl[i : i + 12]) for i in range(0, len(lgpl), 12))  # marked from its third line on
+    padded = "This file is license general public " + " ".join(f"foreign{i}" for i in range(2000))
+    released = ["Released under the ISC License.", "Licensed under the EUPL License, Version 1.2.", "The single was released under the Sony license last autumn and sold well in all of the north."]
+    body = "\n".join("prose of no licence at all, line %d" % i for i in range(3000))
+    rows = [("l", "a/x.c", header, False), ("p", "a/y.c", padded, False), *((f"r{i}", "a/z.c", t, False) for i, t in enumerate(released))]
+    rows += [("w", "b/LICENSE", licenses.TEMPLATES["MIT"].replace(". ", ".\n\n"), True), ("long", "c/q.c", f"{body}\nLicensed under CC BY-NC 4.0.\n{body}", False), ("wlong", "d/LICENSE", body + "\n\n" + header, True)]
+    got = {r.key: (r.licence, r.cosine) for r in licenses.scan(spark.createDataFrame(rows, "key string, path string, text string, is_licence_file boolean")).collect()}
+    assert got["l"][0] == got["wlong"][0] == "LGPL-3.0" and got["l"][1] > 0.97
+    assert got["p"][0] is None and [got[f"r{i}"][0] for i in range(3)] == [None] * 3
+    assert got["w"][0] == "MIT" and got["w"][1] > 0.99 and got["long"] == ("CC-BY-NC-4.0", 1.0)
+
+
+def test_licences_are_inherited_over_levels(spark):
+    from seriesloom.llm.queries import QUERIES
+
+    rows = QUERIES["op3_licenses"](spark, "/root/testdata/sf0.1").where("how = 'inherited'")
+    assert {r[0] for r in rows.select(F.size(F.split("from_dir", "/"))).distinct().collect()} >= {2, 3, 4}
+
+
 # pipeline
 
 
