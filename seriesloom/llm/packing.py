@@ -3,7 +3,7 @@
 Method. Each document's ids (with the end id) give full windows, which need no partner, and a remainder shorter than a
 window. The remainders' length histogram, at most ``window - 1`` numbers however large the corpus, goes to the driver.
 There, combinations of two to four lengths that fill a window exactly are enumerated, how often to use each is solved by
-non-negative least squares against the histogram and rounded down, and each remainder takes its place by its rank among
+non-negative least squares against the histogram and rounded (as far as lengths are there), and each remainder takes its place by its rank among
 those of its length. What rounding leaves is packed greedily by the task that holds it, cutting at window ends; the last
 ids of such a task fill windows of power-of-two lengths, which need no padding.
 
@@ -12,12 +12,14 @@ folder, and reports (shard, remainder length, count). Pass 2 reads each shard ag
 pieces; its closure holds the combinations (bounded by ``combinations``), its row the ranks at which the shard's lengths
 start.
 
-Defined results: null text is an empty text (the end id alone); null or repeated identifiers are kept, each row a document
-of its own; an empty table gives no pieces; further columns of any name are ignored.
+Defined results: null text is an empty text (the end id alone); a very long text is tokenized whole by one task and gives full
+windows and a remainder; null or repeated identifiers are kept, each row a document of its own; documents of equal length
+take places in the order of their shard; an empty table gives no pieces; further columns of any name are ignored.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,8 @@ _COMBINED = 1 << 60
 def combine(histogram: np.ndarray, window: int, combinations: int = 60_000) -> np.ndarray:
     """Rows of up to four lengths (0: none) that sum to ``window``, over lengths that occur; at most so many rows.
 
-    Pairs come first, then triples and quadruples of the more frequent lengths, as far as the number goes.
+    Pairs come first, then triples of the more frequent lengths and quadruples of 40 lengths spread over these, as far as the
+    number goes. The bounds limit which combinations the solver may use; documents that it leaves are packed greedily.
     """
     lengths = np.flatnonzero(histogram)
     lengths = lengths[(lengths > 0) & (lengths < window)]
@@ -64,8 +67,8 @@ def combine(histogram: np.ndarray, window: int, combinations: int = 60_000) -> n
 def solve(histogram: np.ndarray, combos: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Non-negative least squares: counts x >= 0 that bring the lengths used by ``combos`` closest to ``histogram``.
 
-    Accelerated projected gradient on the sparse system, then rounded down and lowered until no length is used more often
-    than it occurs, so the counts can be carried out.
+    Accelerated projected gradient on the sparse system; then each count is rounded, the largest first, and lowered where a
+    length would be used more often than it occurs, so the counts can be carried out.
     """
     if not len(combos):
         return np.zeros(0, np.int64)
@@ -116,7 +119,7 @@ class _Greedy:
     """Windows that one task fills itself: pieces one after the other, cut at window ends, a power of two at the end."""
 
     def __init__(self, shard: int, window: int):
-        self.next, self.window, self.open = shard << 32, window, []
+        self.next, self.window, self.open, self.held = shard << 32, window, deque(), 0
 
     def whole(self) -> int:
         self.next += 1
@@ -124,22 +127,24 @@ class _Greedy:
 
     def add(self, piece: tuple, out: list) -> None:
         self.open.append(piece)
-        while sum(p[2] for p in self.open) >= self.window:
+        self.held += piece[2]
+        while self.held >= self.window:
             self._fill(self.window, out)
 
     def _fill(self, size: int, out: list) -> None:
         seq, offset = self.whole(), 0
         while offset < size:
-            doc_id, start, length, ids, total = self.open.pop(0)
+            doc_id, start, length, ids, total = self.open.popleft()
             take = min(length, size - offset)
             if take < length:
-                self.open.insert(0, (doc_id, start + take, length - take, ids[4 * take :], total))
+                self.open.appendleft((doc_id, start + take, length - take, ids[4 * take :], total))
             out.append((doc_id, start, take, ids[: 4 * take], total, seq, offset, size))
             offset += take
+        self.held -= size
 
     def close(self, out: list) -> None:
-        while left := sum(p[2] for p in self.open):
-            self._fill(min(self.window, 1 << left.bit_length() - 1), out)
+        while self.held:
+            self._fill(min(self.window, 1 << self.held.bit_length() - 1), out)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
