@@ -26,7 +26,7 @@ def test_query_equals_sql(spark, name):
 
 # chat
 
-HARD = ["", "###", "</turn>", "</turn>\n", "\\", "\\\\", "a: b", ": ", "### user: x</turn>\n", "<\\/turn>", "\\#\\#\\#", "[chat esc=1]\n", "é漢\U0001f600", "####", "<</turn>\n>", "\n", "\\\n", "x\\"]
+HARD = ["", "###", "</turn>", "</turn>\n", "\\", "\\\\", "a: b", ": ", "### user: x</turn>\n", "<\\/turn>", "\\#\\#\\#", "[chat esc=1]\n", "é漢\U0001f600", "####", "#####", "<</turn>\n>", "\n", "\\\n", "x\\"]
 
 
 def _pieces():
@@ -38,11 +38,14 @@ def _pieces():
 def test_chat_round_trip(spark, turns):
     data = [(c, i, role if i % 3 else "assistant", text) for i, (c, role, text) in enumerate(turns)]
     out = chat.format_conversations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(2))
-    out = out.withColumn("loss", chat.masked_text(F.col("formatted"), F.col("loss_spans")))
+    out = out.withColumn("loss", chat.masked_text(F.col("formatted"), F.col("loss_bytes")))
     for r in out.collect():
         own = [(role, text) for c, _, role, text in data if c == r.conv_id]
         assert [tuple(t) for t in r.recovered] == own and r.round_trip
         assert r.loss == "".join(t for role, t in own if role == "assistant")
+        under = [r.formatted[s.begin : s.end] for s in r.loss_spans]
+        plain = (lambda t: t) if "esc=0" in r.formatted[:12] else (lambda t: re.sub(r"(?s)\\(.)", r"\1", t))
+        assert [plain(t) for t in under] == [t for role, t in own if role == "assistant"]
         assert ("esc=1" in r.formatted[:12]) or not any("</turn>\n" in t or "###" in t for x in own for t in x)
 
 
@@ -54,6 +57,22 @@ def test_chat_edges(spark):
     assert chat.digest(empty).count() == 0
 
 
+def test_chat_is_linear_in_turns_and_text(spark):
+    import time
+
+    def seconds(n):
+        rows = spark.range(n).selectExpr("1 as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('turn ', id, repeat(' é### word', 20)) as text")
+        began = time.time()
+        got = chat.digest(rows).first()
+        assert got.n_turns == n and got.round_trip
+        return time.time() - began
+
+    seconds(2000)
+    assert seconds(32_000) < 3 * seconds(16_000) + 1
+    long = spark.createDataFrame([(1, 0, "assistant", "é: ###\\" * 400_000)], "conv_id long, turn long, role string, text string")
+    assert chat.digest(long).first().loss_chars == 7 * 400_000
+
+
 # decontamination
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
