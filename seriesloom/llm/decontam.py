@@ -3,36 +3,41 @@ r"""Benchmark decontamination by a distributed positional inverted index (operat
 Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z. An item's windows are its runs of ``n`` words, or the whole
 item if it has fewer. Steps:
 
-1. The terms to look for: of each window the ``spare`` terms that are rarest in the test set.
-2. The index: postings (term, document, position) of those terms over all documents, stored once. ``build_index`` without
-   terms stores every term.
-3. Term counts from the index put each window's terms in order; the lists of its two rarest, each less its offset in the
+1. The index: postings (document, position, term) of all documents, stored once. No term can be asked for but those of the
+   test set, so the scan that builds it keeps these alone, as numbers; ``build_index`` without terms stores every term.
+2. Term counts from the index put each window's terms in order. The lists of its two rarest, each less its offset in the
    item, are intersected: what is left are places (document, item, offset) where both stand as in the item.
-4. Each place is laid against the item word by word; runs of ``n`` equal words are exact phrase matches. ``proximity``
-   finds documents where given terms stand within a span, in any order, from the same index.
-
-Plan: one tokenizing scan feeds the index through a join with the terms, which are broadcast only after their number was
-checked; lists are joined on (term, document, position), so a hot term or a passage that many documents share is spread
-over documents; places are grouped by document before they meet its text. Documents are identified by (doc_id, hash of the
-text), which also serves null and repeated identifiers: repeated rows get equal results.
-
-Defined results: null or wordless text has no words and no hits (items_sha256 is that of the empty string); an item without
-words has no windows; a null item_id is written as the empty string; repeated item_ids count once; empty tables give empty
-or all-clean results; further columns of any name are ignored.
+3. At each place the lists of the window's other terms are intersected too; runs of ``n`` positions that are left are exact
+   phrase matches. No text is read again.
+4. Proximity, from the same index: items of which the three rarest terms (by count, then by letters) all stand within ``n``
+   words of a document, in any order.
+
+Plan: one tokenizing scan feeds the index through a join with the terms; every small side is broadcast only after its rows
+and bytes were checked. First lists are joined with distinct (term, term, gap), not with items, so a term that many items share
+is met once for each; lists are joined on (document, position, term), so a hot term or a passage that many documents share
+is spread over documents and positions. Of the index, only documents with places take part in step 3. Rows of the index
+are told apart by (identifier, hash of the text and of whether the identifier is null); repeated rows get equal results.
+
+Defined results: null or wordless text has no words and no hits (items_sha256 is that of the empty string); a text or item of
+any length is taken whole; an item without words has no windows; a null item_id is written as the empty string; repeated
+item_ids count once; terms of equal count are taken in the order of their place; empty tables give empty or all-clean
+results; further columns of any name are ignored.
 """
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, hinted
+from .shared import cut, dropped, hinted
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows up to which the test set's tables are broadcast (terms of some tens of bytes: about 100 MB at most).
+#: Rows up to which a table is broadcast, if its bytes allow (``shared.BROADCAST_BYTES``).
 BROADCAST_ROWS = 1_000_000
+#: Rarest terms of an item that must stand near each other.
+NEAR_TERMS = 3
 
 
 def words(text: Column) -> Column:
@@ -48,108 +53,116 @@ def items_of(benchmark: DataFrame, n: int = 13, id_col: str = "item_id", text_co
     return cut(rows.withColumn("item", F.monotonically_increasing_id()), "items")
 
 
-def window_terms(items: DataFrame, spare: int = 3) -> DataFrame:
-    """Of each window (item, begin) the ``spare`` terms that are rarest in the test set: arrays of (term, offset in the item)."""
-    terms = items.select("item", F.posexplode("words").alias("at", "term"))
-    counts = terms.groupBy("term").agg(F.count("*").alias("n"))
-    ranked = terms.join(counts, "term").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("at", "n", "term"))).alias("line"))
-    cols = ranked.join(items.select("item", "m", "w"), "item").select("item", "w", "line", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("w"))).alias("begin"))
-    own = F.transform(F.slice("line", F.col("begin") + 1, F.col("w")), lambda x: F.struct(x.n.alias("n"), (-F.length(x.term)).alias("long"), x.at.alias("at"), x.term.alias("term")))
-    best = F.slice(F.sort_array(own), 1, spare)
-    return cols.select("item", "begin", F.transform(best, lambda x: F.struct(x.term.alias("term"), x.at.alias("at"))).alias("terms"))
+def terms_of(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The test set's distinct terms (term, tid), and its lines (item, at, tid): which term stands where."""
+    flat = items.select("item", F.posexplode("words").alias("at", "term"))
+    terms = cut(flat.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()), "terms")
+    return terms, cut(flat.join(hinted(terms, BROADCAST_ROWS), "term").select("item", "at", "tid"), "lines")
+
+
+def document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """What tells documents apart, without nulls: d and h."""
+    own = F.col(id_col)
+    return [F.coalesce(own, F.lit(0).cast(docs.schema[id_col].dataType)).alias("d"), F.xxhash64(F.col(text_col), own.isNull()).alias("h")]
 
 
 def build_index(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored postings (doc_id, h, pos, term) of all documents; with ``terms`` (a column term, distinct), of those alone."""
-    tokens = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.posexplode(words(F.col(text_col))).alias("pos", "term"))
+    """Stored postings (d, h, pos, term) of all documents; with ``terms`` (term, tid), of those alone, by number."""
+    split = docs.select(*document(docs, id_col, text_col), words(F.col(text_col)).alias("words"))  # first, lest tokens carry their text
+    tokens = split.select("d", "h", F.posexplode("words").alias("pos", "term"))
     if terms is not None:
-        tokens = tokens.join(hinted(terms, BROADCAST_ROWS), "term", "left_semi")
-    return cut(tokens.select("doc_id", "h", "pos", "term"), "postings")
-
-
-def _places(postings: DataFrame, windows: DataFrame) -> DataFrame:
-    """Distinct (doc_id, h, item, delta): the item's word 0 would stand at position delta of the document."""
-    counts = postings.groupBy("term").agg(F.count("*").alias("n"))
-    flat = windows.select("item", "begin", F.explode("terms").alias("t")).select("item", "begin", "t.term", "t.at")
-    found = flat.join(counts, "term", "left").groupBy("item", "begin").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("t"))
-    found = found.where(F.col("t")[0]["n"] > 0)  # else a term of the window is nowhere in the corpus
-    first, second = F.col("t")[0], F.when(F.size("t") > 1, F.col("t")[1])
-    pairs = cut(found.select("item", first["term"].alias("term"), first["at"].alias("at"), second["term"].alias("term2"), second["at"].alias("at2")).distinct(), "pairs")
-    rarest = postings.join(hinted(pairs, BROADCAST_ROWS), "term").select("doc_id", "h", "item", (F.col("pos") - F.col("at")).alias("delta"), "term2", "at2")
-    alone = rarest.where("term2 is null").select("doc_id", "h", "item", "delta")
-    seconds = postings.join(hinted(cut(pairs.select(F.col("term2").alias("term")).where("term is not null").distinct(), "seconds"), BROADCAST_ROWS), "term", "left_semi")
-    second_at = seconds.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), F.col("pos").alias("pos2"), F.col("term").alias("t2"))
-    met = rarest.where("term2 is not null").withColumn("want", F.col("delta") + F.col("at2"))
-    met = met.join(second_at, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")) & (F.col("want") == F.col("pos2")) & (F.col("term2") == F.col("t2")), "left_semi")
-    return alone.unionByName(met.select("doc_id", "h", "item", "delta")).distinct()
-
-
-def matches(docs: DataFrame, items: DataFrame, spare: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Exact phrase matches: doc_id, h, item, begins (positions in the document at which a window begins), w."""
-    windows = cut(window_terms(items, spare), "windows")
-    terms = cut(windows.select(F.explode("terms.term").alias("term")).distinct(), "terms")
-    places = _places(build_index(docs, terms, id_col, text_col), windows)
-    sized = places.join(hinted(items.select("item", "m"), BROADCAST_ROWS), "item")
-    by_doc = sized.groupBy("doc_id", "h").agg(F.collect_list(F.struct("item", "delta", "m")).alias("places"))
-    by_doc = cut(by_doc, "places").select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "places")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    held = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2"))).drop("d2", "h2")
-    held = held.withColumn("words", words(F.col("text"))).select("doc_id", "h", "words", "places")
-
-    def piece(p: Column) -> Column:
-        low = F.greatest(p.delta, F.lit(0))
-        return F.struct(p.item.alias("item"), low.alias("low"), (low - p.delta).alias("skip"), F.slice(F.col("words"), low + 1, p.m - (low - p.delta)).alias("own"))
-
-    laid = held.select("doc_id", "h", F.explode(F.transform("places", piece)).alias("p")).select("doc_id", "h", "p.*").join(hinted(items.select("item", "w", "words"), BROADCAST_ROWS), "item")
-    same = F.zip_with("own", F.slice("words", F.col("skip") + 1, F.size("own")), lambda a, b: F.when(a == b, F.lit(1)).otherwise(F.lit(0)))
-    room = F.size("same") - F.col("w")
-    starts = F.when(room >= 0, F.filter(F.sequence(F.lit(0), F.greatest(room, F.lit(0))), lambda i: F.forall(F.slice(F.col("same"), i + 1, F.col("w")), lambda x: x == 1)))
-    out = laid.withColumn("same", same).withColumn("starts", starts).where(F.size("starts") > 0)
-    return out.select("doc_id", "h", "item", "w", F.transform("starts", lambda i: i + F.col("low")).alias("begins"))
-
-
-def proximity(postings: DataFrame, phrase: list[str], span: int) -> DataFrame:
-    """doc_id, h, begin, end of the shortest stretches of at most ``span`` words that hold all terms, in any order.
-
-    Each stretch begins at a posting of one term; the nearest following posting of every other is found by a window over
-    the document's postings of these terms alone.
-    """
-    from pyspark.sql import Window
-
-    terms = sorted(set(phrase))
-    rows = postings.where(F.col("term").isin(terms)).select("doc_id", "h", "pos", "term").distinct()
-    ahead = Window.partitionBy("doc_id", "h").orderBy("pos").rangeBetween(0, span - 1)
-    for i, t in enumerate(terms):
-        rows = rows.withColumn(f"next_{i}", F.min(F.when(F.col("term") == t, F.col("pos"))).over(ahead))
-    nexts = [F.col(f"next_{i}") for i in range(len(terms))]
-    whole = rows.where(" and ".join(f"next_{i} is not null" for i in range(len(terms))))
-    end = F.greatest(*nexts) if len(nexts) > 1 else nexts[0]
-    return whole.select("doc_id", "h", F.col("pos").alias("begin"), end.alias("end"))
-
-
-def judge(docs: DataFrame, benchmark: DataFrame, n: int = 13, spare: int = 3) -> DataFrame:
-    """A row per document: doc_id, h, n_words, n_hit, n_items, items_sha256, contaminated (hit words are a twentieth or more)."""
+        tokens = tokens.join(hinted(terms, BROADCAST_ROWS), "term").select("d", "h", "pos", F.col("tid").alias("term"))
+    return cut(tokens.select("d", "h", "pos", "term"), "postings")
+
+
+def rarest_pairs(items: DataFrame, lines: DataFrame, counts: DataFrame) -> DataFrame:
+    """Of each window (item, begin) of which all terms are in the index: its two rarest terms a and b (null in windows of one
+    word), a's offset ``at`` in the item, and b's distance ``gap`` from it."""
+    known = lines.join(hinted(counts, BROADCAST_ROWS), lines.tid == counts.term, "left").select("item", "at", "tid", F.coalesce("n", F.lit(0)).alias("n"))
+    sized = known.join(hinted(items.select("item", "m", "w"), BROADCAST_ROWS), "item")
+    begins = F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("w") + 1), F.least("at", F.col("m") - F.col("w"))))
+    windows = sized.select("item", begins.alias("begin"), F.struct("n", "at", "tid").alias("x"))  # a word is in at most n windows
+    best = windows.groupBy("item", "begin").agg(F.slice(F.sort_array(F.collect_list("x")), 1, 2).alias("t")).where(F.col("t")[0]["n"] > 0)
+    second = F.get("t", F.lit(1))
+    return cut(best.select("item", "begin", F.col("t")[0]["tid"].alias("a"), F.col("t")[0]["at"].alias("at"), second["tid"].alias("b"), (second["at"] - F.col("t")[0]["at"]).alias("gap")), "pairs")
+
+
+def places(postings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Distinct (d, h, item, delta, begin): the window's two rarest terms stand as if the item's word 0 were at position delta."""
+    keys = cut(pairs.select("a", "b", "gap").distinct(), "keys")
+    first = postings.join(hinted(keys, BROADCAST_ROWS), F.col("term") == F.col("a")).select("d", "h", "pos", "a", "b", "gap")
+    wanted = cut(keys.select(F.col("b").alias("term")).where("term is not null").distinct(), "seconds")
+    second = postings.join(hinted(wanted, BROADCAST_ROWS), "term", "left_semi").select("d", "h", (F.col("pos")).alias("at_b"), F.col("term").alias("b"))
+    met = first.where("b is not null").withColumn("at_b", F.col("pos") + F.col("gap")).join(second, ["d", "h", "at_b", "b"], "left_semi")
+    both = met.select("d", "h", "pos", "a", "b", "gap").unionByName(first.where("b is null").select("d", "h", "pos", "a", "b", "gap"))
+    same = (F.col("p.a") == F.col("q.a")) & F.col("p.b").eqNullSafe(F.col("q.b")) & F.col("p.gap").eqNullSafe(F.col("q.gap"))
+    found = both.alias("p").join(hinted(pairs, BROADCAST_ROWS).alias("q"), same)
+    return found.select("p.d", "p.h", "q.item", (F.col("p.pos") - F.col("q.at")).alias("delta"), "q.begin").distinct()
+
+
+def matches(postings: DataFrame, items: DataFrame, lines: DataFrame, counts: DataFrame) -> DataFrame:
+    """Exact phrase matches: d, h, item, w, begins (positions in the document at which a window begins), from the index alone."""
+    at = cut(places(postings, rarest_pairs(items, lines, counts)), "places")
+    sized = at.join(hinted(items.select("item", "w"), BROADCAST_ROWS), "item").select("d", "h", "item", "delta", F.explode(F.sequence("begin", F.col("begin") + F.col("w") - 1)).alias("at")).distinct()
+    asked = sized.where("delta + at >= 0").join(hinted(lines, BROADCAST_ROWS), ["item", "at"]).select("d", "h", "item", "delta", "at", (F.col("delta") + F.col("at")).alias("pos"), F.col("tid").alias("term"))
+    held = postings.join(hinted(cut(at.select("d", "h").distinct(), "held"), BROADCAST_ROWS), ["d", "h"], "left_semi")
+    there = asked.join(held, ["d", "h", "pos", "term"], "left_semi").groupBy("d", "h", "item", "delta").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    there = there.join(hinted(items.select("item", "w"), BROADCAST_ROWS), "item")
+    run = F.filter("ats", lambda x, i: F.get(F.col("ats"), i + F.col("w") - 1) == x + F.col("w") - 1)
+    return there.withColumn("starts", run).where(F.size("starts") > 0).select("d", "h", "item", "w", F.transform("starts", lambda x: x + F.col("delta")).alias("begins"))
+
+
+def proximity(postings: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
+    """d, h, item, begin, end of stretches of at most ``span`` words that hold all of an item's wanted terms (item, term, slot:
+    numbered from 0, at most ``NEAR_TERMS``), in any order; each begins at a posting of one of them."""
+    marks = postings.join(hinted(wanted, BROADCAST_ROWS), "term").select("d", "h", "item", "pos", "slot").distinct()
+    ahead = Window.partitionBy("d", "h", "item").orderBy("pos").rangeBetween(0, span - 1)
+    nexts = [F.min(F.when(F.col("slot") == i, F.col("pos"))).over(ahead).alias(f"next{i}") for i in range(NEAR_TERMS)]
+    most = wanted.groupBy("item").agg((F.max("slot") + 1).alias("k"))
+    rows = marks.select("d", "h", "item", F.col("pos").alias("begin"), *nexts).join(hinted(cut(most, "most"), BROADCAST_ROWS), "item")
+    there = sum((F.col(f"next{i}").isNotNull().cast("int") for i in range(NEAR_TERMS)), F.lit(0))
+    return rows.where(there == F.col("k")).select("d", "h", "item", "begin", F.greatest(*(F.col(f"next{i}") for i in range(NEAR_TERMS))).alias("end"))
+
+
+def rarest_terms(lines: DataFrame, terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """(item, term, slot): the ``NEAR_TERMS`` rarest distinct terms of each item; none of an item of which one is nowhere."""
+    own = lines.select("item", "tid").distinct().join(hinted(terms, BROADCAST_ROWS), "tid")
+    known = own.join(hinted(counts.withColumnRenamed("term", "tid"), BROADCAST_ROWS), "tid", "left").select("item", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "tid").alias("x"))
+    best = known.groupBy("item").agg(F.slice(F.sort_array(F.collect_list("x")), 1, NEAR_TERMS).alias("best")).where(F.col("best")[0]["n"] > 0)
+    return best.select("item", F.posexplode("best").alias("slot", "x")).select("item", F.col("x.tid").alias("term"), "slot")
+
+
+def judge(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
+    """A row per document: doc_id, d, h (see :func:`document`), n_words, n_hit, n_items, items_sha256, contaminated (hit words
+    are a twentieth or more), n_near_items (items by proximity)."""
     items = items_of(benchmark, n)
-    hits = matches(docs, items, spare)
-    spread = F.flatten(F.transform("begins", lambda b: F.sequence(b, b + F.col("w") - 1)))
-    named = hits.withColumn("hit", F.array_distinct(spread)).join(hinted(items.select("item", "item_id"), BROADCAST_ROWS), "item")
-    per_doc = named.groupBy("doc_id", "h").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("ids"))
-    per_doc = per_doc.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "n_hit", "ids")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    all_ = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left")
+    terms, lines = terms_of(items)
+    postings = build_index(docs, terms)
+    counts = cut(postings.groupBy("term").agg(F.count("*").alias("n")), "counts")
+    hits = cut(matches(postings, items, lines, counts), "hits")
+    names = hinted(items.select("item", "item_id"), BROADCAST_ROWS)
+    spread = F.explode(F.flatten(F.transform("begins", lambda b: F.sequence(b, b + F.col("w") - 1))))
+    n_hit = hits.select("d", "h", spread.alias("pos")).distinct().groupBy("d", "h").agg(F.count("*").alias("n_hit"))
+    ids = hits.select("d", "h", "item").join(names, "item").groupBy("d", "h").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
+    near = proximity(postings, cut(rarest_terms(lines, terms, counts), "rarest"), n).select("d", "h", "item").distinct()
+    near = near.join(names, "item").groupBy("d", "h").agg(F.count_distinct("item_id").alias("n_near_items"))
+    found = cut(n_hit.join(ids, ["d", "h"]).join(near, ["d", "h"], "full"), "found")
+    dropped(postings)
+    rows = docs.select("doc_id", *document(docs), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    all_ = rows.join(hinted(found, BROADCAST_ROWS), ["d", "h"], "left")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
-    return all_.select("doc_id", "h", "n_words", n_hit.cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return all_.select("doc_id", "d", "h", "n_words", n_hit.cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """:func:`judge` without the texts' hashes."""
-    return judge(docs, benchmark, n).drop("h")
+    """:func:`judge` without what tells documents apart."""
+    return judge(docs, benchmark, n).drop("d", "h")
 
 
-#: DuckDB: every document window of every window length against every item window.
+#: DuckDB: every document window of every window length against every item window; nearness from every word of every document.
 SQL = r"""
 with item as (
-  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark
+  select item_id, row_number() over () as r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark
 ), iw as (
   select distinct item_id, w, array_to_string(ws[b : b + w - 1], ' ') as g
   from (select *, unnest(range(1, len(ws) - w + 2)) as b from (select *, least(len(ws), 13) as w from item where len(ws) > 0))
@@ -164,8 +177,20 @@ with item as (
   select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(b, b + w)) as p from hit) group by doc_id
 ), hi as (
   select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as ids from (select distinct doc_id, item_id::varchar as i from hit) group by doc_id
+), dt as (
+  select doc_id, unnest(ws) as t, unnest(range(0, len(ws))) as p from doc
+), rk as (
+  select r, item_id, t, coalesce(n, 0) as n, row_number() over (partition by r order by coalesce(n, 0), t) as slot
+  from (select r, item_id, unnest(list_distinct(ws)) as t from item) left join (select t, count(*) as n from dt group by t) using (t) qualify slot <= 3
+), mk as (
+  select doc_id, r, item_id, slot, p, k from dt join rk using (t) join (select r, count(*) as k from rk group by r having min(n) > 0) using (r)
+), nr as (
+  select doc_id, count(distinct item_id) as n_near from (
+    select a.doc_id, a.item_id from mk a join mk b on a.doc_id = b.doc_id and a.r = b.r and b.p between a.p and a.p + 12 group by a.doc_id, a.r, a.item_id, a.p, a.k having count(distinct b.slot) = a.k
+  ) group by doc_id
 )
 select doc.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
-from doc left join hw using (doc_id) left join hi using (doc_id)
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated,
+  coalesce(n_near, 0)::bigint as n_near_items
+from doc left join hw using (doc_id) left join hi using (doc_id) left join nr using (doc_id)
 """

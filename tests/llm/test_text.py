@@ -112,10 +112,24 @@ def test_contamination_against_brute_force(spark):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "a b c x x a x b x c"), (2, "a x x x x b c")], "doc_id long, text string")
-    index = decontam.build_index(docs)
-    got = sorted((r.doc_id, r.begin, r.end) for r in decontam.proximity(index, ["a", "b", "c"], 5).collect())
-    assert (1, 0, 2) in got and (1, 5, 9) in got and all(d == 1 for d, _, _ in got)
+    docs = spark.createDataFrame([(1, "a b c x x a x b x c"), (2, "a x x x x b c"), (2, "a x x x x b c")], "doc_id long, text string")
+    wanted = spark.createDataFrame([(7, "a", 0), (7, "b", 1), (7, "c", 2), (8, "x", 0)], "item long, term string, slot int")
+    got = sorted({(r.d, r.begin, r.end) for r in decontam.proximity(decontam.build_index(docs), wanted, 5).where("item = 7").collect()})
+    assert got == [(1, 0, 2), (1, 1, 5), (1, 5, 9)]
+
+
+def test_hot_passages_long_texts_and_repeats(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(20))
+    long = " ".join(f"f{i}" for i in range(200_000)) + " " + passage
+    texts = [f"own{i} {passage} tail" for i in range(60)] + [long, passage + " " + passage, " ".join(passage.split()[:12]) + " gap " + " ".join(passage.split()[12:])]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 30
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(1, passage), (2, " ".join(f"f{i}" for i in range(100, 30_000))), (2, "p1 " * 40)], "item_id long, text string")
+    for rows in (1_000_000, 0):  # all broadcast, and all shuffled
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
+        got = Counter((r.doc_id, r.n_hit, r.n_items, r.contaminated, r.n_near_items > 0) for r in decontam.contamination(d, b).collect())
+        assert got[0, 20, 1, True, True] == 31 and got[61, 40, 1, True, True] == 1 and got[62, 0, 0, False, True] == 1
+        assert got[60, 29_920, 2, True, True] == 1 and sum(got.values()) == len(docs)
 
 
 # quality
@@ -243,13 +257,60 @@ def test_group_edges(spark):
 
 def test_need_bounds_overlaps():
     rng = np.random.default_rng(0)
-    assert [neardup.need(s, 64) for s in (1, 5, 20, 50)] == [1, 5, 17, 43]
+    assert [neardup.need(s, 64) for s in (1, 5, 20, 50)] == [1, 5, 17, 42]
     for _ in range(200):
-        n = int(rng.integers(70, 400))
-        a = rng.integers(0, 2**60, n)
-        b = np.concatenate([a[: int(n * 0.93)], rng.integers(0, 2**60, int(n * 0.07))])
+        n = int(rng.integers(70, 900))
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: int(n * 0.93)], rng.integers(0, 2**63, int(n * 0.07)).astype(np.uint64)])
         if len(np.intersect1d(a, b)) >= 0.85 * len(np.union1d(a, b)):
-            assert len(np.intersect1d(np.sort(a)[:64], np.sort(b)[:64])) >= neardup.need(64, 64)
+            x, y = neardup.sketch_of(np.sort(a)), neardup.sketch_of(np.sort(b))
+            assert len(np.intersect1d(x[:128], y[:128])) >= neardup.need(min(128, len(x)), 128)
+            assert neardup.likely([x, y], np.zeros(2, int), 85).all() and neardup.estimate(x, y) > 0.7
+
+
+def test_likely_pairs_equal_estimates():
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 2**64, n, np.uint64) for n in (3, 12, 40, 300, 500)]
+    sets = [np.unique(np.concatenate([rng.permutation(b)[: int(len(b) * rng.uniform(0.7, 1))], rng.integers(0, 2**64, int(len(b) * rng.uniform(0, 0.2)), np.uint64)])) for b in base for _ in range(12)]
+    sk = [neardup.sketch_of(np.sort(s)) for s in sets]
+    for side in (np.zeros(len(sk), int), np.arange(len(sk)) % 2):
+        want = np.zeros(len(sk), bool)
+        for i in range(len(sk)):
+            for j in range(i):
+                size = min(256, len(np.union1d(sk[i], sk[j])))
+                few = neardup.need(256, 256) if size == 256 else max(1, -(-85 * size // 100) - (size >= 32))
+                if round(neardup.estimate(sk[i], sk[j]) * size) >= few and (side[i] != side[j] or not side.any()):
+                    want[i] = want[j] = True
+        assert (neardup.likely(sk, side, 85) == want).all()
+    linked = {(i, j) for i in range(len(sets)) for j in range(i) if len(both := np.intersect1d(sets[i], sets[j])) * 100 >= 85 * (len(sets[i]) + len(sets[j]) - len(both))}
+    parent = list(range(len(sets)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for i, j in linked:
+        parent[find(i)] = find(j)
+    roots = {}
+    for a, r in neardup.forest(sets, 85):
+        roots[a] = r
+    assert all((roots.get(i, i) == roots.get(j, j)) == (find(i) == find(j)) for i in range(len(sets)) for j in range(i))
+
+
+def test_a_template_alone_fetches_no_text(spark):
+    """Pages of which two thirds are one template (similarity 0.51) share many listed values but no pair is likely."""
+    rng = np.random.default_rng(5)
+    template = [f"t{i}" for i in range(680)]
+    texts = [" ".join(template + [f"p{k}x{i}" for i in range(320)]) for k in range(300)] + [" ".join(rng.permutation([f"w{i}" for i in range(5000)])) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = neardup.sketches(df).selectExpr("xxhash64(fp) as node", "fp", "n_shingles", "sketch").persist()
+    family = neardup.families(rows.select("node", "sketch"), 85)
+    assert neardup.alike(rows.join(family, "node"), 85).count() == 0
+    assert neardup.groups(df).where("not kept").count() == 0
+
+
+def test_a_very_long_text_and_its_copy(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 50_000)
+    long = " ".join(f"w{i}" for i in range(120_000))
+    data = [(1, long), (2, long + " more words here"), (3, "w1 w2 w3 w4 w5 w6"), (4, None)]
+    got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
 def test_components(spark):
