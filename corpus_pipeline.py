@@ -3,7 +3,7 @@ packed into sequences. Each stage takes (spark, docs, sf_dir) and works on all t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm import decontam, neardup, packing, secrets, toxicity
@@ -21,16 +21,16 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows (doc_id, h) of ``gone``; h is the hash of the text."""
+def _without(docs: DataFrame, gone: DataFrame, h: Column) -> DataFrame:
+    """``docs`` without the rows (doc_id, h) of ``gone``; ``h`` is the hash that was made of a document."""
     gone = cut(gone.select(F.col("doc_id").alias("__gone_id"), F.col("h").alias("__gone_h")).distinct(), "gone")
-    return docs.join(hinted(gone, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.xxhash64("text") == F.col("__gone_h")), "left_anti")
+    return docs.join(hinted(gone, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (h == F.col("__gone_h")), "left_anti")
 
 
 def duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group; of repeated rows, one."""
     groups = cut(neardup.assign(docs, percent=NEAR_PERCENT).select("doc_id", "h", "kept"), "groups")
-    out, kept = _without(docs, groups.where("not kept")), groups.where("kept")
+    out, kept = _without(docs, groups.where("not kept"), F.xxhash64("text")), groups.where("kept")
     if kept.groupBy("doc_id", "h").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id", "text"])
     return out
@@ -39,7 +39,7 @@ def duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages are less than a twentieth."""
     found = decontam.judge(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated"))
+    return _without(docs, found.where("contaminated"), decontam.document(docs)[1])
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
