@@ -6,38 +6,56 @@ over 30 % repeated words. The rest are judged by their transformed statistics (l
 symbols, repeated lines and repeated words): per language and source, location and scatter are estimated by minimum
 covariance determinant, and a document far from them by Mahalanobis distance is rejected.
 
-Estimation (all documents that pass the base rules): start from medians and median deviations, keep the ``share`` nearest
-documents of each group, take their mean and covariance, and repeat these concentration steps, each of which lowers the
-determinant; then rescale for consistency and reweight once. Variances have a floor (``FLOORS``), without which the many
-documents with no symbol or repeat at all would make the scatter singular. Groups of fewer than ``MIN_ROWS`` documents use
-their language's estimates, and languages of so few the base rules alone.
+Estimation, from all documents that pass the base rules, for the corpus, each language, and each language and source at once:
 
-Plan: one scan computes the counts; each step is a partial aggregate per group (so a group that holds a third of all rows
-is reduced before the shuffle) and a join with one row per group, broadcast only after counting them. The factorisation of
-a group's covariance is written out as column expressions. Repeated windows are compared by 64-bit hash within a text.
+1. Three deterministic starts: medians with median deviations; means with the covariance of all; medians with the
+   covariance of the statistics bent by a hyperbolic tangent.
+2. Concentration steps: the ``share`` nearest documents give the next mean and covariance, until no determinant falls any
+   more (``MAX_STEPS`` at most; a step that does not lower a determinant is not taken). Of the three the least determinant wins.
+3. Rescaled for consistency and reweighted once.
+4. Shrinkage: an estimate from n documents counts n to ``PRIOR`` against that of the next wider group (its language, the
+   corpus), the distance of their means included, so that groups of any size, one document too, are judged by the same rule.
+
+Variances have a floor (``FLOORS``), without which the many documents with no symbol or repeat at all would make the scatter
+singular; what of a variance the earlier statistics do not explain has a hundredth of it as its floor. ``LEVEL`` gives the cutoff, a quantile of chi-square: see the README for what the levels reject.
+
+Statistics are held in whole 1024ths, so their counts, sums and products are exact: medians come from counts by value and
+the share that is nearest from counts by step of distance (0.4 % wide; the step in which the share is reached belongs to it).
+Estimates and verdicts are the same however the rows are partitioned.
+
+Plan: one scan computes the counts; each step is one partial aggregate per group and step of distance (so a group that holds a
+third of all rows is reduced to some thousand sums a task before the shuffle) and a join with three rows per group, broadcast
+only after groups were counted. The factorisation of a covariance is written out as column expressions. Repeated windows
+are compared by 64-bit hash within a text.
 
 Defined results: null text has no words and fails the base rules; null language or source is a group of its own;
-null or repeated identifiers keep a row each; an empty table gives an empty result; further columns are ignored.
+null or repeated identifiers keep a row each and repeated rows count each time; a text of any length is one row of counts,
+made by one task; documents at the cutoff are kept; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, hinted
+from .shared import cut, dropped, hinted
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Least standard deviations of the transformed statistics.
 FLOORS = (0.12, 0.35, 0.5, 0.6)
-MIN_ROWS = 60
+#: Documents that the next wider group's estimate is worth.
+PRIOR = 50
 #: Share of a clean group that the cutoff gives up, if its statistics were normal.
 LEVEL = 1e-7
-GROUPS_BROADCAST = 200_000
+MAX_STEPS = 30
+GROUPS_BROADCAST = 50_000
+#: Steps of a statistic, and steps of ln(1 + squared distance).
+_UNIT, _FINE = 1024, 256
 _P = len(FLOORS)
+_PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
 
 
 def text_words(text: Column) -> Column:
@@ -85,9 +103,10 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def vector() -> list[Column]:
-    """The transformed statistics."""
+    """The transformed statistics, in whole 1024ths."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), *(F.log1p(100 * F.col(c) / n) for c in ("n_symbols", "n_dup_lines", "n_repeat_words"))]
+    values = [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), *(F.log1p(100 * F.col(c) / n) for c in ("n_symbols", "n_dup_lines", "n_repeat_words"))]
+    return [F.floor(v * _UNIT + 0.5).cast("long") for v in values]
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -112,76 +131,128 @@ def chi2_quantile(p: float, k: int) -> float:
     return high
 
 
-def _distance(xs: list[Column]) -> Column:
-    """Squared Mahalanobis distance from the group's columns m*, l** (lower factor): forward substitution."""
+def _distance() -> Column:
+    """Squared Mahalanobis distance of x* from the group's columns m*, l** (lower factor): forward substitution."""
     ys: list[Column] = []
     for i in range(_P):
-        y = xs[i] - F.col(f"m{i}")
+        y = F.col(f"x{i}") / _UNIT - F.col(f"m{i}")
         for j in range(i):
             y = y - F.col(f"l{i}{j}") * ys[j]
         ys.append(y / F.col(f"l{i}{i}"))
     return sum((y * y for y in ys), F.lit(0.0))
 
 
-def _factor(groups: DataFrame, scale: float) -> DataFrame:
-    """Cholesky factor (l**) of the floored covariance (c**), times ``scale``."""
-    for i in range(_P):
-        for j in range(i + 1):
-            v = F.col(f"c{i}{j}") * scale
-            if i == j:
-                v = F.greatest(v, F.lit(0.0)) + FLOORS[i] ** 2
-            for k in range(j):
-                v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l{j}{j}"))
-    return groups
-
-
-def _moments(rows: DataFrame, keys: list[str], scale: float) -> DataFrame:
-    """Mean and factor of each group, from sums of products."""
-    sums = [F.avg(f"x{i}").alias(f"m{i}") for i in range(_P)] + [F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(_P) for j in range(i + 1)]
-    out = rows.groupBy(*keys).agg(*sums)
-    for i in range(_P):
-        for j in range(i + 1):
-            out = out.withColumn(f"c{i}{j}", F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))
-    return cut(_factor(out, scale).select(*keys, *(f"m{i}" for i in range(_P)), *(f"l{i}{j}" for i in range(_P) for j in range(i + 1))), "moments")
-
-
-def determinant_estimates(rows: DataFrame, keys: list[str], share: float = 0.75, steps: int = 4) -> DataFrame:
-    """Location m* and scatter factor l** of each group (``keys``, not null) of vectors x0.. by concentration steps."""
-    join = lambda left, right: left.join(hinted(right, GROUPS_BROADCAST), keys)
-    half = lambda c: F.percentile_approx(c, 0.5, 5000)
-    mid = cut(rows.groupBy(*keys).agg(F.count("*").alias("rows"), *(half(f"x{i}").alias(f"m{i}") for i in range(_P))).where(F.col("rows") >= MIN_ROWS).drop("rows"), "medians")
-    rows = join(rows, mid.select(*keys))  # groups large enough
-    mad = join(rows, mid).groupBy(*keys).agg(*(half(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"d{i}") for i in range(_P)))
-    scale = [F.sqrt((F.col(f"d{i}") * 1.4826) ** 2 + FLOORS[i] ** 2) for i in range(_P)]
-    est = join(mid, cut(mad, "deviations"))
-    est = cut(est.select(*keys, *(f"m{i}" for i in range(_P)), *((scale[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(_P) for j in range(i + 1))), "start")
+def _factored(groups: DataFrame) -> DataFrame:
+    """``groups`` with covariances c** raised to the floors, their Cholesky factor (l**), and ``det``, the log determinant."""
+    for i, j in _PAIRS:
+        v = F.greatest(F.col(f"c{i}{j}"), F.lit(FLOORS[i] ** 2)) if i == j else F.col(f"c{i}{j}")
+        groups = groups.withColumn(f"c{i}{j}", v)
+        for k in range(j):
+            v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(FLOORS[i] ** 2 / 100))) if i == j else v / F.col(f"l{j}{j}"))
+    return groups.withColumn("det", sum((2 * F.log(f"l{i}{i}") for i in range(_P)), F.lit(0.0)))
+
+
+def _sums(prefix: str = "x") -> list[Column]:
+    """Exact sums of whole numbers and their products, and how many."""
+    one = [F.sum(f"{prefix}{i}").alias(f"s{i}") for i in range(_P)]
+    return [F.count("*").alias("n"), *one, *(F.sum(F.col(f"{prefix}{i}") * F.col(f"{prefix}{j}")).alias(f"q{i}{j}") for i, j in _PAIRS)]
+
+
+def _moments(sums: DataFrame, scale: float) -> DataFrame:
+    """Means m* and covariances c** (times ``scale``) from sums."""
+    mean = lambda i: F.col(f"s{i}") / F.col("n") / _UNIT
+    out = sums.withColumns({f"m{i}": mean(i) for i in range(_P)})
+    return out.withColumns({f"c{i}{j}": (F.col(f"q{i}{j}") / F.col("n") / _UNIT**2 - F.col(f"m{i}") * F.col(f"m{j}")) * scale for i, j in _PAIRS})
+
+
+_M, _C, _L = [f"m{i}" for i in range(_P)], [f"c{i}{j}" for i, j in _PAIRS], [f"l{i}{j}" for i, j in _PAIRS]
+
+
+def _medians(rows: DataFrame, keys: list[str], values: list[Column], names: list[str]) -> DataFrame:
+    """Exact lower medians of whole numbers, from counts by value."""
+    flat = rows.select(*keys, F.posexplode(F.array(*values)).alias("dim", "v")).groupBy(*keys, "dim", "v").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(*keys, "dim")
+    half = flat.withColumns({"upto": F.sum("n").over(whole.orderBy("v")), "all": F.sum("n").over(whole)}).where(2 * F.col("upto") >= F.col("all"))
+    mids = half.groupBy(*keys, "dim").agg(F.min("v").alias("v"))
+    return mids.groupBy(*keys).agg(*(F.max(F.when(F.col("dim") == i, F.col("v"))).alias(n) for i, n in enumerate(names)))
+
+
+def _starts(rows: DataFrame, keys: list[str], join) -> DataFrame:
+    """(keys, start, m*, l**, det): three estimates to start from."""
+    xs = [F.col(f"x{i}") for i in range(_P)]
+    mid = cut(_medians(rows, keys, xs, [f"o{i}" for i in range(_P)]), "medians")
+    off = join(rows, mid)
+    far = cut(_medians(off, keys, [F.abs(x - F.col(f"o{i}")) for i, x in enumerate(xs)], [f"d{i}" for i in range(_P)]), "deviations")
+    robust = far.join(mid, keys).select(*keys, *(F.col(f"o{i}") for i in range(_P)), *(F.greatest(F.col(f"d{i}") * 1.4826 / _UNIT, F.lit(FLOORS[i])).alias(f"w{i}") for i in range(_P)))
+    robust = cut(robust, "robust")
+    bent = [F.floor(F.tanh((x - F.col(f"o{i}")) / _UNIT / F.col(f"w{i}")) * _UNIT + 0.5).cast("long").alias(f"y{i}") for i, x in enumerate(xs)]
+    bends = join(rows, robust).select(*keys, *bent).groupBy(*keys).agg(*_sums("y"))
+    bends = _moments(bends, 1.0).select(*keys, *(F.col(c).alias(f"b{c}") for c in _C))
+    place = [(F.col(f"o{i}") / _UNIT).alias(f"m{i}") for i in range(_P)]
+    plain = robust.select(*keys, F.lit(0).alias("start"), *place, *((F.col(f"w{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS))
+    means = _moments(rows.groupBy(*keys).agg(*_sums()), 1.0).select(*keys, F.lit(1).alias("start"), *_M, *_C)
+    width = lambda i: F.sqrt(F.greatest(F.col(f"bc{i}{i}"), F.lit(1e-9)))
+    tanh = robust.join(bends, keys).select(*keys, F.lit(2).alias("start"), *place, *((F.col(f"bc{i}{j}") / width(i) / width(j) * F.col(f"w{i}") * F.col(f"w{j}")).alias(f"c{i}{j}") for i, j in _PAIRS))
+    return _factored(plain.unionByName(means).unionByName(tanh)).withColumn("det", F.lit(float("inf"))).select(*keys, "start", *_M, *_C, *_L, "det")
+
+
+def determinant_estimates(rows: DataFrame, keys: list[str], share: float = 0.75) -> DataFrame:
+    """(keys, rows, m*, c**): count, location and scatter of each group (``keys``, not null) of vectors x* (whole 1024ths)."""
+    groups = cut(rows.groupBy(*keys).agg(F.count("*").alias("rows")), "groups")
+    few = groups.limit(GROUPS_BROADCAST + 1).count() <= GROUPS_BROADCAST
+    join = lambda left, right: left.join(F.broadcast(right) if few else right, keys)
     inner = chi2_quantile(share, _P)
     consistent = share / chi2_cdf(inner, _P + 2)
-    xs = [F.col(f"x{i}") for i in range(_P)]
-    for _ in range(steps):
-        far = join(rows, est).select(*keys, *xs, _distance(xs).alias("d"))
-        edge = cut(far.groupBy(*keys).agg(F.percentile_approx("d", share, 5000).alias("edge")), "edges")
-        est = _moments(join(far, edge).where("d <= edge"), keys, consistent)
-    near = join(rows, est).where(_distance(xs) <= chi2_quantile(0.975, _P))
-    return _moments(near, keys, 0.975 / chi2_cdf(chi2_quantile(0.975, _P), _P + 2))
+    est = cut(_starts(rows, keys, join), "starts")
+    own = [*keys, "start"]
+    for _ in range(MAX_STEPS):
+        step = F.floor(F.log1p(_distance()) * _FINE).cast("long")
+        by_step = join(rows, est).withColumn("step", step).groupBy(*own, "step").agg(*_sums())
+        over = Window.partitionBy(*own)
+        marked = by_step.withColumns({"upto": F.sum("n").over(over.orderBy("step")), "all": F.sum("n").over(over)})
+        nearest = marked.where(F.col("upto") - F.col("n") < F.ceil(share * F.col("all")))
+        sums = nearest.groupBy(*own).agg(*(F.sum(c).alias(c) for c in ["n", *(f"s{i}" for i in range(_P)), *(f"q{i}{j}" for i, j in _PAIRS)]))
+        new = _factored(_moments(sums, consistent)).select(*own, F.struct(*_M, *_C, *_L, "det").alias("new"))
+        fell = F.col("new.det") < F.col("old.det") - 1e-9
+        both = est.select(*own, F.struct(*_M, *_C, *_L, "det").alias("old")).join(new, own)
+        was, est = est, cut(both.select(*own, F.when(fell, F.col("new")).otherwise(F.col("old")).alias("e"), fell.alias("fell")).select(*own, "e.*", "fell"), "estimates")
+        dropped(was)
+        if not est.where("fell").limit(1).count():
+            break
+    best = est.groupBy(*keys).agg(F.min(F.struct("det", "start", *_M, *_L)).alias("b")).select(*keys, "b.*")
+    near = join(rows, cut(best, "best")).where(_distance() <= chi2_quantile(0.975, _P))
+    last = _moments(near.groupBy(*keys).agg(*_sums()), 0.975 / chi2_cdf(chi2_quantile(0.975, _P), _P + 2))
+    return cut(_factored(last.join(groups, keys)).select(*keys, "rows", *_M, *_C), "determinants")
+
+
+def _shrunk(own: DataFrame, wide: DataFrame, on: list[str]) -> DataFrame:
+    """``own`` (rows, m*, c**) drawn towards the estimates ``wide`` of the groups that hold them (joined by ``on``)."""
+    wide = wide.select(*on, *(F.col(c).alias(f"w{c}") for c in (*_M, *_C)))
+    w = F.col("rows") / (F.col("rows") + F.lit(float(PRIOR)))
+    mix = lambda c: w * F.col(c) + (1 - w) * F.col(f"w{c}")
+    apart = lambda i: F.col(f"m{i}") - F.col(f"wm{i}")
+    met = own.join(F.broadcast(wide), on) if on else own.crossJoin(F.broadcast(wide))  # on nothing: the corpus, one row
+    keep = [c for c in own.columns if c not in (*_M, *_C)]
+    return met.select(*keep, *(mix(c).alias(c) for c in _M), *((mix(f"c{i}{j}") + w * (1 - w) * apart(i) * apart(j)).alias(f"c{i}{j}") for i, j in _PAIRS), w.alias("own_weight"))
 
 
 def judge(docs: DataFrame, level: float = LEVEL) -> DataFrame:
-    """doc_id, the counts, base_failed, distance (null where no estimate holds), kept."""
+    """doc_id, the counts, base_failed, distance, own_weight (that of the group's own estimate), kept."""
     stats = statistics(docs).withColumns({"g0": F.coalesce("lang", F.lit("\0")), "g1": F.coalesce("source", F.lit("\0"))})
     stats = cut(stats.withColumns({f"x{i}": x for i, x in enumerate(vector())}), "statistics")
-    every = F.lit("\1")  # stands for all sources of a language: both levels are estimated in the same passes
-    sound = stats.where("not base_failed").select("g0", F.explode(F.array("g1", every)).alias("g1"), *(f"x{i}" for i in range(_P)))
+    every = F.lit("\1")  # stands for all: the three kinds of group are estimated in the same passes
+    kinds = F.array(F.struct(every.alias("g0"), every.alias("g1")), F.struct("g0", every.alias("g1")), F.struct("g0", "g1"))
+    sound = stats.where("not base_failed").select(F.explode(kinds).alias("g"), *(f"x{i}" for i in range(_P))).select("g.*", *(f"x{i}" for i in range(_P)))
     est = determinant_estimates(sound, ["g0", "g1"])
-    xs = [F.col(f"x{i}") for i in range(_P)]
-    params = [c for c in est.columns if c not in ("g0", "g1")]
-    rows = stats.join(hinted(est, GROUPS_BROADCAST), ["g0", "g1"], "left").withColumn("near", _distance(xs)).drop(*params)
-    langs = cut(est.where(F.col("g1") == every).drop("g1"), "languages")
-    rows = rows.join(hinted(langs, GROUPS_BROADCAST), ["g0"], "left").withColumn("distance", F.coalesce("near", _distance(xs)))
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi2_quantile(1 - level, _P))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
+    corpus = est.where((F.col("g0") == every) & (F.col("g1") == every))
+    langs = cut(_shrunk(est.where((F.col("g0") != every) & (F.col("g1") == every)).drop("g1"), corpus, []), "languages")
+    last = _factored(_shrunk(est.where(F.col("g1") != every), langs, ["g0"])).select("g0", "g1", "own_weight", *_M, *_L)
+    rows = stats.join(hinted(cut(last, "shrunk"), GROUPS_BROADCAST), ["g0", "g1"], "left").withColumn("distance", _distance())
+    kept = ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(1 - level, _P))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "own_weight", F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    return judge(docs).drop("distance")
+    """The counts and the verdict."""
+    return judge(docs).drop("distance", "own_weight")

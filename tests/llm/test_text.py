@@ -172,15 +172,97 @@ def test_quality_counts_and_outliers(spark):
     assert quality.verdicts(empty).count() == 0
 
 
-def test_distances_equal_numpy(spark):
+def _factor(c):
+    low = np.zeros((4, 4))
+    for i in range(4):
+        for j in range(i + 1):
+            v = c[i, j] - low[i, :j] @ low[j, :j]
+            low[i, j] = np.sqrt(max(v, quality.FLOORS[i] ** 2 / 100)) if i == j else v / low[j, j]
+    return low, 2 * np.log(np.diag(low)).sum()
+
+
+def _floored(c):
+    c = c.copy()
+    c[np.diag_indices(4)] = np.maximum(np.diag(c), np.square(quality.FLOORS))
+    return c
+
+
+def _cov(x, scale=1.0):
+    m = x.mean(0)
+    return m, ((x.T @ x) / len(x) - np.outer(m, m)) * scale
+
+
+def _mcd(v, share=0.75):
+    """v: whole 1024ths. The estimate by the method of the module, in NumPy."""
+    x = v / 1024
+    low = lambda a: np.sort(a, axis=0)[(len(a) - 1) // 2]
+    med = low(v)
+    w = np.maximum(low(np.abs(v - med)) * 1.4826 / 1024, quality.FLOORS)
+    y = np.floor(np.tanh((v - med) / 1024 / w) * 1024 + 0.5) / 1024
+    by = _cov(y)[1]
+    root = np.sqrt(np.maximum(np.diag(by), 1e-9))
+    starts = [(med / 1024, np.diag(w**2)), _cov(x), (med / 1024, by / np.outer(root, root) * np.outer(w, w))]
+    inner = quality.chi2_quantile(share, 4)
+    scale, best = share / quality.chi2_cdf(inner, 6), []
+    dist = lambda m, c: np.square(np.linalg.solve(_factor(_floored(c))[0], (x - m).T)).sum(0)
+    for k, (m, c) in enumerate(starts):
+        det = np.inf
+        while True:
+            step = np.floor(np.log1p(dist(m, c)) * 256)
+            edge = np.sort(step)[int(np.ceil(share * len(x))) - 1]
+            nm, nc = _cov(x[step <= edge], scale)
+            new = _factor(_floored(nc))[1]
+            if not new < det - 1e-9:
+                break
+            m, c, det = nm, nc, new
+        best.append((det, k, m, c))
+    _, _, m, c = min(best, key=lambda b: b[:2])
+    cut = quality.chi2_quantile(0.975, 4)
+    m, c = _cov(x[dist(m, c) <= cut], 0.975 / quality.chi2_cdf(cut, 6))
+    return m, _floored(c), len(x)
+
+
+def _drawn(own, wide):
+    (m, c, n), (wm, wc) = own, wide[:2]
+    w = n / (n + quality.PRIOR)
+    return w * m + (1 - w) * wm, w * c + (1 - w) * wc + w * (1 - w) * np.outer(m - wm, m - wm)
+
+
+def test_verdicts_equal_numpy_and_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = docs.unionByName(spark.createDataFrame([(-1, "a rare tongue " * 2 + " ".join(f"w{i}" for i in range(30)), "xx", "alone"), (-2, "só só " + " ".join(f"y{i}" for i in range(40)), None, None)], docs.schema))
+    got = [{r.doc_id: (r.kept, r.base_failed, None if r.distance is None else round(r.distance, 6), r.lang, r.source, *(r[f"x{i}"] for i in range(4))) for r in _judged(docs.repartition(n))} for n in (1, 4, 32)]
+    assert got[0] == got[1] == got[2] and got[0][-1][0] and got[0][-2][0]
+    rows = [(i, *v) for i, v in got[0].items()]
+    sound = [r for r in rows if not r[2]]
+    of = lambda test: np.array([r[6:] for r in sound if test(r)], float)
+    corpus = _mcd(of(lambda r: True))
+    for lang in {r[4] for r in sound}:
+        wide = _drawn(_mcd(of(lambda r: r[4] == lang)), corpus)
+        for source in {r[5] for r in sound if r[4] == lang}:
+            m, c = _drawn(_mcd(of(lambda r: r[4:6] == (lang, source))), wide)
+            low = _factor(_floored(c))[0]
+            for r in sound:
+                if r[4:6] == (lang, source):
+                    d = np.square(np.linalg.solve(low, np.array(r[6:]) / 1024 - m)).sum()
+                    assert abs(d - r[3]) < 1e-4 * (1 + d) and r[1] == (r[3] <= quality.chi2_quantile(1 - quality.LEVEL, 4))
+
+
+def _judged(docs):
+    stats = quality.statistics(docs).select("doc_id", "lang", "source", *(x.alias(f"x{i}") for i, x in enumerate(quality.vector())))
+    return quality.judge(docs).join(stats, "doc_id").collect()
+
+
+def test_estimates_resist_a_shifted_tenth(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(400, 4)) @ np.array([[1, 0.5, 0, 0], [0, 1, 0, 0.3], [0, 0, 1, 0], [0, 0, 0, 1]])
     x[:40] += 25
-    df = spark.createDataFrame([("g", *r.tolist()) for r in x], "g string, x0 double, x1 double, x2 double, x3 double")
+    v = np.floor(x * 1024 + 0.5).astype(int)
+    df = spark.createDataFrame([("g", *r.tolist()) for r in v], "g string, x0 long, x1 long, x2 long, x3 long")
     est = quality.determinant_estimates(df, ["g"]).first()
-    assert np.allclose([est[f"m{i}"] for i in range(4)], x[40:].mean(0), atol=0.15)  # the shifted tenth has no say
-    low = np.array([[est[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
-    assert np.allclose(low @ low.T, np.cov(x[40:].T) + np.diag(np.square(quality.FLOORS)), atol=0.5)
+    assert est.rows == 400 and np.allclose([est[f"m{i}"] for i in range(4)], x[40:].mean(0), atol=0.15)
+    cov = np.array([[est[f"c{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)])
+    assert np.allclose(cov, np.cov(x[40:].T), atol=0.5)
     assert abs(quality.chi2_quantile(0.95, 4) - 9.4877) < 1e-3
 
 
