@@ -31,6 +31,7 @@ of any name are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -51,6 +52,10 @@ RETAINED, LISTED = 256, 128
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 #: Members of families up to which their keys are broadcast to fetch texts (about 50 bytes each).
 BROADCAST_ROWS = 200_000
+#: The same of two numbers each: classes with their families.
+FAMILY_ROWS = 1_000_000
+#: Classes that a task compares, about.
+TASK_ROWS = 1_000
 
 
 def need(s: int, k: int, percent: int = 85, chance: float = 1e-9) -> int:
@@ -106,13 +111,15 @@ def families(classes: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def cells(members: DataFrame) -> DataFrame:
-    """``members`` (family, fp, n_shingles, ...), once for each pair (i, j) of its family's blocks that its block ``own`` is in."""
+def cells(members: DataFrame) -> tuple[DataFrame, int]:
+    """``members`` (family, fp, n_shingles, ...), once for each pair (i, j) of its family's blocks that its block ``own`` is in,
+    and how many rows that makes."""
     sized = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
-    sized = sized.select("family", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = members.join(sized, "family").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    sized = sized.select("family", "n", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    count = sized.agg(F.sum(F.col("n") * F.col("blocks")).alias("n")).first().n or 0
+    rows = members.join(sized.drop("n"), "family").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j"))))
-    return rows.withColumn("cell", pair).select(*members.columns, "own", "cell.i", "cell.j")
+    return rows.withColumn("cell", pair).select(*members.columns, "own", "cell.i", "cell.j"), count
 
 
 def estimate(a: np.ndarray, b: np.ndarray, k: int = RETAINED) -> float:
@@ -121,18 +128,27 @@ def estimate(a: np.ndarray, b: np.ndarray, k: int = RETAINED) -> float:
     return float((np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)).mean())
 
 
+@functools.cache
+def _thresholds(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least overlap of two linked sketches, by the size of one, and least shared part of their union's sketch, by its size."""
+    sizes = range(1, RETAINED + 1)
+    overlaps = [0, *(need(x, RETAINED, percent) for x in sizes)]
+    estimates = [0, *(need(x, x if x == RETAINED else 2 * RETAINED, percent) for x in sizes)]
+    return np.array(overlaps), np.array(estimates)
+
+
 def likely(sketches_: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
     """Which sketches have a partner that the union-sketch estimate does not rule out; with two sides, one of the other side."""
     n, k, two = len(sketches_), RETAINED, len(np.unique(side)) > 1
     sizes = np.array([len(x) for x in sketches_])
-    least = np.array([0, *(need(x, x, percent) if x == k else max(1, -(-percent * x // 100) - int(x >= 32)) for x in range(1, k + 1))])
+    overlaps, estimates = _thresholds(percent)
     values, inverse = np.unique(np.concatenate(sketches_), return_inverse=True)
     place, at = np.full((n, k), len(values)), 0
     for i, x in enumerate(sizes.tolist()):
         place[i, :x] = inverse[at : at + x]
         at += x
     rank, own = np.full(len(values) + 1, -1, np.int32), np.arange(k, dtype=np.int32)
-    few = np.array([0, *(need(x, k, percent) for x in range(1, k + 1))])[sizes]
+    few = overlaps[sizes]
     out = np.zeros(n, bool)
     for i in range(n):
         if out[i]:
@@ -151,15 +167,16 @@ def likely(sketches_: list[np.ndarray], side: np.ndarray, percent: int) -> np.nd
             place_in_union = other[js] + own - (np.cumsum(shared, axis=1) - shared)
             size = np.minimum(k, sizes[js] + sizes[i] - overlap[js])
             held = (shared & (place_in_union < size[:, None])).sum(1)
-            js = js[held >= least[size]]
+            js = js[held >= estimates[size]]
             if len(js):
                 out[js] = out[i] = True
         rank[place[i, : sizes[i]]] = -1
     return out
 
 
-def _per_cell(rows: DataFrame, schema: str, columns: list[str], work) -> DataFrame:
-    """``work`` on the rows (family, i, j, ``columns``) of each cell, lists by column; it returns lists by column of ``schema``."""
+def _per_cell(rows: DataFrame, count: int, schema: str, columns: list[str], work) -> DataFrame:
+    """``work`` on the rows (family, i, j, ``columns``), ``count`` of them, of each cell, lists by column; it returns lists by
+    column of ``schema``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -184,8 +201,9 @@ def _per_cell(rows: DataFrame, schema: str, columns: list[str], work) -> DataFra
         if found and found[0]:
             yield batch(found)
 
-    dealt = rows.select("family", "i", "j", *columns).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return dealt.mapInArrow(run, schema)
+    rows = rows.select("family", "i", "j", *columns)
+    tasks = max(1, -(-count // TASK_ROWS))  # much work on few bytes: not to be coalesced by size
+    return rows.repartition(tasks, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, schema)
 
 
 def alike(members: DataFrame, percent: int) -> DataFrame:
@@ -196,7 +214,7 @@ def alike(members: DataFrame, percent: int) -> DataFrame:
         found = np.flatnonzero(likely([x.values.to_numpy() for x in held], np.array(own), percent))
         return [*([x] * len(found) for x in key), [fps[i] for i in found]]
 
-    return _per_cell(cells(members), "family long, i int, j int, fp binary", ["fp", "own", "sketch"], work)
+    return _per_cell(*cells(members), "family long, i int, j int, fp binary", ["fp", "own", "sketch"], work)
 
 
 def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -228,15 +246,15 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(held: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links that connect what is linked in each pair of blocks (family, i, j, fp, text)."""
+def links(held: DataFrame, count: int, size: int, percent: int) -> DataFrame:
+    """(a, b): links that connect what is linked in each pair of blocks (family, i, j, fp, text), of ``count`` rows."""
 
     def work(key: tuple, columns: list[list]) -> list[list]:
         fps, texts = columns
         found = forest(list(shingle_sets(texts, size)), percent)
         return [[fps[a] for a, _ in found], [fps[b] for _, b in found]]
 
-    return _per_cell(held, "a binary, b binary", ["fp", "text"], work)
+    return _per_cell(held, count, "a binary, b binary", ["fp", "text"], work)
 
 
 def assign(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,13 +264,13 @@ def assign(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("member"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("node", F.xxhash64("fp")), "classes")
     family = families(classes.select("node", "sketch"), percent)
-    members = cut(classes.select("node", "fp", "n_shingles", "sketch", F.col("member.doc_id").alias("d"), F.col("member.h").alias("mh")).join(family, "node").drop("node"), "members")
+    members = cut(classes.select("node", "fp", "n_shingles", "sketch", F.col("member.doc_id").alias("d"), F.col("member.h").alias("mh")).join(hinted(cut(family, "families"), FAMILY_ROWS), "node").drop("node"), "members")
     near = cut(alike(members, percent), "alike")
     wanted = cut(members.select("fp", "d", "mh").join(near.select("fp").distinct(), "fp", "left_semi"), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     held = texts.join(hinted(wanted, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("mh"))).select("fp", "text")
     held = cut(held.dropDuplicates(["fp"]), "texts")
-    edges = cut(links(near.join(held, "fp"), size, percent), "links")
+    edges = cut(links(near.join(held, "fp"), near.count(), size, percent), "links")
     linked = components(edges, "a", "b")
     own = classes.select("fp", "least")
     found = linked.join(own, F.col("node") == F.col("fp")).select("root", "fp", "least")
