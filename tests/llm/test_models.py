@@ -29,16 +29,20 @@ def _toxic_docs(n, seed):
     return out
 
 
+def _known(spark, rows, n):
+    return spark.createDataFrame([(i, 1 - y if i % 7 else y, y) for i, _, y in rows[:n]] + [(None, 1, 1), (5, 1, None), (2, 0, 0)], "doc_id long, quality int, toxic int")
+
+
 def test_held_out_accuracy(spark):
     rows = _toxic_docs(1500, 1)
     docs = spark.createDataFrame([(i, t, "q") for i, t, _ in rows] + [(None, None, "q"), (3, "", "q")], "doc_id long, text string, toxic string").repartition(3)
-    known = spark.createDataFrame([(i, y) for i, _, y in rows[:1000]] + [(None, 1), (5, None), (2, 0)], "doc_id long, toxic int")
+    known = _known(spark, rows, 1000)
     got = {r.doc_id: r for r in toxicity.classify(docs, known).collect()}
     held = rows[1000:]
     right = sum(got[i].toxic == bool(y) for i, _, y in held)
     assert right / len(held) > 0.97
     assert not any(got[i].toxic for i, _, y in held if not y)
-    assert got[None].kept and {"p_insult", "p_contempt", "p_toxic"} <= set(got[0].asDict())
+    assert got[None].kept and {"p_quality", "p_toxic"} <= set(got[0].asDict())
     assert toxicity.classify(docs, known.where("false")).where("toxic").count() == 0
     assert toxicity.classify(docs.where("false"), known).count() == 0
     clean = toxicity.clean(docs, known)
@@ -46,14 +50,61 @@ def test_held_out_accuracy(spark):
     assert {r.doc_id for r in clean.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def _chain_by_numpy(rows, labels, fold, ask):
+    """Word choice by counting in Python; the chain and its probabilities for ``ask``."""
+    docs = [set(re.findall("[a-z]+", t.lower())) for t in rows]
+    h = {w: int(next(shingle_sets([w], 1, blanks=SIGNS))[0]) for d in [*docs, *(set(re.findall("[a-z]+", t.lower())) for t in ask)] for w in d}
+    chosen = {}
+    for c in range(labels.shape[1]):
+        for k in range(-1, toxicity.FOLDS):
+            at = [i for i in range(len(docs)) if fold[i] != k]
+            n, p = float(len(at)), float(labels[at, c].sum())
+            if not 0 < p < n:
+                continue
+            scored = []
+            for w in {w for i in at for w in docs[i]}:
+                has = [i for i in at if w in docs[i]]
+                count, hit = float(len(has)), float(labels[has, c].sum())
+                chi = (hit - count * (p / n)) ** 2 * n * n / max(1e-9, count * (n - count) * (p * (n - p) / n))
+                if count >= 3 and chi > 4:
+                    scored.append((-chi, np.array([h[w]], np.uint64).view(np.int64)[0], h[w]))
+            chosen[c, k] = np.sort(np.array([x for *_, x in sorted(scored)[: toxicity.FEATURES]], np.uint64))
+    sets = [np.sort(np.array([h[w] for w in d], np.uint64)) for d in docs]
+    chain, threshold = toxicity.train_chain(sets, labels, fold, chosen)
+    asked = [np.sort(np.array([h[w] for w in set(re.findall("[a-z]+", t.lower()))], np.uint64)) for t in ask]
+    return np.round(toxicity.predict(chain, asked), 6), threshold
+
+
+def test_probabilities_equal_numpy_on_any_partitions(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 40)
+    rows = _toxic_docs(400, 3)
+    long = "idiot " * 3 + "z " * 300_000
+    extra = [(900, long), (901, None)] + [(1, rows[1][1])] * 50  # a very long text, none, one labelled row many times
+    known = _known(spark, rows, 300).unionByName(spark.createDataFrame([(7, 0, 1), (7, 0, 0)], "doc_id long, quality int, toxic int"))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + extra, "doc_id long, text string")
+    got = [sorted(((r.doc_id, r.p_quality, r.p_toxic, r.toxic) for r in toxicity.classify(docs.repartition(n), known).collect()), key=str) for n in (1, 4, 32)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 452
+    best = {i: (1 - y if i % 7 else y, y) for i, _, y in rows[:300]}
+    best[7] = (best[7][0], 1)  # the larger of contradicting labels
+    best[2] = (max(best[2][0], 0), best[2][1])
+    fold = {r.doc_id: r.f for r in known.where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    ids = sorted(best)
+    want, threshold = _chain_by_numpy([rows[i][1] for i in ids], np.array([best[i] for i in ids]), np.array([fold[i] for i in ids]), [t for _, t, _ in rows] + [long])
+    by = {r[0]: r for r in got[0]}
+    for i, p in zip([*range(400), 900], want, strict=True):
+        assert np.allclose(by[i][1:3], p, atol=2e-6) and by[i][3] == (by[i][2] >= threshold)
+    assert by[900][3]
+
+
 def test_chain_uses_earlier_categories():
     rng = np.random.default_rng(0)
     vocab = [f"x{i}" for i in range(50)]
     texts = [" ".join(rng.choice(vocab, 10)) for _ in range(800)]
     sets = list(shingle_sets(texts, 1, blanks=SIGNS))
     first = np.array(["x7" in t.split() for t in texts], int)
-    chain, threshold = toxicity.train_chain(sets, np.stack([first, first], 1), np.arange(800) % 5)
-    assert abs(chain[1].earlier[0]) > 0.1 and 0 < threshold <= 0.5
+    every = np.unique(np.concatenate(sets))
+    chain, threshold = toxicity.train_chain(sets, np.stack([first, first], 1), np.arange(800) % 5, {(c, k): every if c == 0 else every[:0] for c in (0, 1) for k in range(-1, 5)})
+    assert chain[1].earlier[0] > 1 and 0 < threshold <= 0.5  # the second has nothing else to go by
     assert ((toxicity.predict(chain, sets)[:, 1] > 0.5) == first.astype(bool)).mean() > 0.99
 
 
