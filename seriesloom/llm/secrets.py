@@ -1,7 +1,8 @@
 r"""Secret scan with a random forest against false positives (operator 1, DataFrame and Spark ML functions only).
 
 Candidates are runs of 12 or more characters ``[A-Za-z0-9_/+.=-]`` that hold a digit, however far into the run, and runs of
-any length, with or without digits, that a key word assigns (``password: ...``). Each is described by its length, its
+any length, with or without digits, that a key word assigns (``password: ...``). A run without a digit that no key word
+assigns is no candidate: nearly all such runs are words, and nothing but their letters would speak for them. Each is described by its length, its
 character classes and the transitions between them, the share of it that dictionary words cover, its path, and the words and
 signs beside it; a random forest trained from labelled findings gives the probability that it is a secret.
 
@@ -13,7 +14,8 @@ Plan: one scan finds the texts that have a candidate (a regular expression; most
 around candidates and the text is split at them, so that a text of any length gives its candidates in one pass. Places come
 from a running sum per text. Scoring is a JVM expression. Redaction joins spans to texts, by broadcast only if they are few.
 
-Defined results: null or empty text has no candidates; rows are told apart by (doc_id, hash of the text), so a repeated row
+Defined results: null or empty text has no candidates; of a text of any length all candidates are scored, each with the 64
+characters before and the 32 after it as its neighbours; candidates of equal features get equal probabilities; rows are told apart by (doc_id, hash of the text), so a repeated row
 is scanned once and its findings appear once, while redaction applies to every copy; null identifiers and paths are kept;
 an empty table gives no findings; the control characters U+0001 and U+0002 count as blanks; further columns are ignored by
 the scan and passed through by the redaction.
@@ -55,7 +57,10 @@ DICTIONARY = (
     "price print private process product profile project property proxy public query queue quick random range read record red region release remote remove render report request reset resource response result "
     "return right role root route row rule run safe sample save schema scope screen script search section secure select send server service session set setting share short show side sign simple single site size "
     "slot small social sort source space spec split stack stage star start state static status step stop storage store stream string style submit success super support switch system table target task team temp "
-    "template test text theme thread thumb time title todo token tool top total track tree trigger type unit update upload user util value vendor version video view web white width window word work world year zone"
+    "template test text theme thread thumb time title todo token tool top total track tree trigger type unit update upload user util value vendor version video view web white width window word work world year zone "
+    "aber auch bild datei daten dass durch eine einen fehler haben herr ihre jahr kann karte leer liste mehr nach name nicht noch oder passwort schlüssel seite sich sind suche über werden wenn wird zeit zwischen "
+    "avec cette clé comme dans date depuis deux donnée elle erreur être fichier jour leur liste mais même mot notre nous page passe plus pour sans site sont sous temps titre tout une utilisateur valeur vers vous "
+    "años archivo bien cada clave como contraseña cuando datos desde donde entre error está este fecha hasta hora lista mucho nombre otro página para pero porque puede según sobre también tiempo todo usuario valor vida"
 ).split()
 
 
@@ -63,15 +68,15 @@ def _count(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(pattern), F.lit(pattern[1:])))
 
 
-def features(rows: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``rows`` (candidate, before, after, path) with a column per feature, and their names."""
+def features(rows: DataFrame, dictionary: list[str] = DICTIONARY) -> tuple[DataFrame, list[str]]:
+    """``rows`` (candidate, before, after, path) with a column per feature, and their names. ``dictionary``: words of any language."""
     c = F.col("candidate")
     lower = "abcdefghijklmnopqrstuvwxyz"
     kinds = "".join("v" if x in "aeiou" else "c" for x in lower)
     shape = F.translate(c, lower + lower.upper() + "0123456789_/+.=-", kinds + "u" * 26 + "d" * 10 + "s" * 6)
     rows = rows.withColumns({"_shape": shape, "_n": F.length(c).cast("double"), "_before": F.lower(F.coalesce("before", F.lit(""))), "_after": F.coalesce("after", F.lit("")), "_path": F.lower(F.coalesce("path", F.lit("")))})
     s, n = F.col("_shape"), F.col("_n")
-    dictionary = "(?:" + "|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=lambda w: (-len(w), w))) + ")"
+    dictionary = "(?:" + "|".join(sorted({w for w in dictionary if len(w) > 3}, key=lambda w: (-len(w), w))) + ")"
     share = lambda k: (n - F.length(F.replace(s, F.lit(k), F.lit("")))) / n
     pairs = {f"t_{a}{b}": _count(s, a + b) / n for a in "vcuds" for b in "vcuds"}
     flag = lambda text, pattern: F.regexp_like(text, F.lit(pattern)).cast("double")
