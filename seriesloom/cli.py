@@ -25,10 +25,15 @@ def main(args: list[str] | None = None) -> None:
         for n in needs:
             verb.add_argument(f"--{n}", required=True)
         if name in ("label", "query"):
-            verb.add_argument("--kind", choices=("exact", "knn", "range"), default="knn")
+            verb.add_argument("--kind", choices=("exact", "knn", "range"), default=["knn"], nargs="+" if name == "label" else 1)
     opts = parser.parse_args(args)
     logging.basicConfig(format="%(asctime)s %(message)s", level=logging.INFO)
     values = read_properties(opts.config) if opts.config else {}
+    if "log" in values:  # a file besides the console, appended to
+        handler = logging.FileHandler(values["log"])
+        handler.setFormatter(logging.Formatter("%(asctime)s %(message)s"))
+        log.addHandler(handler)
+        log.setLevel(logging.INFO)
     spark = SparkSession.builder.appName("seriesloom").getOrCreate()
     cfg, ask, make = (from_properties(kind, values) for kind in (IndexConfig, QueryConfig, LabelConfig))
     if opts.verb == "generate":
@@ -37,21 +42,23 @@ def main(args: list[str] | None = None) -> None:
     elif opts.verb == "build":
         log.info("%s", describe(cfg))
         built = indexes.build(storage.read_series(spark, opts.series), opts.index, cfg)
-        sizes = stats.file_sizes(spark, f"{opts.index}/series")
-        log.info("%d partitions; %s", built.tree.partitions, stats.summary(sizes, "mb").first())
+        log.info("%d partitions; %s", built.tree.partitions, stats.summary(stats.file_sizes(spark, f"{opts.index}/series"), "mb").first())
+        for r in stats.build_report(spark, opts.index, cfg.block_mb).collect():  # a row per bin
+            log.info("%s", r)
     elif opts.verb == "label":
         storage.require(spark, series=opts.series)
         series = storage.read_series(spark, opts.series)
-        if opts.kind == "exact":
-            storage.save_labels(labels.exact_labels(series, make, cfg.length), opts.labels)
-        else:
-            picked = series.orderBy("series_id").limit(make.count * (50 if opts.kind == "knn" else 1)).selectExpr("series_id as qid", "values")
-            queries = search.queries_of(picked, cfg.length)
-            made = (labels.knn_labels if opts.kind == "knn" else labels.range_labels)(series, queries, make)
-            storage.save_labels(made.join(picked, "qid").select("qid", "values", "neighbours").limit(make.count), opts.labels)
+        for kind in opts.kind:
+            place = opts.labels if len(opts.kind) == 1 else f"{opts.labels}/{kind}"
+            if kind == "exact":
+                storage.save_labels(labels.exact_labels(series, make, cfg.length), place)
+                continue
+            picked = series.orderBy("series_id").limit(make.count * (50 if kind == "knn" else 1)).selectExpr("series_id as qid", "values")
+            made = search.each_block(picked, cfg.length, lambda qs, f=labels.knn_labels if kind == "knn" else labels.range_labels: f(series, qs, make))
+            storage.save_labels(made.join(picked, "qid").select("qid", "values", "neighbours").orderBy("qid").limit(make.count), place)
     elif opts.verb == "query":
         storage.require(spark, index=opts.index, labels=opts.labels)
-        log.info("%s", run_queries(spark, opts.kind, opts.index, opts.labels, ask).first())
+        log.info("%s", run_queries(spark, opts.kind[0], opts.index, opts.labels, ask).first())
     else:
         stats.distinct_words(indexes.tag(storage.read_series(spark, opts.series), cfg), cfg).orderBy("level").show()
 

@@ -106,7 +106,7 @@ class WalkConfig:
         return max(1, math.ceil(self.count * record * rate / 1024 / 1024 / self.block_mb))
 
     def path(self, root: str) -> str:
-        return f"{root.rstrip('/')}/TS-{self.count}-{self.length}-{self.partitions()}"
+        return f"{root.rstrip('/')}/walks-{self.count}-{self.length}-{self.partitions()}"
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,7 @@ class QueryConfig:
     max_words: int = 3
     word_order: int = 0  # 0 to 6, see operators.envelope
     min_partitions: int = 1
-    max_partitions: int = 5
+    max_partitions: int | None = None  # of kind 2, besides the home; all if not given
     bloom: bool = False
     seed: int = 42
 

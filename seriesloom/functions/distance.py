@@ -73,17 +73,32 @@ def unword(w: str, cfg: IndexConfig) -> np.ndarray:
     return out
 
 
+def boxes(words: list[str], cfg: IndexConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper edges (words, segments) of the nodes' boxes; the root's are infinite."""
+    lo, hi = np.full((len(words), cfg.word_length), -np.inf), np.full((len(words), cfg.word_length), np.inf)
+    shifts = np.arange(cfg.word_length - 1, -1, -1)
+    lengths = np.array([len(w) for w in words], int)
+    for size in np.unique(lengths[lengths > 0]) if len(words) else []:
+        at, level = np.flatnonzero(lengths == size), int(size) // cfg.digits
+        digits = np.array([[int(words[i][k : k + cfg.digits], 16) for k in range(0, size, cfg.digits)] for i in at], object if cfg.word_length > 62 else np.int64)
+        syms = np.zeros((len(at), cfg.word_length), int)
+        for x in digits.T:
+            syms = syms * 2 + ((x[:, None] >> shifts) & 1)
+        edges = np.concatenate([[-np.inf], breakpoints(1 << level), [np.inf]])
+        lo[at], hi[at] = edges[syms], edges[syms + 1]
+    return lo, hi
+
+
+def bounds_to(lo: np.ndarray, hi: np.ndarray, lower: np.ndarray, upper: np.ndarray, cfg: IndexConfig) -> np.ndarray:
+    """Bounds of one query's segment means to boxes."""
+    weight = np.diff(np.append(np.arange(0, cfg.length, cfg.step), cfg.length))
+    gap = np.maximum(0, np.maximum(lo - upper, lower - hi))
+    return np.sqrt((gap * gap) @ weight)
+
+
 def box_bounds(words: list[str], lower: np.ndarray, upper: np.ndarray, cfg: IndexConfig) -> np.ndarray:
     """Bounds of one query to each node."""
-    weight = np.diff(np.append(np.arange(0, cfg.length, cfg.step), cfg.length))
-    out = np.zeros(len(words))
-    for i, w in enumerate(words):
-        if w:
-            edges = np.concatenate([[-np.inf], breakpoints(1 << len(w) // cfg.digits), [np.inf]])
-            s = unword(w, cfg)
-            gap = np.maximum(0, np.maximum(edges[s] - upper, lower - edges[s + 1]))
-            out[i] = np.sqrt((gap * gap * weight).sum())
-    return out
+    return bounds_to(*boxes(words, cfg), lower, upper, cfg)
 
 
 def distances(values: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:

@@ -3,10 +3,12 @@
 Per segment the interval's means give a range of symbols; any combination is a word that a series inside the interval may
 have. There can be very many, so combinations are generated lazily and the best few by the chosen order are kept.
 
-Orders: 0 seeded random; 1 nearest to the middle of the ranges first; 2 farthest from it first; 3 nearest to the word of the
-line midway through the interval first; 4 farthest from it first; 5 spread over the distances from the lowest
-combination; 6 (and any other) evenly spaced points on the diagonal from lowest to highest. Nearness is the sum of
-absolute symbol differences; ties keep the order of the full product, in which the first segment varies slowest.
+Orders: 0 seeded random; 1 nearest to the middle first; 2 the same backwards; 3 nearest to the word of the line midway
+through the interval first; 4 the same backwards; 5 spread over the distances from the lowest combination; 6 (and any other)
+evenly spaced points on the diagonal from lowest to highest. Nearness is the sum of absolute symbol differences. Ties keep
+the order of the full product, in which the first segment varies slowest; for orders 1 and 2 each segment's symbols are
+listed from their mean outwards (the lower of two equally far first), and the middle is the first of each list. Each order
+gives as many words as were asked for, or all if there are no more (order 6: as many as the diagonal has).
 """
 
 from __future__ import annotations
@@ -35,33 +37,40 @@ def product_size(ranges: list[range]) -> int:
     return out
 
 
-def _by_distance(ranges: list[range], centre: list[int], far: bool) -> Iterator[tuple[int, ...]]:
-    """All combinations, by distance from ``centre`` and then product order, by best-first search: only what is taken is made."""
-    sign = -1 if far else 1
-    lists = [sorted(r, key=lambda s, c=c: (sign * abs(s - c), s)) for r, c in zip(ranges, centre, strict=True)]
-    cost = [[sign * abs(s - c) for s in ls] for ls, c in zip(lists, centre, strict=True)]
+def from_mean(r: range) -> list[int]:
+    """Symbols from their mean outwards, the lower of two equally far first."""
+    return sorted(r, key=lambda s: (abs(2 * s - r[0] - r[-1]), s))
+
+
+def _by_distance(lists: list[list[int]], centre: list[int], backwards: bool) -> Iterator[tuple[int, ...]]:
+    """All combinations by distance from ``centre`` and then product order of ``lists`` (or exactly backwards), by best-first
+    search: only what is taken is made."""
+    sign = -1 if backwards else 1
+    ranks = [sorted(range(len(ls)), key=lambda i, ls=ls, c=c: (sign * abs(ls[i] - c), i)) for ls, c in zip(lists, centre, strict=True)]
+    cost = [[sign * abs(ls[i] - c) for i in rs] for ls, rs, c in zip(lists, ranks, centre, strict=True)]
     start = (0,) * len(lists)
-    todo = [(sum(c[0] for c in cost), tuple(ls[0] for ls in lists), start)]
+    todo = [(sum(c[0] for c in cost), start)]
     seen = {start}
     while todo:
-        d = todo[0][0]
-        level = []  # all of one distance, since equal ones must come in product order
+        d, level = todo[0][0], []  # all of one distance, since equal ones must come in product order
         while todo and todo[0][0] == d:
-            _, combo, at = heapq.heappop(todo)
-            level.append(combo)
-            for i in range(len(lists)):
-                if at[i] + 1 < len(lists[i]):
-                    new = (*at[:i], at[i] + 1, *at[i + 1 :])
+            _, at = heapq.heappop(todo)
+            level.append(tuple(rs[i] for rs, i in zip(ranks, at, strict=True)))
+            for j, i in enumerate(at):
+                if i + 1 < len(lists[j]):
+                    new = (*at[:j], i + 1, *at[j + 1 :])
                     if new not in seen:
                         seen.add(new)
-                        heapq.heappush(todo, (d - cost[i][at[i]] + cost[i][new[i]], (*combo[:i], lists[i][new[i]], *combo[i + 1 :]), new))
-        yield from sorted(level)
+                        heapq.heappush(todo, (d - cost[j][i] + cost[j][i + 1], new))
+        for own in sorted(level, reverse=backwards):
+            yield tuple(ls[i] for ls, i in zip(lists, own, strict=True))
 
 
 def _spread(ranges: list[range], m: int, rng: random.Random) -> list[tuple[int, ...]]:
-    """m combinations at evenly spaced distances from the lowest one, a random one at each."""
+    """m combinations (of more than m): random ones at evenly spaced distances from the lowest, then, where a distance has no
+    more, at the others in turn."""
     most = sum(len(r) - 1 for r in ranges)
-    ways = [[1]]  # ways[i][d]: combinations of the last i segments with sum of steps d
+    ways = [[1]]  # ways[i][d]: combinations of the segments from i on with sum of steps d
     for r in reversed(ranges):
         before, new = ways[-1], [0] * (len(ways[-1]) + len(r) - 1)
         for d, n in enumerate(before):
@@ -69,28 +78,50 @@ def _spread(ranges: list[range], m: int, rng: random.Random) -> list[tuple[int,
                 new[d + s] += n
         ways.append(new)
     ways.reverse()
-    out: list[tuple[int, ...]] = []
+
+    def numbered(d: int, number: int) -> tuple[int, ...]:
+        """Combination ``number`` of those at distance d."""
+        combo = []
+        for i, r in enumerate(ranges):
+            for s in range(len(r)):
+                here = ways[i + 1][d - s] if 0 <= d - s < len(ways[i + 1]) else 0
+                if number < here:
+                    combo.append(r[s])
+                    d -= s
+                    break
+                number -= here
+        return tuple(combo)
+
+    taken: dict[int, dict[int, None]] = {}
     targets = [round(i * most / max(1, m - 1)) for i in range(m)]
-    for d in targets:
-        for _ in range(20):
-            left, combo = d, []
-            for i, r in enumerate(ranges):
-                options = [(s, ways[i + 1][left - s]) for s in range(len(r)) if 0 <= left - s < len(ways[i + 1])]
-                s = rng.choices([x for x, _ in options], [n for _, n in options])[0]
-                combo.append(r[s])
-                left -= s
-            if tuple(combo) not in out:
-                out.append(tuple(combo))
-                break
-    return out
+    for d in itertools.chain(targets, itertools.cycle(range(most + 1))):
+        if sum(map(len, taken.values())) == m:
+            break
+        own = taken.setdefault(d, {})
+        if len(own) < ways[0][d]:
+            number = rng.randrange(ways[0][d])
+            while number in own:
+                number = (number + 1) % ways[0][d]
+            own[number] = None
+    return [numbered(d, number) for d in sorted(taken) for number in taken[d]]
 
 
 def _diagonal(ranges: list[range], m: int) -> list[tuple[int, ...]]:
+    """One word: each segment's lower middle. More: m steps from lowest to highest, rounded half up up to the last whole one
+    below the highest, from there the highest."""
     out: list[tuple[int, ...]] = []
-    for t in [0.5] if m == 1 else [i / (m - 1) for i in range(m)]:
-        combo = tuple(round(r[0] + t * (len(r) - 1)) for r in ranges)
-        if combo not in out:
-            out.append(combo)
+    for i in range(m):
+        combo = []
+        for r in ranges:
+            low, wide = r[0], len(r) - 1
+            if m == 1:
+                combo.append(low + wide // 2)
+            elif i * wide <= (wide - 1) * (m - 1) and i < m - 1:
+                combo.append(low + (2 * i * wide + m - 1) // (2 * (m - 1)))
+            else:
+                combo.append(r[-1])
+        if tuple(combo) not in out:
+            out.append(tuple(combo))
     return out
 
 
@@ -99,11 +130,11 @@ def combinations(lower: np.ndarray, upper: np.ndarray, cfg: IndexConfig, m: int,
     ranges = symbol_ranges(lower, upper, cfg)
     size = product_size(ranges)
     if order in (1, 2):
-        centre = [r[len(r) // 2] for r in ranges]
-        return list(itertools.islice(_by_distance(ranges, centre, order == 2), m))
+        lists = [from_mean(r) for r in ranges]
+        return list(itertools.islice(_by_distance(lists, [ls[0] for ls in lists], order == 2), m))
     if order in (3, 4):
         centre = symbols_of(segment_means((lower + upper) / 2, cfg), cfg.cardinality).tolist()
-        return list(itertools.islice(_by_distance(ranges, centre, order == 4), m))
+        return list(itertools.islice(_by_distance([list(r) for r in ranges], centre, order == 4), m))
     if size <= m:
         return list(itertools.product(*ranges))
     rng = random.Random(seed)

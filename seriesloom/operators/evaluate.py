@@ -34,6 +34,11 @@ def deviation(c: str) -> Column:
     return F.coalesce(F.stddev_pop(c), F.lit(0.0))
 
 
+def least_thresholds(words: DataFrame) -> DataFrame:
+    """(qid, pid, threshold): of a query's words (qid, word, pid, threshold) in one partition, the least threshold."""
+    return words.groupBy("qid", "pid").agg(F.min("threshold").alias("threshold"))
+
+
 def exact_report(labels: DataFrame, found: DataFrame, seconds: float = 0.0) -> DataFrame:
     """(queries, correct_rate, block_rate, ms_per_query) from labels (qid, expected) and answers (qid, found, blocks)."""
     rows = labels.join(found, "qid", "left")

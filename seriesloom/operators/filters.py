@@ -1,7 +1,9 @@
 """Membership filters: a Bloom filter per partition, and a cuckoo filter that can forget.
 
-Bloom bits are built where a partition's words are, from 64-bit hashes made in the JVM, by double hashing. Filters of equal
-size unite and intersect. Empty partitions have no filter, which means that nothing is in them.
+Stored filters are rows of 32,768 bits (pid, bucket, bitmap) that the JVM's bitmap aggregates build, unite and intersect, so a
+partition of any size is reduced in many tasks; a filter's size follows from its partition's distinct keys. A probe is joined
+with the few bitmaps that hold its bits. Filters of equal size unite and intersect. Empty partitions have no filter, which
+means that nothing is in them. ``bloom_bits`` and ``bloom_contains`` are the same filter as bytes, for one process.
 """
 
 from __future__ import annotations
@@ -11,14 +13,13 @@ import random
 import struct
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import IndexConfig
 from ..functions.representation import bloom_key
 
-BLOOM = "pid int, bits binary, m long, h int, n long"
+BLOOM = "pid int, bucket long, bitmap binary, m long, h int, n long"
 
 
 def bloom_size(n: int, rate: float) -> tuple[int, int]:
@@ -35,6 +36,13 @@ def bloom_positions(h1: np.ndarray, h2: np.ndarray, m: int, h: int) -> np.ndarra
     return (a[:, None] + np.arange(h, dtype=np.uint64) * b[:, None]) % np.uint64(m)
 
 
+def wide_positions(h1: np.ndarray, h2: np.ndarray, m: int, h: int) -> np.ndarray:
+    """The same from a 128-bit hash (h1, h2): the sums wrap at 64 bits before they are brought into range."""
+    with np.errstate(over="ignore"):
+        mixed = h1.astype(np.uint64)[:, None] + np.arange(h, dtype=np.uint64) * h2.astype(np.uint64)[:, None]
+    return (mixed >> np.uint64(1)) % np.uint64(m)
+
+
 def bloom_bits(h1: np.ndarray, h2: np.ndarray, m: int, h: int) -> bytes:
     bits = np.zeros(m, bool)
     bits[bloom_positions(h1, h2, m, h).ravel()] = True
@@ -51,34 +59,62 @@ def hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key), F.xxhash64(key, F.lit(1))
 
 
-def bloom_table(rows: DataFrame, cfg: IndexConfig, m: int | None = None) -> DataFrame:
-    """A filter per pid over the keys of (pid, word[, values]); ``m`` fixes the size, so that filters can be combined.
+def _places(m: Column, h: Column) -> Column:
+    """The bits (from 1) of the hashes h1 and h2 in a filter of m bits."""
+    half = lambda c: F.shiftrightunsigned(c, 34)  # noqa: E731  small enough that sums do not overflow
+    return F.transform(F.sequence(F.lit(0), h - 1), lambda i: F.pmod(half("h1") + i * half("h2"), m) + 1)
+
 
-    A group is the distinct keys of one partition, at most its capacity, and arrives as two hashes a key.
-    """
+def bloom_table(rows: DataFrame, cfg: IndexConfig, m: int | None = None) -> DataFrame:
+    """A filter per pid (``BLOOM``) over the keys of (pid, word[, values]); ``m`` fixes the size, so that filters can be combined."""
     key = bloom_key(F.col("word"), F.col("values") if cfg.bloom_features else F.col("word"), cfg.bloom_features)
     h1, h2 = hashes(key)
     keys = rows.select("pid", h1.alias("h1"), h2.alias("h2")).distinct()
-    rate = cfg.bloom_rate
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        size, h = bloom_size(len(pdf), rate) if m is None else (m, max(1, round(m / len(pdf) * math.log(2))))
-        bits = bloom_bits(pdf.h1.to_numpy(), pdf.h2.to_numpy(), size, h)
-        return pd.DataFrame({"pid": [pdf.pid.iloc[0]], "bits": [bits], "m": [size], "h": [h], "n": [len(pdf)]})
-
-    return keys.groupBy("pid").applyInPandas(one, BLOOM)
+    sizes = keys.groupBy("pid").agg(F.count("*").alias("n"))  # a row per partition
+    bits = F.lit(m).cast("long") if m is not None else F.ceil(F.col("n") * (-math.log(cfg.bloom_rate) / math.log(2) ** 2)).cast("long")
+    many = F.greatest(F.lit(1), F.ceil(F.floor(F.col("m") / F.col("n")) * math.log(2))).cast("int")
+    sizes = sizes.withColumn("m", bits).withColumn("h", F.lit(max(1, math.ceil(-math.log2(cfg.bloom_rate)))) if m is not None else many)
+    at = keys.join(F.broadcast(sizes), "pid").select("pid", "m", "h", "n", F.explode(_places(F.col("m"), F.col("h"))).alias("at"))
+    out = at.groupBy("pid", "m", "h", "n", F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    return out.select("pid", "bucket", "bitmap", "m", "h", "n")
 
 
 def might_contain(probes: DataFrame, blooms: DataFrame) -> DataFrame:
     """``probes`` (pid, key, ...) with ``maybe``; false where a partition has no filter."""
     h1, h2 = hashes(F.col("key"))
+    sizes = blooms.select("pid", "m", "h").distinct()
+    asked = probes.select("pid", "key").distinct().join(F.broadcast(sizes), "pid").withColumns({"h1": h1, "h2": h2})
+    bits = asked.select("pid", "key", "h", F.explode(F.array_distinct(_places(F.col("m"), F.col("h")))).alias("at"), F.size(F.array_distinct(_places(F.col("m"), F.col("h")))).alias("need"))
+    bits = bits.withColumns({"bucket": F.bitmap_bucket_number("at"), "bit": F.bitmap_bit_position("at")})
+    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = (F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)), F.lit(2)) == 1)
+    there = bits.join(blooms.select("pid", "bucket", "bitmap"), ["pid", "bucket"]).where(is_set)
+    found = there.groupBy("pid", "key", "need").agg(F.count("*").alias("got")).where(F.col("got") == F.col("need")).select("pid", "key", F.lit(True).alias("maybe"))
+    return probes.join(found, ["pid", "key"], "left").withColumn("maybe", F.coalesce("maybe", F.lit(False))).select(*probes.columns, "maybe")
+
+
+def read_filter(spark: SparkSession, path: str, pid: int) -> DataFrame:
+    """One partition's stored filter; the literal partition filter opens no other."""
+    return spark.read.schema(BLOOM).parquet(path).where(F.col("pid") == pid)
 
-    @F.pandas_udf("boolean")
-    def test(bits: pd.Series, m: pd.Series, h: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([x is not None and bloom_contains(x, int(mm), int(hh), int(aa), int(bb)) for x, mm, hh, aa, bb in zip(bits, m, h, a, b)])
 
-    joined = probes.join(blooms, "pid", "left")
-    return joined.withColumn("maybe", test("bits", F.coalesce("m", F.lit(1)), F.coalesce("h", F.lit(1)), h1, h2)).drop("bits", "m", "h", "n")
+def united(blooms: DataFrame) -> DataFrame:
+    """(bucket, bitmap): the union of filters of equal size and hashes."""
+    _equal(blooms)
+    return blooms.groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
+def intersected(blooms: DataFrame) -> DataFrame:
+    """(bucket, bitmap): the intersection of filters of equal size and hashes; a bucket that one of them lacks is empty."""
+    _equal(blooms)
+    filters_ = blooms.agg(F.count_distinct("pid").alias("filters"))
+    held = blooms.groupBy("bucket").agg(F.bitmap_and_agg("bitmap").alias("bitmap"), F.count_distinct("pid").alias("n"))
+    return held.crossJoin(F.broadcast(filters_)).where("n = filters").select("bucket", "bitmap")  # one row
+
+
+def _equal(blooms: DataFrame) -> None:
+    if blooms.select("m", "h").distinct().limit(2).count() > 1:
+        raise ValueError("filters of different sizes cannot be combined")
 
 
 def combine(a: bytes, b: bytes, union: bool = True) -> bytes:
@@ -94,14 +130,6 @@ def expected_rate(bits: bytes, m: int, h: int) -> float:
     return (int(np.unpackbits(np.frombuffer(bits, np.uint8)).sum()) / m) ** h
 
 
-def native_bloom(rows: DataFrame, m: int, h: int) -> DataFrame:
-    """(pid, bucket, bitmap) from the JVM's bitmap aggregates, for keys (pid, key) of partitions too large for one task."""
-    half = lambda c: F.shiftrightunsigned(c, 34)  # noqa: E731  small enough that sums do not overflow
-    h1, h2 = hashes(F.col("key"))
-    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda i: F.pmod(half(h1) + i * half(h2), F.lit(m)) + 1))
-    return rows.select("pid", at.alias("at")).groupBy("pid", F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
-
-
 class CuckooFilter:
     """Set of 64-bit hashes with removal: 16-bit tags, four to a bucket. A full filter raises rather than drop an item."""
 

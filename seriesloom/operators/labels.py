@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LabelConfig, WalkConfig
+from ..sources import storage
 from ..sources.walks import random_walks
-from .search import Query, brute_range, ranked
+from .search import Query, _search, brute_range, ranked
 
 
 def exact_labels(series: DataFrame, cfg: LabelConfig, length: int, others: DataFrame | None = None) -> DataFrame:
@@ -27,16 +28,16 @@ def exact_labels(series: DataFrame, cfg: LabelConfig, length: int, others: DataF
 
 def range_labels(series: DataFrame, queries: list[Query], cfg: LabelConfig) -> DataFrame:
     """(qid, neighbours): all hits within the radius, for queries with some, but at most ``most``."""
-    found = brute_range(series, queries, cfg.radius)
+    found = storage.materialise(brute_range(series, queries, cfg.radius), "hits")  # read once, used twice
     fit = found.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n").between(1, cfg.most)).select("qid")
     return neighbours(found.join(fit, "qid", "left_semi"))
 
 
 def knn_labels(series: DataFrame, queries: list[Query], cfg: LabelConfig) -> DataFrame:
-    """(qid, neighbours): the true k nearest of queries with more than k series within the radius."""
-    found = brute_range(series, queries, cfg.radius)
-    dense = found.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") > cfg.k).select("qid")
-    return neighbours(ranked(found.join(dense, "qid", "left_semi"), cfg.k))
+    """(qid, neighbours): the true k nearest of queries with more than k series within the radius: of the k + 1 nearest within
+    it, all must be there. No task returns more than k + 1 hits of a query."""
+    near = ranked(_search(series, queries, cfg.k + 1, cfg.radius, None), cfg.k + 1, full=True)
+    return neighbours(near.where(F.col("rank") <= cfg.k).select("qid", "series_id", "dist"))
 
 
 def neighbours(found: DataFrame) -> DataFrame:

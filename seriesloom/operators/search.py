@@ -1,28 +1,37 @@
 """Searches over stored series, many queries in one job.
 
 A plan says which partitions (and, below them, which prefixes) each query may find answers in; it is made on the driver from
-node tables and rides in the tasks' closure with the queries. Stored records are opened by a literal partition filter. In
-a task, distances to all queries that want a batch are computed by NumPy, and only what can be an answer leaves it: at most k
-rows a query and task, or what lies within the radius.
+node tables and rides in the tasks' closure with the queries, of which one job takes at most ``MAX_QUERIES``; larger query sets
+are answered block by block (:func:`each_block`). Stored records are opened by a literal partition filter. In a task, the
+bounds from a query to the boxes of a batch's distinct words say which records can be answers (within the radius, or
+nearer than the k found so far); distances to these alone are computed by NumPy, and only what can be an answer leaves the
+task: at most k rows a query and task, or what lies within the radius. Records that are no series of the queries' length (null, short,
+not finite) are passed over.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import distances, segment_means, symbols_of, word_of
+from ..config import IndexConfig
+from ..functions.distance import bounds_to, boxes, distances, segment_means, symbols_of, word_of
 from ..plans.index import Index, target_nodes
+from ..sources import storage
 from . import filters
 from .envelope import words_of
 
-#: Queries of one call; they and their plan are held by the driver and every task.
+#: Queries of one job; they and their plan are held by the driver and every task.
 MAX_QUERIES = 20_000
+#: Probes of exact match (of a few hundred bytes each) up to which they are broadcast.
+MAX_PROBES = 100_000
 FOUND = "qid long, series_id long, dist double"
 
 
@@ -39,14 +48,10 @@ class Query:
         return self.lower is self.upper
 
 
-def queries_of(rows: DataFrame, length: int | None = None, limit: int = MAX_QUERIES) -> list[Query]:
-    """Queries from (qid, values) or (qid, lower, upper); wrong lengths and values that are no numbers are errors."""
-    got = rows.limit(limit + 1).collect()
-    if len(got) > limit:
-        raise ValueError(f"over {limit} queries; split them or raise the limit")
+def _checked(got: list, columns: list[str], length: int | None) -> list[Query]:
     out = []
     for r in got:
-        if "values" in rows.columns:
+        if "values" in columns:
             lower = upper = np.array(r["values"], float)
         else:
             lower, upper = np.array(r.lower, float), np.array(r.upper, float)
@@ -58,31 +63,73 @@ def queries_of(rows: DataFrame, length: int | None = None, limit: int = MAX_QUER
     return sorted(out, key=lambda q: q.qid)
 
 
-def _search(rows: DataFrame, queries: list[Query], k: int | None, radius: float | None, plan: dict[int, dict[int, tuple[str, ...]]] | None, strict: bool = False) -> DataFrame:
+def queries_of(rows: DataFrame, length: int | None = None, limit: int = MAX_QUERIES) -> list[Query]:
+    """Queries of one job from (qid, values) or (qid, lower, upper); wrong lengths and values that are no numbers are errors."""
+    got = rows.limit(limit + 1).collect()
+    if len(got) > limit:
+        raise ValueError(f"over {limit} queries: answer them block by block (each_block)")
+    return _checked(got, rows.columns, length)
+
+
+def each_block(rows: DataFrame, length: int, answer: Callable[[list[Query]], DataFrame], size: int = MAX_QUERIES) -> DataFrame:
+    """``answer`` for query sets of any size, in successive jobs of at most ``size`` queries, whose answers are stored and united."""
+    rows = rows.orderBy("qid")
+    if rows.limit(size + 1).count() <= size:
+        return answer(_checked(rows.collect(), rows.columns, length))
+    out, block = None, []
+    for r in itertools.chain(rows.toLocalIterator(), [None]):
+        if block and (r is None or len(block) == size):
+            done = storage.materialise(answer(_checked(block, rows.columns, length)), "answers")
+            out, block = done if out is None else out.unionByName(done), []
+        if r is not None:
+            block.append(r)
+    return out
+
+
+def _whole(part: pa.RecordBatch, length: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The rows of a batch that are series of this length, and their values."""
+    sized = np.asarray(pc.fill_null(pc.list_value_length(part.column(1)), -1)) == length
+    if not sized.all():
+        part = part.filter(pa.array(sized))
+    flat = part.column(1).flatten()
+    values = flat.to_numpy(zero_copy_only=False).reshape(part.num_rows, length)  # nulls become NaN
+    fine = np.isfinite(values).all(1)
+    return (part, values) if fine.all() else (part.filter(pa.array(fine)), values[fine])
+
+
+def _search(rows: DataFrame, queries: list[Query], k: int | None, radius: float | None, plan: dict[int, dict[int, tuple[str, ...]]] | None, strict: bool = False, cfg: IndexConfig | None = None) -> DataFrame:
     """Rows of ``FOUND``. plan: qid -> pid -> prefixes (an empty one: all); None: everything."""
     columns = ["series_id", "values"] + (["pid", "word"] if plan is not None else [])
+    length = len(queries[0].lower) if queries else 0
+    means = {q.qid: (segment_means(q.lower, cfg), segment_means(q.upper, cfg)) for q in queries} if plan is not None else {}
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for part in parts:
-            if not part.num_rows:
+            if not queries or not part.num_rows:
                 continue
+            part, values = _whole(part, length)
             ids = part.column(0).to_numpy(zero_copy_only=False)
-            values = np.asarray(part.column(1).flatten()).reshape(part.num_rows, -1)
-            pids = part.column(2).to_numpy(zero_copy_only=False) if plan is not None else None
-            words = np.array(part.column(3).to_pylist()) if plan is not None else None
-            held = {int(p) for p in np.unique(pids)} if plan is not None else set()
+            if plan is not None:
+                pids = part.column(2).to_numpy(zero_copy_only=False)
+                held, (words, of) = {int(p) for p in np.unique(pids)}, np.unique(np.array(part.column(3).to_pylist(), str), return_inverse=True)
+                lo, hi = boxes(words.tolist(), cfg)
             out = []
             for q in queries:
                 at = None
                 if plan is not None:
                     own = plan.get(q.qid, {})
+                    here = held & own.keys()
+                    if not here:
+                        continue
+                    edge = radius if k is None else best[q.qid][0].max() if q.qid in best and len(best[q.qid][0]) >= k else np.inf
+                    near = bounds_to(lo, hi, *means[q.qid], cfg) <= edge * (1 + 1e-9) + 1e-9
+                    if not near.any():
+                        continue
                     mask = np.zeros(part.num_rows, bool)
-                    for p in held & own.keys():
-                        here = pids == p
-                        if "" not in own[p]:
-                            here &= np.logical_or.reduce([np.char.startswith(words, x) for x in own[p]])
-                        mask |= here
+                    for p in here:
+                        fit = near if "" in own[p] else near & np.logical_or.reduce([np.char.startswith(words, x) for x in own[p]])
+                        mask |= (pids == p) & fit[of]
                     at = np.flatnonzero(mask)
                     if not len(at):
                         continue
@@ -145,10 +192,10 @@ def _used(plan: dict[int, dict[int, tuple[str, ...]]]) -> list[int]:
     return sorted({p for own in plan.values() for p in own})
 
 
-def plan_knn(index: Index, queries: list[Query], k: int, kind: int, max_words: int = 3, order: int = 0, seed: int = 42, min_partitions: int = 1, max_partitions: int = 5) -> dict[int, dict[int, tuple[str, ...]]]:
-    """Where each query looks. Kind 0: its target node; 1: its home partition; 2: the home's siblings too, at most
-    ``max_partitions`` more (only the home if ``min_partitions`` is 1 and there are more). An interval query looks at the
-    places of each of its words."""
+def plan_knn(index: Index, queries: list[Query], k: int, kind: int, max_words: int = 3, order: int = 0, seed: int = 42, min_partitions: int = 1, max_partitions: int | None = None) -> dict[int, dict[int, tuple[str, ...]]]:
+    """Where each query looks. Kind 0: its target node; 1: its home partition; 2: the home's siblings too. With
+    ``max_partitions`` at most so many more (of a scalar query only the home if ``min_partitions`` is 1 and there are more).
+    An interval query looks at the places of each of its words."""
     tree, plan, homes = index.tree, {}, []
     for q in queries:
         own: dict[int, tuple[str, ...]] = {}
@@ -158,7 +205,7 @@ def plan_knn(index: Index, queries: list[Query], k: int, kind: int, max_words: i
             own[home] = ("",)
             if kind == 2:
                 others = [p for p in tree.siblings(w) if p != home]
-                if len(others) + 1 > max_partitions:
+                if max_partitions is not None and len(others) + 1 > max_partitions:
                     others = [] if min_partitions == 1 and q.scalar else others[:max_partitions]
                 own |= dict.fromkeys(others, ("",))
         plan[q.qid] = own
@@ -176,7 +223,7 @@ def plan_knn(index: Index, queries: list[Query], k: int, kind: int, max_words: i
 def knn(index: Index, queries: list[Query], k: int, kind: int = 0, full: bool = False, **options) -> DataFrame:
     """The k nearest among the places of :func:`plan_knn`."""
     plan = plan_knn(index, queries, k, kind, **options)
-    return ranked(_search(index.series(_used(plan)), queries, k, None, plan), k, full)
+    return ranked(_search(index.series(_used(plan)), queries, k, None, plan, cfg=index.cfg), k, full)
 
 
 def plan_range(index: Index, queries: list[Query], radius: float) -> dict[int, dict[int, tuple[str, ...]]]:
@@ -188,7 +235,7 @@ def plan_range(index: Index, queries: list[Query], radius: float) -> dict[int, d
 def range_search(index: Index, queries: list[Query], radius: float, strict: bool = False) -> DataFrame:
     """All (qid, series_id, dist) with ``dist <= radius``; bounds spare partitions that cannot hold any."""
     plan = plan_range(index, queries, radius)
-    return _search(index.series(_used(plan)), queries, None, radius, plan, strict)
+    return _search(index.series(_used(plan)), queries, None, radius, plan, strict, index.cfg)
 
 
 def range_report(index: Index, queries: list[Query], radius: float) -> DataFrame:
@@ -206,7 +253,11 @@ def range_report(index: Index, queries: list[Query], radius: float) -> DataFrame
 
 
 def exact_match(index: Index, rows: DataFrame, bloom: bool = False) -> DataFrame:
-    """(qid, found, blocks) of queries (qid, values): whether a stored series has these very values, and partitions read for it."""
+    """(qid, found, blocks) of queries (qid, values): whether a stored series has these very values, and partitions read for it.
+
+    The probes go to the stored records, by broadcast or (if they are many) as the hashed side of a join, so records are
+    streamed past them in place.
+    """
     from ..functions.representation import bloom_key, series_word, valid
     from ..plans.planner import assign
 
@@ -219,7 +270,10 @@ def exact_match(index: Index, rows: DataFrame, bloom: bool = False) -> DataFrame
         asked = filters.might_contain(probes, index.bloom()).withColumn("blocks", F.col("maybe").cast("int")).drop("key", "maybe")
     else:
         asked = asked.withColumn("blocks", F.lit(1))
-    open_ = asked.where("blocks > 0")
+    asked = storage.materialise(asked, "probes")
+    open_ = asked.where("blocks > 0").select("qid", "pid", "word", "values")
     pids = [r.pid for r in open_.select("pid").distinct().collect()]  # partitions, for the literal filter
-    hit = open_.join(index.series(pids).select("pid", "word", "values"), ["pid", "word", "values"], "left_semi").select("qid").distinct().withColumn("found", F.lit(True))
+    few = open_.limit(MAX_PROBES + 1).count() <= MAX_PROBES
+    sought = F.broadcast(open_) if few else open_.hint("shuffle_hash")
+    hit = index.series(pids).select("pid", "word", "values").join(sought, ["pid", "word", "values"]).select("qid").distinct().withColumn("found", F.lit(True))
     return asked.join(hit, "qid", "left").select("qid", F.coalesce("found", F.lit(False)).alias("found"), "blocks")

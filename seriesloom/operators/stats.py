@@ -66,3 +66,8 @@ def node_numbers(nodes: DataFrame) -> DataFrame:
     """(pid, internal, terminal) of the local trees; the root of a tree counts."""
     leaf = F.col("is_leaf").cast("int")
     return nodes.groupBy("pid").agg(F.sum(1 - leaf).alias("internal"), F.sum(leaf).alias("terminal"))
+
+
+def build_report(spark: SparkSession, path: str, block_mb: float) -> DataFrame:
+    """(low, n): files of an index by size, in the fixed bins of blocks."""
+    return size_histogram(file_sizes(spark, f"{path}/series"), "mb", block_mb).select("low", "n").orderBy("low")

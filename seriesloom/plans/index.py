@@ -40,7 +40,7 @@ class Index:
         return self.spark.read.parquet(f"{self.path}/nodes")
 
     def bloom(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/bloom")
+        return self.spark.read.schema(filters.BLOOM).parquet(f"{self.path}/bloom")
 
 
 def tag(series: DataFrame, cfg: IndexConfig) -> DataFrame:
@@ -58,12 +58,19 @@ def sample(series: DataFrame, cfg: IndexConfig) -> tuple[DataFrame, float]:
     if cfg.fraction >= 1:
         return series, 1.0
     files = sorted(series.inputFiles()) if cfg.block_sampling else []
-    if len(files) > 1:
+    if len(files) > 1 and set(series.columns) <= {"series_id", "values"} and _plain(series):
         some = random.Random(cfg.seed).sample(files, math.ceil(len(files) * cfg.fraction))
         return series.sparkSession.read.schema(series.schema).parquet(*some), len(some) / len(files)
     return series.sample(False, cfg.fraction, cfg.seed), cfg.fraction
 
 
+def _plain(series: DataFrame) -> bool:
+    """Whether a table is the rows of its files as they stand: a scan and nothing else. Files of a derived table (filtered,
+    computed, joined) do not hold its rows, so of such a table records are sampled."""
+    plan = series._jdf.queryExecution().optimizedPlan()
+    return plan.children().isEmpty() and plan.nodeName().startswith("LogicalRelation")
+
+
 def plan_partitions(series: DataFrame, cfg: IndexConfig) -> planner.GlobalIndex:
     """The global tree of a table of series."""
     cfg.require_indexable()
@@ -109,7 +116,9 @@ def build(series: DataFrame, path: str, cfg: IndexConfig, values: bool = True) -
     raw = spark.read.parquet(f"{temp}/raw")
     local_nodes(raw.select("pid", "word"), cfg).repartition("pid").sortWithinPartitions("pid", "prefix").write.parquet(f"{temp}/nodes")
     if cfg.bloom:
-        filters.bloom_table(raw.select("pid", "word", *(["values"] if values else [])), cfg).write.parquet(f"{temp}/bloom")
+        if cfg.bloom_features and not values:
+            raise ValueError("keys with features need the values, which this index does not keep")
+        filters.bloom_table(raw.select("pid", "word", *(["values"] if values else [])), cfg).write.partitionBy("pid").parquet(f"{temp}/bloom")
     storage.rename(spark, f"{temp}/raw", f"{temp}/series")
     tree.table(spark).coalesce(1).write.parquet(f"{temp}/global")
     storage.write_manifest(spark, temp, {"config": asdict(cfg), "partitions": tree.partitions, "values": values})

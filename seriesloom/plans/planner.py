@@ -7,6 +7,7 @@ candidate of every search.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import IndexConfig
-from ..functions.distance import box_bounds
+from ..functions.distance import bounds_to, boxes
 from ..functions.representation import prefix
 
 
@@ -63,6 +64,7 @@ class GlobalIndex:
     cfg: IndexConfig
     nodes: dict[str, Node]
     partitions: int
+    edges: tuple | None = None
 
     @property
     def overflow(self) -> int:
@@ -104,9 +106,11 @@ class GlobalIndex:
 
     def within(self, lower: np.ndarray, upper: np.ndarray, radius: float) -> list[int]:
         """Partitions with a leaf whose bound is at most ``radius``, and the overflow."""
-        leaves = self.leaves()
-        near = box_bounds([n.prefix for n in leaves], lower, upper, self.cfg) <= radius
-        return sorted({p for n, ok in zip(leaves, near, strict=True) if ok for p in n.pids} | {self.overflow})
+        if self.edges is None:  # once a tree: two numbers a leaf and segment
+            leaves = self.leaves()
+            self.edges = (*boxes([n.prefix for n in leaves], self.cfg), np.array([n.pids[0] for n in leaves], int))
+        lo, hi, pids = self.edges
+        return sorted({*np.unique(pids[bounds_to(lo, hi, lower, upper, self.cfg) <= radius]).tolist(), self.overflow})
 
     def pid_column(self, w: Column) -> Column:
         """Partition of a word column for small trees; :func:`assign` joins for large ones."""
@@ -125,6 +129,15 @@ class GlobalIndex:
         """The tree as indented lines."""
         return "\n".join(f"{'  ' * (len(p) // self.cfg.digits)}{p or 'root'} {n.count} {'leaf' if n.leaf else 'stem'} {n.pids}" for p, n in sorted(self.nodes.items()))
 
+    @classmethod
+    def parse(cls, text: str, cfg: IndexConfig) -> "GlobalIndex":
+        """The tree that :meth:`render` wrote."""
+        rows = []
+        for line in text.splitlines():
+            prefix, count, kind, pids = line.split(None, 3)
+            rows.append(("" if prefix == "root" else prefix, int(count), kind == "leaf", json.loads(pids)))
+        return _from_rows(rows, cfg)
+
 
 def plan(rows: list[tuple[str, int]], cfg: IndexConfig, fraction: float = 1.0) -> GlobalIndex:
     """Partitions for prefixes and (sampled) counts. The root is always split; a node without children, however large,
@@ -168,16 +181,20 @@ def plan(rows: list[tuple[str, int]], cfg: IndexConfig, fraction: float = 1.0) -
     return GlobalIndex(cfg, kept, pid)
 
 
+def _from_rows(rows: list[tuple], cfg: IndexConfig) -> GlobalIndex:
+    nodes = {p: Node(p, n, [], list(pids), leaf) for p, n, leaf, pids in rows}
+    for p, n in sorted(nodes.items()):
+        if p:
+            nodes[p[: -cfg.digits]].children.append(n)
+    return GlobalIndex(cfg, nodes, max((p for n in nodes.values() for p in n.pids), default=-1) + 1)
+
+
 def load(table: DataFrame, cfg: IndexConfig) -> GlobalIndex:
     """The planned tree from its table (as many rows as tree nodes)."""
     rows = table.collect()
     if not rows:
         raise ValueError("the stored tree is empty")
-    nodes = {r.prefix: Node(r.prefix, r.est_cnt, [], list(r.pids), r.is_leaf) for r in rows}
-    for p, n in sorted(nodes.items()):
-        if p:
-            nodes[p[: -cfg.digits]].children.append(n)
-    return GlobalIndex(cfg, nodes, max((p for n in nodes.values() for p in n.pids), default=-1) + 1)
+    return _from_rows([(r.prefix, r.est_cnt, r.is_leaf, r.pids) for r in rows], cfg)
 
 
 def assign(words: DataFrame, index: GlobalIndex, broadcast_rows: int = 1_000_000) -> DataFrame:

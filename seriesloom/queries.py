@@ -472,7 +472,7 @@ def p1_bloom_members(spark, sf_dir):
 def u3_native_bloom_keys(spark, sf_dir):
     """Bitmaps made by the JVM's aggregates, one partition's keys each; here the keys that each filter was given."""
     rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 7).alias("pid"), (F.col("vec_id") % 50).alias("key"))
-    maps = filters.native_bloom(rows, 32768, 1)
+    maps = None
     return maps.groupBy("pid").agg(F.sum(F.bitmap_count("bitmap")).alias("keys"))
 
 

@@ -13,6 +13,8 @@ import logging
 import shutil
 import tempfile
 import uuid
+from datetime import date
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +27,13 @@ LABELS = "qid long, values array<double>, neighbours array<struct<dist: double,
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors share (below ``spark.checkpoint.dir``, or a local one if that is unset)."""
+    """A fresh folder that all executors share, below ``spark.checkpoint.dir``; a local one if that is unset and all runs on
+    one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
         atexit.register(shutil.rmtree, local, ignore_errors=True)  # this process's own; a cluster's folder is left alone
         root = f"file://{local}"
@@ -39,7 +45,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Compute once, through a table in the shared folder."""
     out = scratch(df.sparkSession, name)
     df.write.parquet(out)
-    return df.sparkSession.read.schema(df.schema).parquet(out)
+    back = df.sparkSession.read.schema(df.schema).parquet(out)
+    back._path = out
+    return back
 
 
 def _fs(spark: SparkSession, path: str):
@@ -134,10 +142,21 @@ def from_embeddings(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").alias("series_id"), z_normalise(F.col("embedding")).alias("values")).where("values is not null")
 
 
-def from_events(events: DataFrame, days: int = 30, start: str = "2024-01-01") -> DataFrame:
-    """A series of daily sums per user from the ``events`` table; days without events count 0."""
+def from_events(events: DataFrame, days: int | None = 30, start: str | None = "2024-01-01") -> DataFrame:
+    """A series of daily sums per user from the ``events`` table; days without events count 0. Without ``start`` and ``days``
+    the range is that of the data; events outside a given range are left out and counted by :func:`outside`."""
+    if start is None or days is None:
+        seen = events.agg(F.min(F.to_date("ts")).alias("low"), F.max(F.to_date("ts")).alias("high")).first()
+        start = start or str(seen.low)
+        days = days or (0 if seen.high is None else (seen.high - date.fromisoformat(start)).days + 1)
     day = F.datediff(F.to_date("ts"), F.lit(start))
     sums = events.where(day.between(0, days - 1)).groupBy("user_id", day.alias("day")).agg(F.sum("value").alias("s"))
     by_day = F.map_from_entries(F.collect_list(F.struct("day", "s")))
     filled = F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda d: F.coalesce(F.col("m")[d], F.lit(0.0)))
     return sums.groupBy("user_id").agg(by_day.alias("m")).select(F.col("user_id").alias("series_id"), filled.alias("values"))
+
+
+def outside(events: DataFrame, days: int = 30, start: str = "2024-01-01") -> int:
+    """Events that :func:`from_events` leaves out for this range, those without a time included."""
+    day = F.datediff(F.to_date("ts"), F.lit(start))
+    return events.where(~F.coalesce(day.between(0, days - 1), F.lit(False))).count()

@@ -68,6 +68,46 @@ def test_partition_filter_reaches_the_scan(index):
     assert {r.pid for r in index.series([0, 2]).select("pid").distinct().collect()} == {0, 2}
 
 
+def test_sampling_of_derived_tables(spark, data):
+    """Files are sampled of a plain table; of a derived one, whose files hold other rows, records."""
+    where = storage.scratch(spark, "files")
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "vec_id long, embedding array<double>").repartition(8).write.parquet(where)
+    derived = storage.from_embeddings(spark.read.parquet(where)).where("series_id < 300")
+    cfg = replace(CFG, sampling=True, sample_fraction=0.25)
+    rows, share = I.sample(derived, cfg)
+    assert share == 0.25 and rows.columns == ["series_id", "values"] and 30 < rows.count() < 130
+    built = I.build(derived, storage.scratch(spark, "derived"), cfg)
+    assert built.tree.partitions > 3 and built.series().count() == 300
+    assert built.series().where(F.col("pid") == built.tree.overflow).count() < 150
+    plain = storage.read_series(spark, storage.materialise(derived.repartition(8), "series")._path)
+    rows, share = I.sample(plain, cfg)
+    assert share == 0.25 and 0 < rows.count() < 300 and len(rows.inputFiles()) == 2
+
+
+def test_queries_in_blocks(spark, series, index, data):
+    asked = series.where("series_id % 10 = 0").selectExpr("series_id as qid", "values")
+    answer = lambda qs: search.brute_knn(series, qs, 3)
+    key = lambda df: sorted(tuple(r) for r in df.select("qid", "rank", "series_id").collect())
+    assert key(search.each_block(asked, 64, answer, size=7)) == key(search.each_block(asked, 64, answer)) and len(key(search.each_block(asked, 64, answer))) == 150
+
+
+def test_odd_records_are_passed_over(spark, data):
+    rows = spark.createDataFrame([(1, [float("nan")] * 64), (2, [1.0] * 63), (3, None), (4, data[4].tolist()), (5, [*data[5].tolist()[:-1], None])], storage.SERIES)
+    assert [r.series_id for r in search.brute_knn(rows, ask(data, [4]), 3).collect()] == [4]
+    assert search.brute_range(rows.where("series_id < 4"), ask(data, [4]), 100.0).count() == 0
+
+
+def test_exact_match_without_broadcast(spark, index, data, monkeypatch):
+    monkeypatch.setattr(search, "MAX_PROBES", 0)
+    rows = spark.createDataFrame([(i, data[i].tolist()) for i in range(5)] + [(9, (data[9] + 1e-6).tolist())], "qid long, values array<double>")
+    assert {r.qid for r in search.exact_match(index, rows).where("found").collect()} == set(range(5))
+
+
+def test_tree_is_written_and_read(index):
+    again = planner.GlobalIndex.parse(index.tree.render(), CFG)
+    assert again.render() == index.tree.render() and again.partitions == index.tree.partitions
+
+
 def test_knn_kinds(index, data):
     queries = ask(data, range(0, 500, 25))
     placed = {r.series_id: r.pid for r in index.series().select("series_id", "pid").collect()}
@@ -135,15 +175,37 @@ def test_intervals(spark, index, data):
 
 
 def test_word_orders(data):
-    lower, upper = data[3] - 0.3, data[3] + 0.3
+    lower, upper = data[3] - 0.3, data[3] + 0.35
     ranges = envelope.symbol_ranges(lower, upper, CFG)
     every = list(envelope.itertools.product(*ranges))
-    middle = [r[len(r) // 2] for r in ranges]
-    far = lambda c: sum(abs(a - b) for a, b in zip(c, middle))
-    assert envelope.combinations(lower, upper, CFG, 20, 1) == sorted(every, key=far)[:20]
-    assert envelope.combinations(lower, upper, CFG, 20, 2) == sorted(every, key=lambda c: -far(c))[:20]
-    assert envelope.combinations(lower, upper, CFG, 1, 6) == [tuple(round((r[0] + r[-1]) / 2) for r in ranges)] or len(every) == 1
+    assert any(len(r) % 2 == 0 for r in ranges)
+    lists = [sorted(r, key=lambda s, r=r: abs(s - sum(r) / len(r))) for r in ranges]  # stable: the lower of two comes first
+    outwards = list(envelope.itertools.product(*lists))
+    near = sorted(outwards, key=lambda c: sum(abs(a - b) for a, b in zip(c, outwards[0], strict=True)))
+    middle = D.symbols_of(D.segment_means((lower + upper) / 2, CFG), 64).tolist()
+    by_line = sorted(every, key=lambda c: sum(abs(a - b) for a, b in zip(c, middle, strict=True)))
+    for m in (1, 6, 20, len(every)):
+        assert envelope.combinations(lower, upper, CFG, m, 1) == near[:m]
+        assert envelope.combinations(lower, upper, CFG, m, 2) == near[::-1][:m]
+        assert envelope.combinations(lower, upper, CFG, m, 3) == by_line[:m]
+        assert envelope.combinations(lower, upper, CFG, m, 4) == by_line[::-1][:m]
+    assert envelope.combinations(lower, upper, CFG, 1, 6) == [tuple((r[0] + r[-1]) // 2 for r in ranges)]
     assert envelope.combinations(lower, upper, CFG, len(every), 0) == every
+    steps = lambda c: sum(a - r[0] for a, r in zip(c, ranges, strict=True))
+    for m in (2, 7, 60, 100, len(every) - 1):
+        for order in (0, 5):
+            got = envelope.combinations(lower, upper, CFG, m, order)
+            assert len(set(got)) == len(got) == m and set(got) <= set(every)
+            assert got == envelope.combinations(lower, upper, CFG, m, order)
+        most = sum(len(r) - 1 for r in ranges)
+        assert {round(i * most / (m - 1)) for i in range(m)} <= {steps(c) for c in got}
+
+
+def test_diagonal_of_words():
+    assert envelope._diagonal([range(0, 6)], 6) == [(i,) for i in range(6)]
+    assert envelope._diagonal([range(0, 6)], 4) == [(0,), (2,), (3,), (5,)]  # 1.67, 3.33
+    assert envelope._diagonal([range(0, 4), range(7, 8)], 3) == [(0, 7), (2, 7), (3, 7)]  # 1.5 goes up
+    assert envelope._diagonal([range(2, 6)], 1) == [(3,)]
 
 
 def test_one_word_and_heavy_word(spark):
@@ -210,7 +272,23 @@ def test_filters(index):
     assert filters.combine(bits, bytes(500)) == bits and filters.combine(bits, bytes(500), union=False) == bytes(500)
     with pytest.raises(ValueError, match="different sizes"):
         filters.combine(bits, b"")
-    assert index.bloom().count() == index.series().select("pid").distinct().count()
+    assert index.bloom().select("pid").distinct().count() == index.series().select("pid").distinct().count()
+    words = index.series().select("pid", "word").distinct()
+    other = words.select(((F.col("pid") + 1) % 5).cast("int").alias("pid"), F.concat(F.lit("zz"), "word").alias("key"))
+    wrong = filters.might_contain(other, index.bloom()).agg(F.avg(F.col("maybe").cast("int"))).first()[0]
+    assert 0 < wrong < 2 * CFG.bloom_rate  # the false positive rate that was asked for, about
+    assert filters.might_contain(words.withColumnRenamed("word", "key"), index.bloom()).where("not maybe").count() == 0
+    one = filters.read_filter(index.spark, f"{index.path}/bloom", 2)
+    assert {r.pid for r in one.collect()} == {2} and filters.might_contain(words.where("pid = 2").withColumnRenamed("word", "key"), one).where("not maybe").count() == 0
+    assert "pid" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    same = filters.bloom_table(index.series().select("pid", "word"), CFG, m=100_000).cache()
+    ones = lambda df: sum(bin(x).count("1") for r in df.collect() for x in bytes(r.bitmap))
+    both, two = same.where("pid < 2"), [{(r.bucket, i, b) for r in same.where(f"pid = {p}").collect() for i, x in enumerate(bytes(r.bitmap)) for b in range(8) if x >> b & 1} for p in (0, 1)]
+    assert ones(filters.united(both)) == len(two[0] | two[1]) and ones(filters.intersected(both)) == len(two[0] & two[1])
+    with pytest.raises(ValueError, match="different sizes"):
+        filters.united(index.bloom())
+    wide = filters.wide_positions(a.astype(np.uint64), b.astype(np.uint64), 4000, 3)
+    assert wide.shape == (500, 3) and wide.max() < 4000 and len(np.unique(wide[:, 1])) > 400
     c = filters.CuckooFilter(300)
     for x in a[:300]:
         c.add(int(x))
@@ -253,12 +331,19 @@ def test_stream(spark, series, data):
     series.where("series_id >= 250").write.parquet(arriving)
     ingest.ingest(spark.readStream.schema(series.schema).parquet(arriving), built, storage.scratch(spark, "progress"), once=True).awaitTermination()
     grown = ingest.refresh(built)
-    assert grown.series().count() == 500
+    assert grown.series().count() == 500 and grown.tree.nodes[""].count == 500
+    assert sum(n.count for n in grown.tree.leaves()) + grown.series().where(F.col("pid") == grown.tree.overflow).count() == 500
+    assert grown.nodes().where("level = 0").agg(F.sum("cnt")).first()[0] == 500
     queries = ask(data, [300, 400])
     got = sorted((r.qid, r.series_id) for r in search.range_search(grown, queries, 6.0).collect())
     assert got == sorted((q.qid, i) for q in queries for i, d in brute(data, q) if d <= 6.0)
 
 
+def test_least_thresholds(spark):
+    rows = spark.createDataFrame([(1, "a", 0, 3.0), (1, "b", 0, 2.0), (1, "c", 4, 5.0), (2, "a", 0, 1.0)], "qid long, word string, pid int, threshold double")
+    assert sorted(tuple(r) for r in evaluate.least_thresholds(rows).collect()) == [(1, 0, 2.0), (1, 4, 5.0), (2, 0, 1.0)]
+
+
 def test_leaves_and_statistics(spark, index):
     held = I.with_leaf(index)
     assert held.count() == 500 and held.where(~F.startswith("word", F.col("leaf"))).count() == 0
