@@ -14,7 +14,6 @@ import shutil
 import tempfile
 import uuid
 from datetime import date
-from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
