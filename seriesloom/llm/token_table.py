@@ -14,9 +14,11 @@ Plan: documents are dealt by key range once (raw text, less than their ids), sor
 written by the task that holds the range. Only a manifest row per shard (key range, counts) reaches the driver, for the
 running number of ids before each shard.
 
-Defined results: null text is an empty text (its ids are the end id alone); a null identifier is a key of its own, before
-all others; repeated identifiers are kept as separate entries, in order of their text; an empty table gives no shards;
-further columns of any name are ignored.
+Defined results: null text is an empty text (its ids are the end id alone); a very long text is one entry, and so one block, held
+whole by one task; a null identifier is a key of its own, before all others; repeated identifiers are kept as separate
+entries, in order of their text's hash and text, and may fill several shards; rows equal in both are entries one after the
+other in one shard (their order cannot matter, but a range cannot part them: such rows are one task's, however many); an
+empty table gives no shards; further columns of any name are ignored.
 """
 
 from __future__ import annotations
