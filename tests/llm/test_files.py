@@ -16,6 +16,8 @@ from seriesloom.llm.queries import vocabulary
 from seriesloom.llm.shared import fresh
 from seriesloom.llm.tokens import encoder, slices
 
+from ..oracle import DATA
+
 BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 TEXTS = ["", None, "a", "Hello, world's end\n\n  x", "word " * 9000, "<|endoftext|> é ß 漢字 \x85  z", "same", "same", " " * 50, "x\ny\r\nz\t1234567"]
 
@@ -62,6 +64,42 @@ def test_token_table_of_nothing(spark, docs):
     assert token_table.digest(docs.where("false"), BYTE, 2).count() == 0
 
 
+def test_digests_equal_brute_force(spark, monkeypatch):
+    """op6 and op4 over a whole table, with a very long text and a row that repeats, against the library text by text."""
+    from seriesloom.llm import queries
+
+    table = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    more = [(-3, "words and more, " * 60_000), *[(-1, "the same again")] * 300, (None, None), (None, "x")]
+    docs = table.unionByName(spark.createDataFrame(more, "doc_id long, text string")).repartition(5)
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    got = sorted(token_table.digest(docs, BYTE, 2).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [i for i, _ in rows]
+    at, want = 0, {}
+    for i, t in rows:
+        raw = np.array(_ids(BYTE, t), "<u4").tobytes()
+        want.setdefault(i, []).append((len(raw) // 4, zlib.crc32(raw)))
+    for r in got:
+        assert r.start == at and (r.n_tokens, r.ids_crc32) in want[r.doc_id]
+        want[r.doc_id].remove((r.n_tokens, r.ids_crc32))
+        at += r.n_tokens
+    assert not any(want.values())
+    pieces = packing.digest(docs, WORD).collect()
+    ids = {}
+    for i, t in rows:
+        ids.setdefault(i, []).append(np.array(_ids(WORD, t), "<u4"))
+    sequences, used = {}, {}
+    for p in pieces:
+        assert any(len(x) == p.doc_tokens and zlib.crc32(x[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for x in ids[p.doc_id])
+        sequences.setdefault(p.sequence_id, []).append((p.offset, p.length, p.padded_to))
+        used[p.doc_id] = used.get(p.doc_id, 0) + p.length
+    assert used == {i: sum(map(len, xs)) for i, xs in ids.items()}
+    for places in sequences.values():
+        ends = [0, *(o + n for o, n, _ in sorted(places))]
+        assert [o for o, _, _ in sorted(places)] == ends[:-1] and ends[-1] == places[0][2] <= 4096
+        assert places[0][2] == 4096 or places[0][2] & (places[0][2] - 1) == 0
+    assert {"op4_packing", "op6_token_table"} <= set(queries.QUERIES)
+
+
 def test_shard_of_many_keys(tmp_path):
     import pyarrow as pa
 

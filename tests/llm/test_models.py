@@ -231,18 +231,75 @@ def test_licences_are_inherited_over_levels(spark):
 # pipeline
 
 
-def test_pipeline(spark):
+def test_pipeline_stages_equal_brute_force(spark, monkeypatch):
+    """Each stage on its own input, against the decision made text by text."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    kept = docs
+    from . import test_files, test_text
+
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    bench = spark.read.parquet(f"{data}/benchmark.parquet").collect()
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "secrets", "packing"]
+    tables = [docs]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, kept = kept, corpus_pipeline.cut(stage(spark, kept, DATA), name)
-        assert kept.columns == docs.columns
-        assert 0.7 * before.count() < kept.count() <= before.count()
-    pieces = corpus_pipeline.STAGES[-1][1](spark, kept, DATA)
-    assert pieces.select("doc_id").distinct().count() == kept.count()
-    assert kept.where(F.col("text").rlike('token = "[0-9a-f]{40}"')).count() == 0
+        tables.append(corpus_pipeline.cut(stage(spark, tables[-1], data), name))
+        assert tables[-1].columns == docs.columns
+    texts = [{r.doc_id: r.text for r in t.collect()} for t in tables]
+
+    chain, threshold = toxicity.train(docs, labels)
+    p = toxicity.predict(chain, list(shingle_sets(list(texts[0].values()), 1, blanks=SIGNS)))
+    assert set(texts[1]) == {i for i, x in zip(texts[0], np.round(p[:, -1], 6), strict=True) if x < threshold} and len(texts[1]) < len(texts[0])
+
+    ids = list(texts[1])
+    sets = test_text._sets([texts[1][i] for i in ids])
+    parent = list(range(len(ids)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for i in range(len(ids)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, x in enumerate(ids):
+        groups.setdefault(find(i), []).append(x)
+    assert set(texts[2]) == {min(g) for g in groups.values()} and len(texts[2]) < len(texts[1])
+
+    grams = {}
+    for b in bench:
+        words = test_text._bench_words(b.text)
+        n = min(13, len(words))
+        grams.setdefault(n, set()).update(tuple(words[k : k + n]) for k in range(len(words) - n + 1) if n)
+
+    def contaminated(text):
+        words, hit = test_text._bench_words(text), set()
+        for n, own in grams.items():
+            for k in range(len(words) - n + 1):
+                if tuple(words[k : k + n]) in own:
+                    hit.update(range(k, k + n))
+        return bool(hit) and 20 * len(hit) >= len(words)
+
+    assert set(texts[3]) == {i for i, t in texts[2].items() if not contaminated(t)} and len(texts[3]) < len(texts[2])
+
+    spans = {}
+    for r in secrets.scan(tables[3]).where("is_secret").collect():
+        spans.setdefault(r.doc_id, []).append((r.begin, r.end))
+    for i, t in texts[3].items():
+        for begin, end in sorted(spans.get(i, []), reverse=True):
+            t = t[:begin] + secrets.MASK + t[end:]
+        assert texts[4][i] == t and not re.search('token = "[0-9a-f]{40}"', t)
+    assert spans and {r.doc_id: r.n_chars for r in tables[4].collect()} == {i: len(t) for i, t in texts[4].items()}
+
+    pieces = corpus_pipeline.STAGES[-1][1](spark, tables[4], data).collect()
+    used = {}
+    for x in pieces:
+        used[x.doc_id] = used.get(x.doc_id, 0) + x.length
+    assert used == {i: len(test_files._ids(test_files.WORD, t)) for i, t in texts[4].items()}
+    whole = corpus_pipeline.run(spark, data).collect()
+    key = lambda rows: sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows)
+    assert sum(r.length for r in whole) == sum(r.length for r in pieces) and {r.doc_id for r in whole} == {r.doc_id for r in pieces}
+    assert {k[0] for k in key(whole)} == set(texts[4])
 
 
 def test_near_copies_from_four_fifths(spark):
@@ -261,7 +318,7 @@ def test_stages_take_odd_tables(spark):
     import corpus_pipeline
 
     same = " ".join(f"w{i}" for i in range(40))
-    rows = [(1, same, "en", "s", 1, "a"), (1, same, "en", "s", 1, "b"), (None, same, None, None, None, "c"), (2, None, "en", "s", 0, "d"), (None, "", "en", "s", 0, None), (3, 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" ' + "z " * 30, "en", None, None, "e")]
+    rows = [(1, same, "en", "s", 1, "a"), (1, same, "en", "s", 1, "b"), (None, same, None, None, None, "c"), (2, None, "en", "s", 0, "d"), (None, "", "en", "s", 0, None), (3, 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" ' + "z " * 30, "en", None, None, "e"), (4, " ".join(f"long{i}" for i in range(100_000)), "en", "s", 5, "f")]
     names = "doc_id long, text string, lang string, source string, n_chars long"
     clashing = "toxic string, kept string, h string, candidate string, begin string, n_hit string, fp string, words string, ids string"
     docs = spark.createDataFrame([(*r[:5], *[r[5]] * 9) for r in rows], f"{names}, {clashing}")
@@ -272,7 +329,7 @@ def test_stages_take_odd_tables(spark):
             assert kept.columns == docs.columns
         pieces = corpus_pipeline.STAGES[-1][1](spark, kept, DATA).collect()
         if some is docs:
-            assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "None"]
+            assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "None"]
             assert any(r.text and secrets.MASK in r.text for r in kept.collect()) and len(pieces) >= 4
         else:
             assert not pieces
