@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import CARDINALITIES, IndexConfig, LabelConfig, WalkConfig
+from .config import CARDINALITIES, IndexConfig, LabelConfig, WalkConfig, truth
 from .functions import distance, representation as rep
 from .functions.breakpoints import breakpoints
 from .operators import envelope, evaluate, filters, labels, search, stats
@@ -595,6 +595,182 @@ def i2_unclustered_index(spark, sf_dir):
     return spark.read.parquet(f"{built_.path}/series").groupBy("pid").agg(F.count("*").alias("n"), F.countDistinct("word").alias("words"))
 
 
+# places, names, files
+
+
+@query(f"select 500 as series, 500 as ids, 64 as points, ceil(500 * (64 * 4 + 8) * 1.05 / 1048576 / 0.05)::int as files")
+def s2_s3_saved_walks(spark, sf_dir):
+    """Generated, saved and read again; the number of output files follows from their size."""
+    path = walks.generate(spark, WalkConfig(count=500, length=64, block_mb=0.05), storage.scratch(spark, "walks"))
+    rows = storage.read_series(spark, path)
+    return rows.agg(F.count("*").cast("int").alias("series"), F.count_distinct("series_id").cast("int").alias("ids"), F.max(F.size("values")).alias("points"), F.lit(len(storage.listing(spark, path, empty=False))).alias("files"))
+
+
+@query(f"{PLAN} select pid, 1 as files, count(*) as n from wp group by pid")
+def s6_s7_partition_files(spark, sf_dir):
+    """A partition's records lie in the one file of the folder that its number names."""
+    index = built(spark, sf_dir, NARROW)
+    found = [(p, 1) for p in range(index.tree.partitions) for _ in storage.listing(spark, storage.partition_path(index.path, p), empty=False)]
+    counted = spark.createDataFrame(found, "pid int, one int").groupBy("pid").agg(F.sum("one").cast("int").alias("files"))
+    held = index.series().withColumn("named", F.regexp_extract("_metadata.file_path", r"/pid=(\d+)/", 1).cast("int")).where("named = pid")
+    return held.groupBy("pid").agg(F.count("*").alias("n")).join(counted, "pid").select("pid", "files", "n")
+
+
+@query(ORACLE_SQL["i6_partition_plan"])
+def s8_stored_tree(spark, sf_dir):
+    """The planned tree as an index that is opened anew has it."""
+    tree = indexes.open_index(spark, built(spark, sf_dir, NARROW).path).tree
+    return tree.table(spark).withColumn("pids", F.array_join(F.col("pids").cast("array<string>"), ","))
+
+
+@query(f"{PLAN} select pid, count(distinct word) as keys from wp group by pid")
+def s9_stored_filters(spark, sf_dir):
+    from dataclasses import replace
+
+    return indexes.open_index(spark, built(spark, sf_dir, replace(NARROW, bloom=True)).path).bloom().select("pid", F.col("n").alias("keys")).distinct()
+
+
+_HITS = f"{Z}, {PAIRS}, h as (select qid, dist, series_id, count(*) over (partition by qid) as n from d where dist <= {RADIUS}), fit as (select qid, row_number() over (partition by qid order by dist, series_id)::int as rank, dist, series_id from h where n between 1 and 6)"
+
+
+def _saved_labels(spark, sf_dir, at_most=None):
+    made = search.each_block(asked(spark, sf_dir), 64, lambda qs: labels.range_labels(series(spark, sf_dir), qs, LabelConfig(most=6, radius=RADIUS)))
+    path = storage.scratch(spark, "labels")
+    storage.save_labels(made, path)
+    return storage.read_labels(spark, path, at_most)
+
+
+@query(f"{_HITS} select qid, rank, round(dist, 6) as dist, series_id from fit")
+def s10_saved_labels(spark, sf_dir):
+    return labels.flat(_saved_labels(spark, sf_dir)).withColumn("dist", r6("dist"))
+
+
+@query(f"{_HITS} select qid, rank, round(dist, 6) as dist, series_id from fit where qid in (select distinct qid from fit order by qid limit 3)")
+def k6_first_labels(spark, sf_dir):
+    return labels.flat(_saved_labels(spark, sf_dir, 3)).withColumn("dist", r6("dist"))
+
+
+@query(f"{_HITS} select qid, rank, round(dist, 6) as dist, series_id from fit where dist < 8.0")
+def f4_nearer_labels(spark, sf_dir):
+    return labels.flat(labels.within(_saved_labels(spark, sf_dir), 8.0)).withColumn("dist", r6("dist"))
+
+
+@query(f"{PLAN} select count(*) as n, (select max(pid) + 1 from leaf) as partitions, true as same from wp")
+def s12_built_once(spark, sf_dir):
+    """A path that holds a whole index is opened, not built again, whatever it is asked to be built from."""
+    first = built(spark, sf_dir, NARROW)
+    before = storage.listing(spark, first.path)
+    again = indexes.build(series(spark, sf_dir).where("false"), first.path, NARROW)
+    return again.series().agg(F.count("*").alias("n")).select("n", F.lit(again.tree.partitions).alias("partitions"), F.lit(before == storage.listing(spark, first.path)).alias("same"))
+
+
+@query("select * from (values ('walks', '/r/walks-1000-256-1'), ('index', '/s-0.1-8-1000-blocks-index'), ('index with filters', '/s-1-8-bf-1000-records-index'), ('filters', '/s-0.1-8-bf-1000-blocks-bloom-features'), ('labels', '/s-label-knn-100'), ('partition', '/i/series/pid=7')) t(kind, path)")
+def s13_derived_names(spark, sf_dir):
+    cfg = IndexConfig()
+    from dataclasses import replace
+
+    rows = [
+        ("walks", WalkConfig().path("/r/")), ("index", cfg.index_path("/s/")), ("index with filters", replace(cfg, bloom=True, sampling=False, block_sampling=False).index_path("/s")),
+        ("filters", replace(cfg, bloom=True, bloom_features=True).bloom_path("/s")), ("labels", LabelConfig().path("/s", "knn")), ("partition", storage.partition_path("/i", 7)),
+    ]
+    return spark.createDataFrame(rows, "kind string, path string")
+
+
+@query("select * from (values ('series', true), ('labels', false)) t(input, present)")
+def s15_inputs_that_are_there(spark, sf_dir):
+    def there(path: str) -> bool:
+        try:
+            storage.require(spark, path=path)
+        except FileNotFoundError:
+            return False
+        return True
+
+    return spark.createDataFrame([("series", there(f"{sf_dir}/embeddings.parquet")), ("labels", there(f"{sf_dir}/no-such-labels"))], "input string, present boolean")
+
+
+@query("select text, lower(trim(text)) in ('true', 'yes') as value from (values ('true'), ('TRUE '), ('yes'), ('Yes'), ('no'), ('false'), ('1'), (''), ('truth')) t(text)")
+def t17_booleans(spark, sf_dir):
+    return spark.createDataFrame([(t, truth(t)) for t in ("true", "TRUE ", "yes", "Yes", "no", "false", "1", "", "truth")], "text string, value boolean")
+
+
+@query("select length, segments, cardinality, floor(0.95 * block * 1048576 / ((4 * length + 8 + (w // 4) * 2 * ceil(log2(cardinality))) * 1.08))::int as capacity from (select *, ceil(length / (length // segments + (length % segments > 0)::int)::double)::int as w from (values (256, 8, 64, 128.0::double), (64, 4, 64, 1.0), (30, 7, 8, 0.5), (100, 16, 256, 64.0)) t(length, segments, cardinality, block))")
+def i21_capacities(spark, sf_dir):
+    kinds = [IndexConfig(), IndexConfig(length=64, segments=4, cardinality=64, block_mb=1.0), IndexConfig(length=30, segments=7, cardinality=8, block_mb=0.5), IndexConfig(length=100, segments=16, cardinality=256, block_mb=64.0)]
+    return spark.createDataFrame([(c.length, c.segments, c.cardinality, c.capacity) for c in kinds], "length int, segments int, cardinality int, capacity int")
+
+
+@query(f"{PLAN} select prefix, k::int as place, bin::int as bin from ffd where parent = ''")
+def i7_k8_first_fit(spark, sf_dir):
+    """The root's small children: in order of count, and the bin that each fits first."""
+    counts = planner.layer_counts(planner.word_counts(tagged(spark, sf_dir, NARROW)), NARROW).where(f"level = 1 and cnt <= {NARROW.capacity}")
+    nodes = [planner.Node(r.prefix, r.cnt) for r in counts.collect()]  # at most as many as a level has prefixes
+    place = {n.prefix: i + 1 for i, n in enumerate(sorted(nodes, key=lambda n: (-n.count, n.prefix)))}
+    rows = [(n.prefix, place[n.prefix], i + 1) for i, held in enumerate(planner.first_fit(nodes, NARROW.capacity)) for n in held]
+    return spark.createDataFrame(rows, "prefix string, place int, bin int")
+
+
+@query(f"{PLAN}, qp as (select qid, {sql_paa('v', NARROW)} as m from q) select distinct qid, pid from (select qid, leaf.pid from qp, leaf where {_node_bounds('leaf.level', 'leaf.prefix', 'qp.m', 'qp.m')} <= {RADIUS} union all select qid, (select max(pid) + 1 from leaf) from qp)")
+def i12_partitions_within(spark, sf_dir):
+    """Partitions within the radius of each query, the overflow among them."""
+    index = built(spark, sf_dir, NARROW)
+    plan = lambda qs: spark.createDataFrame([(q, p) for q, own in search.plan_range(index, qs, RADIUS).items() for p in own], "qid long, pid int")
+    return search.each_block(asked(spark, sf_dir), 64, plan)
+
+
+@query("select * from (values ('exact', 40, 1.0::double), ('knn', 10, 1.0), ('range', 10, 1.0)) t(kind, queries, score)")
+def q13_dispatch(spark, sf_dir):
+    """A query set of each kind, made, saved, answered by its kind's search and reported on; one partition holds all, so all is exact."""
+    from . import cli
+    from .config import QueryConfig
+
+    index, rows = built(spark, sf_dir, WHOLE), storage.materialise(series(spark, sf_dir), "series")
+    ask, out = rows.orderBy("series_id").limit(10).selectExpr("series_id as qid", "values"), []
+    made = {
+        "exact": lambda: labels.exact_labels(rows, LabelConfig(count=40), 64),
+        "knn": lambda: labels.knn_labels(rows, search.queries_of(ask, 64), LabelConfig(k=K, radius=100.0)).join(ask, "qid"),
+        "range": lambda: labels.range_labels(rows, search.queries_of(ask, 64), LabelConfig(radius=RADIUS)).join(ask, "qid"),
+    }
+    for kind, make in made.items():
+        path = storage.scratch(spark, kind)
+        storage.save_labels(make(), path)
+        r = cli.run_queries(spark, kind, index.path, path, QueryConfig(k=K, knn_type=1, radius=RADIUS)).first()
+        out.append((kind, r.queries, float(r[{"exact": "correct_rate", "knn": "recall", "range": "mean_recall"}[kind]])))
+    return spark.createDataFrame(out, "kind string, queries int, score double")
+
+
+def _by_pid(spark, sf_dir):
+    rows = tagged(spark, sf_dir, NARROW).select("series_id", (F.col("series_id") % 7).cast("int").alias("pid"), F.xxhash64("word").alias("h1"), F.xxhash64("word", F.lit(1)).alias("h2"))
+    return storage.materialise(rows, "hashes")
+
+
+@query("select vec_id as series_id, true as maybe from embeddings")
+def p2_p5_filter_bytes(spark, sf_dir):
+    """A partition's filter as bytes, made and asked in the task that has the partition (at most its capacity of hashes)."""
+
+    def ask(pdf):
+        m, h = filters.bloom_size(len(pdf), 0.1)
+        bits = filters.bloom_bits(pdf.h1.to_numpy(), pdf.h2.to_numpy(), m, h)
+        return pdf[["series_id"]].assign(maybe=[filters.bloom_contains(bits, m, h, a, b) for a, b in zip(pdf.h1, pdf.h2, strict=True)])
+
+    return _by_pid(spark, sf_dir).groupBy("pid").applyInPandas(ask, "series_id long, maybe boolean")
+
+
+@query("select vec_id as series_id, true as held from embeddings")
+def p4_cuckoo_members(spark, sf_dir):
+    """Each partition's words in a cuckoo filter that went to bytes and back, and forgot what was added besides."""
+
+    def ask(pdf):
+        own = filters.CuckooFilter(4 * len(pdf))
+        for x in sorted(set(pdf.h1)):
+            own.add(int(x))
+            own.add(int(x) ^ 0x5555)
+            assert own.remove(int(x) ^ 0x5555)
+        again = filters.CuckooFilter.from_bytes(own.to_bytes())
+        return pdf[["series_id"]].assign(held=[int(x) in again for x in pdf.h1])
+
+    return _by_pid(spark, sf_dir).groupBy("pid").applyInPandas(ask, "series_id long, held boolean")
+
+
 @query()
 def k3_k4_samples(spark, sf_dir):
     from dataclasses import replace
