@@ -29,12 +29,14 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _RUN = f"[{_LETTERS}]++(?=[\t-\r -@\\[-`{{-~]|$)"
 #: byte level: one blank belongs to the word that follows it; a longer run leaves its last character to that word.
 _BYTE_CHUNKS = re.compile(f" ?{_RUN}| ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]")
+#: A unit of two pieces, for Arrow's matcher: letters (and the blank before them), and what follows from a sign or digit on.
+_TWO = f"(?s)^(?P<head> ?[{_LETTERS}]+)(?P<tail>[\t-\r -@\\[-`{{-~].*)$"
 #: word level: white space separates and is dropped.
 _WORD_CHUNKS = re.compile(f"{_RUN}|[^\t-\r ]+")
 #: Entries kept per worker (about 120 MB) unless fewer are asked for; a full cache drops its long words, which costs time and changes nothing else.
 CACHE_ENTRIES = 600_000
 
-#: Characters up to which a unit of several pieces is kept too: short ones come again.
+#: Characters up to which a word outlives a full cache, about: short ones come again.
 _SHORT = 10
 
 _encoders: dict[str, "Encoder"] = {}
@@ -108,35 +110,30 @@ class Encoder:
         return [next(whole) if chunks is None else b"".join(map(get, chunks)) for chunks in split]
 
 
-    def _units(self, units: list[str]) -> list[bytes]:
-        """Ids of distinct units; new ones that are no plain word are put together from their pieces."""
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
         self._shrink()
-        cache = self.cache
-        raws = list(map(cache.get, units))
-        new = [u for u, r in zip(units, raws) if r is None]
-        plain, mixed = [], []
-        for u in new:
-            (plain if self.plain(u) else mixed).append(u)
-        split = [self.chunks(u) for u in mixed]
-        pieces = {c for chunks in split for c in chunks}.difference(cache).difference(plain)
-        more = [c for c in pieces if self.plain(c)]
-        self._learn(plain + more, self.glue)
-        rest = pieces.difference(more)
+        raws = list(map(self.cache.get, pieces))
+        new = [p for p, r in zip(pieces, raws) if r is None]
+        if not new:
+            return raws
+        plain, rest = [], []
+        for p in new:
+            (plain if self.plain(p) else rest).append(p)
+        self._learn(plain, self.glue)
         if self.first:
-            bare = [c for c in rest if self.bare(c)]
+            bare = [p for p in rest if self.bare(p)]
             self._learn(bare, "\n")
-            rest = rest.difference(bare)
-        rest = list(rest)
-        cache.update(zip(rest, self.encode(rest), strict=True))
-        own = {u: b"".join([cache[c] for c in chunks]) for u, chunks in zip(mixed, split, strict=True)}
-        cache.update((u, r) for u, r in own.items() if len(u) <= _SHORT)
-        return [r if r is not None else own[u] if u in own else cache[u] for u, r in zip(units, raws, strict=True)]
+            rest = list(set(rest).difference(bare))
+        self.cache.update(zip(rest, self.encode(rest), strict=True))
+        return [self.cache[p] if r is None else r for p, r in zip(pieces, raws)]
 
     def column(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text of a column (null: none), each distinct unit of the column looked up once.
+        """Ids of each text of a column (null: none), each distinct piece of the column looked up once.
 
-        A unit is a word (word level) or a word with the blank before it (byte level). Texts in which units would not part
-        as the library parts them (a blank after other white space, and those of :data:`_ODD`) go through :meth:`ids`.
+        A unit is a word (word level) or a word with the blank before it (byte level); it is one piece, or its letters and
+        the signs or digits after them. Texts in which units would not part as the library parts them (a blank after
+        other white space, and those of :data:`_ODD`) go through :meth:`ids`.
         """
         texts = pc.fill_null(texts, "")
         slow = pc.match_substring_regex(texts, _SLOW_BYTE if self.first else _SLOW_WORD).to_numpy(zero_copy_only=False)
@@ -163,12 +160,20 @@ class Encoder:
             units = pa.concat_arrays([blank, coded.dictionary.take(pa.array(first))])
         else:
             units = coded.dictionary
-        raws = self._units(units.to_numpy(zero_copy_only=False).tolist())
+        parts = pc.extract_regex(units, _TWO)
+        heads, tails = (pc.coalesce(pc.struct_field(parts, i), other) for i, other in ((0, units), (1, pa.scalar(""))))
+        pieces = pa.concat_arrays([heads, tails]).dictionary_encode()
+        raws = self._pieces(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
         size = np.array([len(r) // 4 for r in raws], np.int64)
         flat, begin = np.frombuffer(b"".join(raws), "<u4"), np.cumsum(size) - size
-        lengths = size[codes]
+        head, tail = np.split(pieces.indices.to_numpy(), 2)
+        two = np.stack([head[codes], tail[codes]], 1).ravel()  # each unit's two pieces, in order
+        lengths = size[two]
         ends = np.cumsum(lengths)
-        all_ = flat[np.repeat(begin[codes] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        two, lengths = two[lengths > 0], lengths[lengths > 0]
+        stops = np.cumsum(lengths)
+        all_ = flat[np.repeat(begin[two] - (stops - lengths), lengths) + np.arange(int(stops[-1]) if len(stops) else 0)]
+        ends = ends[1::2]
         bounds = np.concatenate([[0], ends])[cuts - cuts[0]]
         for i, a, b in zip(fast.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             out[i] = all_[a:b]
