@@ -49,7 +49,7 @@ SKETCH = "doc_id long, h long, n_shingles long, fp binary, sketch array<int>"
 #: Values of a sketch, for estimates, and how many of them, the smallest, have inverted lists.
 RETAINED, LISTED = 256, 128
 #: Classes of a block, two of which meet in one task, and shingles of all its sets together (8 bytes each).
-BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 #: Members of families up to which their keys are broadcast to fetch texts (about 50 bytes each).
 BROADCAST_ROWS = 200_000
 #: The same of two numbers each: classes with their families.
@@ -259,7 +259,11 @@ def links(held: DataFrame, count: int, size: int, percent: int) -> DataFrame:
 
 def assign(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, h (hash of the text), n_shingles, component_id, kept."""
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):  # all that runs in Python is done before it returns
+        return _assigned(docs, percent, size, id_col, text_col)
+
+
+def _assigned(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
     rows = cut(sketches(docs, size, id_col, text_col), "sketches")
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("member"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("node", F.xxhash64("fp")), "classes")

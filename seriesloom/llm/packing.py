@@ -174,8 +174,8 @@ def tokenize_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, win
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["shard", "length", "n"])
 
     spark = docs.sparkSession
-    small_batches(spark)
-    docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(write, schema).write.parquet(f"{root}/histogram")
+    with small_batches(spark):
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(write, schema).write.parquet(f"{root}/histogram")
     return spark.read.schema(schema).parquet(f"{root}/histogram")
 
 

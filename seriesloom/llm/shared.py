@@ -12,6 +12,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +40,19 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches to Python workers be at most 8 MB or 1,000 rows in this session, so that long texts stay small in both."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside sends Arrow batches of at most 8 MB or 1,000 rows to Python workers, so that long texts stay
+    small in both; the session has its own settings again afterwards."""
+    ours = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+    before = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -70,7 +70,7 @@ def _batch(texts: list[str | None], size: int, table: np.ndarray) -> list[np.nda
     return out
 
 
-def shingle_sets(texts: list[str | None], size: int = 5, chars: int = 1_000_000, blanks: np.ndarray = _BLANK) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], size: int = 5, chars: int = 250_000, blanks: np.ndarray = _BLANK) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words than ``size`` are one shingle, no words none. ``blanks`` says
     which bytes part words."""
     held, n = [], 0

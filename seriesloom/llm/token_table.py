@@ -169,7 +169,6 @@ class ShardReader:
 def write_table(docs: DataFrame, root: str, tokenizer: str, end_id: int, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write shards below ``root`` and return the manifest, a row per shard, itself stored below ``root``."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(*([partitions] if partitions else []), "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
@@ -190,7 +189,8 @@ def write_table(docs: DataFrame, root: str, tokenizer: str, end_id: int, partiti
             shard.close()
             yield pa.RecordBatch.from_pydict({"shard": [name], "first_key": [first], "last_key": [shard.last], "n_docs": [len(shard.keys)], "n_ids": [n_ids]})
 
-    dealt.mapInArrow(write, MANIFEST).write.parquet(f"{root}/manifest")
+    with small_batches(spark):
+        dealt.mapInArrow(write, MANIFEST).write.parquet(f"{root}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
 

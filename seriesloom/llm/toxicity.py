@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, dropped, small_batches
+from .shared import cut, dropped, hinted, small_batches
 from .shingles import SIGNS, shingle_sets
 
 MAX_LABELLED = 8_000
@@ -43,6 +43,8 @@ FOLDS = 5
 THRESHOLD = 0.5
 #: Columns of the labels, in the order of the chain; the last decides.
 CATEGORIES = ("quality", "toxic")
+#: Rejected rows (16 bytes each) up to which they are broadcast.
+BROADCAST_ROWS = 500_000
 #: Documents that hold a word, at least, and its least chi-square.
 LEAST_DOCS, LEAST_CHI = 3, 4.0
 
@@ -173,7 +175,6 @@ def predict(chain: list[Link], sets: list[np.ndarray]) -> np.ndarray:
 
 def sample(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> DataFrame:
     """Stored (_id, fold, columns, words: distinct hashes) of at most ``limit`` labelled documents."""
-    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("_id"), *(F.col(c).cast("int").alias(c) for c in columns)).dropna()
     known = known.groupBy("_id").agg(*(F.max(c).alias(c) for c in columns)).orderBy(F.xxhash64("_id"), "_id").limit(limit)
     known = known.withColumn("fold", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
@@ -186,7 +187,8 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: str =
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sets, pa.list_(pa.int64()))], ["_id", "fold", *columns, "words"])
 
     schema = ", ".join(["_id long", "fold int", *(f"{c} int" for c in columns), "words array<long>"])
-    return cut(rows.select("t._text", "_id", "fold", *columns).mapInArrow(run, schema), "sample")
+    with small_batches(docs.sparkSession):
+        return cut(rows.select("t._text", "_id", "fold", *columns).mapInArrow(run, schema), "sample")
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[Link], float]:
@@ -226,17 +228,16 @@ def score(docs: DataFrame, chain: list[Link], names: list[str], id_col: str = "d
 def classify(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, keep: list[str] | None = None) -> DataFrame:
     """Train on the labelled documents and score all."""
     chain, threshold = train(docs, labels, categories)
-    return score(docs, chain, list(categories), threshold=threshold, keep=keep)
+    with small_batches(docs.sparkSession):
+        return cut(score(docs, chain, list(categories), threshold=threshold, keep=keep), "scored")
 
 
 def clean(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not rejected, all columns as they are."""
+    """The rows of ``docs`` that are not rejected, all columns as they are. Rejected ones are told by identifier and text hash."""
     chain, threshold = train(docs, labels, categories, id_col, text_col)
-    place = docs.columns.index(text_col)
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            sets = list(shingle_sets(part.column(place).to_pylist(), 1, blanks=SIGNS))
-            yield part.filter(pa.array(np.round(predict(chain, sets), 6)[:, -1] < threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.col(id_col).alias("__rejected_id"), F.xxhash64(text_col).alias("__rejected_h"), F.col(text_col).alias("__text"))
+    scored = score(rows, chain, list(categories), text_col="__text", threshold=threshold, keep=["__rejected_id", "__rejected_h"])
+    with small_batches(docs.sparkSession):
+        rejected = cut(scored.where("toxic").select("__rejected_id", "__rejected_h").distinct(), "rejected")
+    same = F.col(id_col).eqNullSafe(F.col("__rejected_id")) & (F.xxhash64(text_col) == F.col("__rejected_h"))
+    return docs.join(hinted(rejected, BROADCAST_ROWS), same, "left_anti")

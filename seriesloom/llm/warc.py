@@ -125,7 +125,6 @@ def write_archives(pages: DataFrame, root: str, min_bytes: int = 0, file_bytes:
 
     Payloads of fewer than ``min_bytes`` bytes are always written in full.
     """
-    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), _payload(F.col(html_col)).alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("size", F.length("payload").cast("long"))
     again = rows.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -155,7 +154,8 @@ def write_archives(pages: DataFrame, root: str, min_bytes: int = 0, file_bytes:
         if out is not None:
             out.close()
 
-    known.mapInArrow(write, PLACES).write.parquet(f"{root}/places")
+    with small_batches(pages.sparkSession):
+        known.mapInArrow(write, PLACES).write.parquet(f"{root}/places")
     return pages.sparkSession.read.schema(PLACES).parquet(f"{root}/places")
 
 

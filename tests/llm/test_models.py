@@ -45,7 +45,11 @@ def test_held_out_accuracy(spark):
     assert got[None].kept and {"p_quality", "p_toxic"} <= set(got[0].asDict())
     assert toxicity.classify(docs, known.where("false")).where("toxic").count() == 0
     assert toxicity.classify(docs.where("false"), known).count() == 0
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, "777")
     clean = toxicity.clean(docs, known)
+    assert spark.conf.get(batch) == "777"  # the session's own settings are left alone
+    spark.conf.unset(batch)
     assert clean.columns == docs.columns
     assert {r.doc_id for r in clean.collect()} == {i for i, r in got.items() if r.kept}
 
