@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, dropped, hinted
@@ -226,13 +226,15 @@ def determinant_estimates(rows: DataFrame, keys: list[str], share: float = 0.75)
     return cut(_factored(last.join(groups, keys)).select(*keys, "rows", *_M, *_C), "determinants")
 
 
-def _shrunk(own: DataFrame, wide: DataFrame, on: list[str]) -> DataFrame:
-    """``own`` (rows, m*, c**) drawn towards the estimates ``wide`` of the groups that hold them (joined by ``on``)."""
-    wide = wide.select(*on, *(F.col(c).alias(f"w{c}") for c in (*_M, *_C)))
+def _shrunk(own: DataFrame, wide: DataFrame | Row | None, on: list[str]) -> DataFrame:
+    """``own`` (rows, m*, c**) drawn towards the estimates ``wide`` of the groups that hold them, joined by ``on``, or one for all."""
+    if isinstance(wide, DataFrame):
+        met = own.join(hinted(wide.select(*on, *(F.col(c).alias(f"w{c}") for c in (*_M, *_C))), GROUPS_BROADCAST), on)
+    else:
+        met = own.withColumns({f"w{c}": F.lit(wide[c] if wide else None).cast("double") for c in (*_M, *_C)})
     w = F.col("rows") / (F.col("rows") + F.lit(float(PRIOR)))
     mix = lambda c: w * F.col(c) + (1 - w) * F.col(f"w{c}")
     apart = lambda i: F.col(f"m{i}") - F.col(f"wm{i}")
-    met = own.join(F.broadcast(wide), on) if on else own.crossJoin(F.broadcast(wide))  # on nothing: the corpus, one row
     keep = [c for c in own.columns if c not in (*_M, *_C)]
     return met.select(*keep, *(mix(c).alias(c) for c in _M), *((mix(f"c{i}{j}") + w * (1 - w) * apart(i) * apart(j)).alias(f"c{i}{j}") for i, j in _PAIRS), w.alias("own_weight"))
 
@@ -245,7 +247,7 @@ def judge(docs: DataFrame, level: float = LEVEL) -> DataFrame:
     kinds = F.array(F.struct(every.alias("g0"), every.alias("g1")), F.struct("g0", every.alias("g1")), F.struct("g0", "g1"))
     sound = stats.where("not base_failed").select(F.explode(kinds).alias("g"), *(f"x{i}" for i in range(_P))).select("g.*", *(f"x{i}" for i in range(_P)))
     est = determinant_estimates(sound, ["g0", "g1"])
-    corpus = est.where((F.col("g0") == every) & (F.col("g1") == every))
+    corpus = est.where((F.col("g0") == every) & (F.col("g1") == every)).first()
     langs = cut(_shrunk(est.where((F.col("g0") != every) & (F.col("g1") == every)).drop("g1"), corpus, []), "languages")
     last = _factored(_shrunk(est.where(F.col("g1") != every), langs, ["g0"])).select("g0", "g1", "own_weight", *_M, *_L)
     rows = stats.join(hinted(cut(last, "shrunk"), GROUPS_BROADCAST), ["g0", "g1"], "left").withColumn("distance", _distance())

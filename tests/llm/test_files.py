@@ -28,6 +28,28 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
 
 
+def test_no_shared_folder_on_many_machines():
+    from seriesloom.llm.shared import shared_dir
+    from seriesloom.sources.storage import scratch
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = self
+            self.held = {k.replace("_", "."): v for k, v in conf.items()}
+
+        def get(self, key, default=None):
+            return self.held.get(key, default)
+
+        def set(self, key, value):
+            self.held[key] = value
+
+    for where in (shared_dir, lambda s: scratch(s, "x")):
+        with pytest.raises(ValueError, match="that the driver and all executors share"):
+            where(Session(spark_master="spark://host:7077"))
+        assert where(Session(spark_master="spark://host:7077", spark_checkpoint_dir="hdfs://n/x")).startswith("hdfs://n/x")
+        assert where(Session(spark_master="local[4]")).startswith("file://")
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aBé' .,\n\t 1λ漢ß \x1f́İΣς") | st.characters(codec="utf-8"), max_size=40), max_size=5))
 def test_cached_ids_equal_the_library(texts):
