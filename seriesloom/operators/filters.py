@@ -107,9 +107,9 @@ def united(blooms: DataFrame) -> DataFrame:
 def intersected(blooms: DataFrame) -> DataFrame:
     """(bucket, bitmap): the intersection of filters of equal size and hashes; a bucket that one of them lacks is empty."""
     _equal(blooms)
-    filters_ = blooms.agg(F.count_distinct("pid").alias("filters"))
+    filters_ = blooms.select("pid").distinct().count()
     held = blooms.groupBy("bucket").agg(F.bitmap_and_agg("bitmap").alias("bitmap"), F.count_distinct("pid").alias("n"))
-    return held.crossJoin(F.broadcast(filters_)).where("n = filters").select("bucket", "bitmap")  # one row
+    return held.where(F.col("n") == filters_).select("bucket", "bitmap")
 
 
 def _equal(blooms: DataFrame) -> None:

@@ -52,9 +52,10 @@ def size_histogram(rows: DataFrame, column: str, block: float) -> DataFrame:
 def equal_histogram(rows: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """(bin, n): equal-width bins from the least to the greatest value, which has a bin of its own; one bin if all are equal."""
     x = F.col(column).cast("double")
-    edge = rows.agg(F.min(x).alias("low"), F.max(x).alias("high"))
-    bin_ = F.when(F.col("high") == F.col("low"), 0).otherwise(F.floor((x - F.col("low")) / (F.col("high") - F.col("low")) * bins)).cast("int")
-    return rows.crossJoin(F.broadcast(edge)).select(bin_.alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    edge = rows.agg(F.min(x).alias("low"), F.max(x).alias("high")).first()
+    low, high = F.lit(edge.low).cast("double"), F.lit(edge.high).cast("double")
+    bin_ = F.when(high == low, 0).otherwise(F.floor(F.try_divide(x - low, high - low) * bins)).cast("int")
+    return rows.select(bin_.alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
 def partition_records(records: DataFrame) -> DataFrame:

@@ -796,7 +796,8 @@ def u3_filters_united(spark, sf_dir):
     """Of filters of one size: their union holds every key of each, and the intersection of a filter with itself is that filter."""
     rows = storage.materialise(tagged(spark, sf_dir, NARROW).withColumn("pid", (F.col("series_id") % 7).cast("int")).select("pid", "word"), "words")
     blooms = storage.materialise(filters.bloom_table(rows, NARROW, m=65536), "blooms")
-    whole = filters.united(blooms).select(F.lit(0).alias("pid"), "bucket", "bitmap").crossJoin(F.broadcast(blooms.select("m", "h", "n").limit(1)))
+    size = blooms.first()
+    whole = filters.united(blooms).select(F.lit(0).alias("pid"), "bucket", "bitmap", F.lit(size.m).alias("m"), F.lit(size.h).alias("h"))
     missing = filters.might_contain(rows.select(F.lit(0).alias("pid"), F.col("word").alias("key")), whole).where("not maybe").count()
     one = blooms.where("pid = 3")
     twice = filters.intersected(one.unionByName(one.withColumn("pid", F.lit(4)))).join(one.select("bucket", F.col("bitmap").alias("own")), "bucket")
