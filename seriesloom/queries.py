@@ -7,6 +7,7 @@ hundred rows; they are parameters of the same code at any size.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -112,7 +113,12 @@ def answered(rows: DataFrame, answer: Callable[[list[search.Query]], DataFrame])
 
 
 def built(spark: SparkSession, sf_dir: str, cfg: IndexConfig) -> indexes.Index:
-    return indexes.build(storage.materialise(series(spark, sf_dir), "series"), storage.scratch(spark, "index"), cfg)
+    """The index of these settings over the table's present files: built by the first query that asks for it, then opened."""
+    root = storage.scratch(spark, "index").rpartition("/")[0]
+    path = f"{root}/index-{hashlib.sha256(repr((cfg, storage.stamp(spark, f'{sf_dir}/embeddings.parquet'))).encode()).hexdigest()}"
+    if storage.exists(spark, f"{path}/manifest.json"):
+        return indexes.open_index(spark, path)
+    return indexes.build(storage.materialise(series(spark, sf_dir), "series"), path, cfg)
 
 
 # sources

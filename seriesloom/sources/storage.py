@@ -8,6 +8,7 @@ a complete index or none.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import json
 import logging
 import shutil
@@ -83,6 +84,16 @@ def listing(spark: SparkSession, path: str, empty: bool = True) -> list[tuple[st
     return sorted(out)
 
 
+def stamp(spark: SparkSession, path: str) -> str:
+    """A digest of names, sizes and times of the files below a path: another one when they change."""
+    fs, p = _fs(spark, path)
+    files, seen = fs.listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()
+
+
 def read_bytes(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
