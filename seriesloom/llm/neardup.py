@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut, dropped, hinted, small_batches
+from .shared import cut, dropped, hinted, release, small_batches
 from .shingles import shingle_sets
 
 SKETCH = "doc_id long, h long, n_shingles long, fp binary, sketch array<int>"
@@ -90,6 +90,7 @@ def sketches(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: s
                 fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 values.append(sketch_of(s))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(values, pa.list_(pa.int32()))], ["doc_id", "h", "n_shingles", "fp", "sketch"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH)
 
@@ -200,6 +201,8 @@ def _per_cell(rows: DataFrame, count: int, schema: str, columns: list[str], work
         found = close()
         if found and found[0]:
             yield batch(found)
+        held.clear()
+        release()
 
     rows = rows.select("family", "i", "j", *columns)
     tasks = max(1, -(-count // TASK_ROWS))  # much work on few bytes: not to be coalesced by size

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Store, fresh, small_batches, unique_name
+from .shared import Store, fresh, release, small_batches, unique_name
 from .tokens import CACHE_ENTRIES, encoder, slices
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_to long"
@@ -172,6 +172,7 @@ def tokenize_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, win
             out.close()
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["shard", "length", "n"])
+        release()
 
     spark = docs.sparkSession
     with small_batches(spark):

@@ -9,12 +9,14 @@ rows; only reported names are ever read, so retried or speculative tasks leave u
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +110,15 @@ class Store:
         return self.fs.open_input_file(f"{self.root}/{name}")
 
 
+def release() -> None:
+    """Give what this Python worker has freed back to the system; workers outlive their tasks and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def unique_name(prefix: str, suffix: str) -> str:
     """A file name for this task attempt."""
     from pyspark import TaskContext

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Store, fresh, small_batches, unique_name
+from .shared import Store, fresh, release, small_batches, unique_name
 from .tokens import encoder, slices
 
 MAGIC = b"SLTOK001"
@@ -188,6 +188,7 @@ def write_table(docs: DataFrame, root: str, tokenizer: str, end_id: int, partiti
         if shard is not None:
             shard.close()
             yield pa.RecordBatch.from_pydict({"shard": [name], "first_key": [first], "last_key": [shard.last], "n_docs": [len(shard.keys)], "n_ids": [n_ids]})
+        release()
 
     with small_batches(spark):
         dealt.mapInArrow(write, MANIFEST).write.parquet(f"{root}/manifest")

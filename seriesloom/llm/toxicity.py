@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, dropped, hinted, small_batches
+from .shared import cut, dropped, hinted, release, small_batches
 from .shingles import SIGNS, shingle_sets
 
 MAX_LABELLED = 8_000
@@ -221,6 +221,7 @@ def score(docs: DataFrame, chain: list[Link], names: list[str], id_col: str = "d
             p = np.round(predict(chain, sets), 6)
             bad = p[:, -1] >= threshold
             yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(p[:, i]) for i in range(len(names))), pa.array(bad), pa.array(~bad)], schema.fieldNames())
+        release()
 
     return docs.select(F.col(text_col).alias("_text_"), *(F.col(c) for c in keep)).mapInArrow(run, schema)
 

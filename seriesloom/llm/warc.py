@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Store, cut, fresh, hinted, small_batches, unique_name
+from .shared import Store, cut, fresh, hinted, release, small_batches, unique_name
 
 PLACES = "key string, page_id long, file string, offset long, length long"
 FILES = "first_key string, last_key string, file string, blocks long, n long"
@@ -153,6 +153,7 @@ def write_archives(pages: DataFrame, root: str, min_bytes: int = 0, file_bytes:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*places, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "page_id", "file", "offset", "length"])
         if out is not None:
             out.close()
+        release()
 
     with small_batches(pages.sparkSession):
         known.mapInArrow(write, PLACES).write.parquet(f"{root}/places")
