@@ -254,6 +254,7 @@ def range_report(index: Index, queries: list[Query], radius: float) -> DataFrame
 
 def exact_match(index: Index, rows: DataFrame, bloom: bool = False) -> DataFrame:
     """(qid, found, blocks) of queries (qid, values): whether a stored series has these very values, and partitions read for it.
+    Each row is a query of its own and has a row of the answer, whether or not others bear its qid.
 
     The probes go to the stored records, by broadcast or (if they are many) as the hashed side of a join, so records are
     streamed past them in place.
@@ -270,10 +271,10 @@ def exact_match(index: Index, rows: DataFrame, bloom: bool = False) -> DataFrame
         asked = filters.might_contain(probes, index.bloom()).withColumn("blocks", F.col("maybe").cast("int")).drop("key", "maybe")
     else:
         asked = asked.withColumn("blocks", F.lit(1))
-    asked = storage.materialise(asked, "probes")
-    open_ = asked.where("blocks > 0").select("qid", "pid", "word", "values")
+    asked = storage.materialise(asked.withColumn("probe", F.monotonically_increasing_id()), "probes")
+    open_ = asked.where("blocks > 0").select("probe", "pid", "word", "values")
     pids = [r.pid for r in open_.select("pid").distinct().collect()]  # partitions, for the literal filter
     few = open_.limit(MAX_PROBES + 1).count() <= MAX_PROBES
     sought = F.broadcast(open_) if few else open_.hint("shuffle_hash")
-    hit = index.series(pids).select("pid", "word", "values").join(sought, ["pid", "word", "values"]).select("qid").distinct().withColumn("found", F.lit(True))
-    return asked.join(hit, "qid", "left").select("qid", F.coalesce("found", F.lit(False)).alias("found"), "blocks")
+    hit = index.series(pids).select("pid", "word", "values").join(sought, ["pid", "word", "values"]).select("probe").distinct().withColumn("found", F.lit(True))
+    return asked.join(hit, "probe", "left").select("qid", F.coalesce("found", F.lit(False)).alias("found"), "blocks")
