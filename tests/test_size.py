@@ -27,3 +27,7 @@ def same(spark, name, root):
 
 def test_q1_probes_of_one_qid(spark, wide_ids):
     same(spark, "q1_exact_match", wide_ids)
+
+
+def test_a12_probes_of_one_qid(spark, wide_ids):
+    same(spark, "a12_exact_report", wide_ids)
