@@ -31,3 +31,7 @@ def test_q1_probes_of_one_qid(spark, wide_ids):
 
 def test_a12_probes_of_one_qid(spark, wide_ids):
     same(spark, "a12_exact_report", wide_ids)
+
+
+def test_q2_probes_of_one_qid(spark, wide_ids):
+    same(spark, "q2_exact_match_bloom", wide_ids)
