@@ -1,8 +1,9 @@
 """Searches over stored series, many queries in one job.
 
-A plan says which partitions (and, below them, which prefixes) each query may find answers in; it is made on the driver from
-node tables and rides in the tasks' closure with the queries, of which one job takes at most ``MAX_QUERIES``; larger query sets
-are answered block by block (:func:`each_block`). Stored records are opened by a literal partition filter. In a task, the
+A plan says which partitions (and, below them, which prefixes) each query may find answers in. For the nearest it is made on the
+driver from node tables and rides in the tasks' closure with the queries, of which one job takes at most ``MAX_QUERIES``; larger
+query sets are answered block by block (:func:`each_block`). Within a radius a query may reach most partitions, so there the driver
+knows only which any query reaches, and tasks find the rest from bounds. Stored records are opened by a literal partition filter. In a task, the
 bounds from a query to the boxes of a batch's distinct words say which records can be answers (within the radius, or
 nearer than the k found so far); distances to these alone are computed by NumPy, and only what can be an answer leaves the
 task: at most k rows a query and task, or what lies within the radius. Records that are no series of the queries' length (null, short,
@@ -98,10 +99,11 @@ def _whole(part: pa.RecordBatch, length: int) -> tuple[pa.RecordBatch, np.ndarra
 
 
 def _search(rows: DataFrame, queries: list[Query], k: int | None, radius: float | None, plan: dict[int, dict[int, tuple[str, ...]]] | None, strict: bool = False, cfg: IndexConfig | None = None) -> DataFrame:
-    """Rows of ``FOUND``. plan: qid -> pid -> prefixes (an empty one: all); None: everything."""
-    columns = ["series_id", "values"] + (["pid", "word"] if plan is not None else [])
+    """Rows of ``FOUND``. plan: qid -> pid -> prefixes (an empty one: all); None: everything. With ``cfg`` the rows have words,
+    and bounds to them are computed first."""
+    columns = ["series_id", "values"] + (["pid", "word"] if cfg is not None else [])
     length = len(queries[0].lower) if queries else 0
-    means = {q.qid: (segment_means(q.lower, cfg), segment_means(q.upper, cfg)) for q in queries} if plan is not None else {}
+    means = {q.qid: (segment_means(q.lower, cfg), segment_means(q.upper, cfg)) for q in queries} if cfg is not None else {}
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -110,23 +112,23 @@ def _search(rows: DataFrame, queries: list[Query], k: int | None, radius: float
                 continue
             part, values = _whole(part, length)
             ids = part.column(0).to_numpy(zero_copy_only=False)
-            if plan is not None:
+            if cfg is not None:
                 pids = part.column(2).to_numpy(zero_copy_only=False)
                 held, (words, of) = {int(p) for p in np.unique(pids)}, np.unique(np.array(part.column(3).to_pylist(), str), return_inverse=True)
                 lo, hi = boxes(words.tolist(), cfg)
             out = []
             for q in queries:
                 at = None
-                if plan is not None:
-                    own = plan.get(q.qid, {})
+                if cfg is not None:
+                    own = plan.get(q.qid, {}) if plan is not None else {}
                     here = held & own.keys()
-                    if not here:
+                    if plan is not None and not here:
                         continue
                     edge = radius if k is None else best[q.qid][0].max() if q.qid in best and len(best[q.qid][0]) >= k else np.inf
                     near = bounds_to(lo, hi, *means[q.qid], cfg) <= edge * (1 + 1e-9) + 1e-9
                     if not near.any():
                         continue
-                    mask = np.zeros(part.num_rows, bool)
+                    mask = np.zeros(part.num_rows, bool) if plan is not None else near[of]
                     for p in here:
                         fit = near if "" in own[p] else near & np.logical_or.reduce([np.char.startswith(words, x) for x in own[p]])
                         mask |= (pids == p) & fit[of]
@@ -226,30 +228,60 @@ def knn(index: Index, queries: list[Query], k: int, kind: int = 0, full: bool =
     return ranked(_search(index.series(_used(plan)), queries, k, None, plan, cfg=index.cfg), k, full)
 
 
+def _means(queries: list[Query], cfg: IndexConfig) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(segment_means(q.lower, cfg), segment_means(q.upper, cfg)) for q in queries]
+
+
 def plan_range(index: Index, queries: list[Query], radius: float) -> dict[int, dict[int, tuple[str, ...]]]:
-    """Partitions whose bound is within the radius, and the overflow."""
-    means = [(q, segment_means(q.lower, index.cfg), segment_means(q.upper, index.cfg)) for q in queries]
-    return {q.qid: dict.fromkeys(index.tree.within(lo, hi, radius), ("",)) for q, lo, hi in means}
+    """Partitions whose bound is within the radius, and the overflow; of few queries, as the driver holds queries times partitions."""
+    return {q.qid: dict.fromkeys(index.tree.within(lo, hi, radius), ("",)) for q, (lo, hi) in zip(queries, _means(queries, index.cfg), strict=True)}
+
+
+def partitions_within(index: Index, queries: list[Query], radius: float) -> DataFrame:
+    """(qid, pid): what :func:`plan_range` gives, found in tasks of some queries each."""
+    cfg, (lo, hi, pids), overflow = index.cfg, index.tree.boxes(), index.tree.overflow
+    asked = [(q.qid, *m) for q, m in zip(queries, _means(queries, cfg), strict=True)]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for i in part.column(0).to_pylist():
+                qid, lower, upper = asked[i]
+                own = np.append(np.unique(pids[bounds_to(lo, hi, lower, upper, cfg) <= radius]), overflow)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), qid), pa.int64()), pa.array(own, pa.int32())], ["qid", "pid"])
+
+    return index.spark.range(0, len(asked), 1, max(1, min(len(asked) // 64, 256))).mapInArrow(run, "qid long, pid int")
 
 
 def range_search(index: Index, queries: list[Query], radius: float, strict: bool = False) -> DataFrame:
     """All (qid, series_id, dist) with ``dist <= radius``; bounds spare partitions that cannot hold any."""
-    plan = plan_range(index, queries, radius)
-    return _search(index.series(_used(plan)), queries, None, radius, plan, strict, index.cfg)
+    pids = index.tree.within_any(_means(queries, index.cfg), radius)
+    return _search(index.series(pids), queries, None, radius, None, strict, index.cfg)
 
 
 def range_report(index: Index, queries: list[Query], radius: float) -> DataFrame:
     """(qid, blocks, internal_nodes, terminal_nodes): partitions read, and local nodes whose path stays within the radius."""
-    from ..functions.distance import node_bound
-
-    plan, spark, cfg = plan_range(index, queries, radius), index.spark, index.cfg
-    rows = [(q.qid, p, segment_means(q.lower, cfg).tolist(), segment_means(q.upper, cfg).tolist()) for q in queries for p in plan[q.qid]]
-    asked = spark.createDataFrame(rows, "qid long, pid int, lower array<double>, upper array<double>")
-    near = asked.join(index.nodes(), "pid", "left").withColumn("bound", F.when(F.col("prefix").isNotNull(), node_bound(F.col("prefix"), F.col("lower"), F.col("upper"), cfg)))
-    # bounds grow down a path, so a node within the radius has all its ancestors there
-    inside = (F.col("bound") <= radius).cast("int")
-    leaf = F.col("is_leaf").cast("int")
-    return near.groupBy("qid").agg(F.countDistinct("pid").cast("int").alias("blocks"), F.coalesce(F.sum(inside * (1 - leaf)), F.lit(0)).cast("int").alias("internal_nodes"), F.coalesce(F.sum(inside * leaf), F.lit(0)).cast("int").alias("terminal_nodes"))
+    cfg = index.cfg
+    asked = [(q.qid, *m) for q, m in zip(queries, _means(queries, cfg), strict=True)]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inner, outer = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+        for part in parts:
+            lo, hi = boxes(part.column(0).to_pylist(), cfg)
+            leaf = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for i, (_, lower, upper) in enumerate(asked):
+                inside = bounds_to(lo, hi, lower, upper, cfg) <= radius
+                n, leaves = np.count_nonzero(inside), np.count_nonzero(inside & leaf)
+                inner[i] += n - leaves
+                outer[i] += leaves
+        yield pa.RecordBatch.from_arrays([pa.array([q for q, *_ in asked], pa.int64()), pa.array(inner), pa.array(outer)], ["qid", "inner", "outer"])
+
+    # bounds grow down a path, so a node within the radius has all its ancestors there, its partition's leaf among them; a root is as near as its partition
+    nodes = index.nodes()
+    below = nodes.where("level > 0").select("prefix", "is_leaf").mapInArrow(run, "qid long, inner long, outer long").groupBy("qid").agg(F.sum("inner").alias("inner"), F.sum("outer").alias("outer"))
+    roots = F.broadcast(nodes.where("level = 0").select("pid", F.col("is_leaf").cast("int").alias("leaf")))  # a row per partition
+    own = partitions_within(index, queries, radius).join(roots, "pid", "left").groupBy("qid").agg(F.count("*").cast("int").alias("blocks"), F.sum(1 - F.col("leaf")).alias("stems"), F.sum("leaf").alias("leaves"))
+    both = lambda a, b: (F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))).cast("int")
+    return own.join(below, "qid", "left").select("qid", "blocks", both("stems", "inner").alias("internal_nodes"), both("leaves", "outer").alias("terminal_nodes"))
 
 
 def exact_match(index: Index, rows: DataFrame, bloom: bool = False) -> DataFrame:

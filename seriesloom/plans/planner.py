@@ -104,14 +104,29 @@ class GlobalIndex:
             best = n
         return best.pids
 
-    def within(self, lower: np.ndarray, upper: np.ndarray, radius: float) -> list[int]:
-        """Partitions with a leaf whose bound is at most ``radius``, and the overflow."""
+    def boxes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lower and upper edges of the leaves, and their partitions."""
         if self.edges is None:  # once a tree: two numbers a leaf and segment
             leaves = self.leaves()
             self.edges = (*boxes([n.prefix for n in leaves], self.cfg), np.array([n.pids[0] for n in leaves], int))
-        lo, hi, pids = self.edges
+        return self.edges
+
+    def within(self, lower: np.ndarray, upper: np.ndarray, radius: float) -> list[int]:
+        """Partitions with a leaf whose bound is at most ``radius``, and the overflow."""
+        lo, hi, pids = self.boxes()
         return sorted({*np.unique(pids[bounds_to(lo, hi, lower, upper, self.cfg) <= radius]).tolist(), self.overflow})
 
+    def within_any(self, means: list[tuple[np.ndarray, np.ndarray]], radius: float) -> list[int]:
+        """Partitions within the radius of one or more of (lower, upper), and the overflow."""
+        lo, hi, pids = self.boxes()
+        left = np.ones(len(pids), bool)
+        for lower, upper in means:
+            at = np.flatnonzero(left)
+            if not len(at):
+                break
+            left[at[bounds_to(lo[at], hi[at], lower, upper, self.cfg) <= radius]] = False
+        return sorted({*np.unique(pids[~left]).tolist(), self.overflow})
+
     def pid_column(self, w: Column) -> Column:
         """Partition of a word column for small trees; :func:`assign` joins for large ones."""
         out = None

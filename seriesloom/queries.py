@@ -720,8 +720,7 @@ def i7_k8_first_fit(spark, sf_dir):
 def i12_partitions_within(spark, sf_dir):
     """Partitions within the radius of each query, the overflow among them."""
     index = built(spark, sf_dir, NARROW)
-    plan = lambda qs: spark.createDataFrame([(q, p) for q, own in search.plan_range(index, qs, RADIUS).items() for p in own], "qid long, pid int")
-    return search.each_block(asked(spark, sf_dir), 64, plan)
+    return search.each_block(asked(spark, sf_dir), 64, lambda qs: search.partitions_within(index, qs, RADIUS))
 
 
 @query("select * from (values ('exact', 40, 1.0::double), ('knn', 10, 1.0), ('range', 10, 1.0)) t(kind, queries, score)")

@@ -1,9 +1,14 @@
 """What only larger tables show: identifiers that meet, plans of many queries, sums in another order."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seriesloom import queries
+from seriesloom.operators import search
+from seriesloom.plans import index as indexes
 from seriesloom.sources import storage
 
 from .oracle import DATA, duck_rows, rows
@@ -35,3 +40,32 @@ def test_a12_probes_of_one_qid(spark, wide_ids):
 
 def test_q2_probes_of_one_qid(spark, wide_ids):
     same(spark, "q2_exact_match_bloom", wide_ids)
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """An index of partitions of few series, and 3,000 queries."""
+    data = queries.series(spark, DATA)
+    index = indexes.build(storage.materialise(data, "series"), storage.scratch(spark, "index"), queries.NARROW)
+    first = [np.array(r["values"]) for r in data.orderBy("series_id").limit(30).collect()]
+    return index, [search.Query(i, first[i % 30], first[i % 30]) for i in range(3000)]
+
+
+def held(f):
+    """MB that the driver's Python had at most, and what ``f`` gave."""
+    tracemalloc.start()
+    out = f()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6, out
+
+
+def test_i12_partitions_are_found_in_tasks(many):
+    index, asked = many
+    peak, found = held(lambda: search.partitions_within(index, asked, queries.RADIUS))
+    assert peak < 6
+    got = {}
+    for r in found.where("qid < 60").collect():
+        got.setdefault(r.qid, []).append(r.pid)
+    assert {q: sorted(p) for q, p in got.items()} == {q: list(p) for q, p in search.plan_range(index, asked[:60], queries.RADIUS).items()}
+    assert found.count() == 100 * sum(len(p) for p in search.plan_range(index, asked[:30], queries.RADIUS).values())
