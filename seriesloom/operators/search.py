@@ -87,6 +87,14 @@ def each_block(rows: DataFrame, length: int, answer: Callable[[list[Query]], Dat
     return out
 
 
+def _means(queries: list[Query], cfg: IndexConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Segment means (queries, segments) of the lower and the upper lines."""
+    if not queries:
+        return np.zeros((0, cfg.word_length)), np.zeros((0, cfg.word_length))
+    lower = segment_means(np.stack([q.lower for q in queries]), cfg)
+    return lower, lower if all(q.scalar for q in queries) else segment_means(np.stack([q.upper for q in queries]), cfg)
+
+
 def _whole(part: pa.RecordBatch, length: int) -> tuple[pa.RecordBatch, np.ndarray]:
     """The rows of a batch that are series of this length, and their values."""
     sized = np.asarray(pc.fill_null(pc.list_value_length(part.column(1)), -1)) == length
@@ -103,7 +111,7 @@ def _search(rows: DataFrame, queries: list[Query], k: int | None, radius: float
     and bounds to them are computed first."""
     columns = ["series_id", "values"] + (["pid", "word"] if cfg is not None else [])
     length = len(queries[0].lower) if queries else 0
-    means = {q.qid: (segment_means(q.lower, cfg), segment_means(q.upper, cfg)) for q in queries} if cfg is not None else {}
+    low, high = _means(queries, cfg) if cfg is not None else (None, None)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -117,7 +125,7 @@ def _search(rows: DataFrame, queries: list[Query], k: int | None, radius: float
                 held, (words, of) = {int(p) for p in np.unique(pids)}, np.unique(np.array(part.column(3).to_pylist(), str), return_inverse=True)
                 lo, hi = boxes(words.tolist(), cfg)
             out = []
-            for q in queries:
+            for n, q in enumerate(queries):
                 at = None
                 if cfg is not None:
                     own = plan.get(q.qid, {}) if plan is not None else {}
@@ -125,7 +133,7 @@ def _search(rows: DataFrame, queries: list[Query], k: int | None, radius: float
                     if plan is not None and not here:
                         continue
                     edge = radius if k is None else best[q.qid][0].max() if q.qid in best and len(best[q.qid][0]) >= k else np.inf
-                    near = bounds_to(lo, hi, *means[q.qid], cfg) <= edge * (1 + 1e-9) + 1e-9
+                    near = bounds_to(lo, hi, low[n], high[n], cfg) <= edge * (1 + 1e-9) + 1e-9
                     if not near.any():
                         continue
                     mask = np.zeros(part.num_rows, bool) if plan is not None else near[of]
@@ -228,52 +236,47 @@ def knn(index: Index, queries: list[Query], k: int, kind: int = 0, full: bool =
     return ranked(_search(index.series(_used(plan)), queries, k, None, plan, cfg=index.cfg), k, full)
 
 
-def _means(queries: list[Query], cfg: IndexConfig) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(segment_means(q.lower, cfg), segment_means(q.upper, cfg)) for q in queries]
-
-
 def plan_range(index: Index, queries: list[Query], radius: float) -> dict[int, dict[int, tuple[str, ...]]]:
     """Partitions whose bound is within the radius, and the overflow; of few queries, as the driver holds queries times partitions."""
-    return {q.qid: dict.fromkeys(index.tree.within(lo, hi, radius), ("",)) for q, (lo, hi) in zip(queries, _means(queries, index.cfg), strict=True)}
+    return {q.qid: dict.fromkeys(index.tree.within(lo, hi, radius), ("",)) for q, lo, hi in zip(queries, *_means(queries, index.cfg), strict=True)}
 
 
 def partitions_within(index: Index, queries: list[Query], radius: float) -> DataFrame:
     """(qid, pid): what :func:`plan_range` gives, found in tasks of some queries each."""
     cfg, (lo, hi, pids), overflow = index.cfg, index.tree.boxes(), index.tree.overflow
-    asked = [(q.qid, *m) for q, m in zip(queries, _means(queries, cfg), strict=True)]
+    qids, (low, high) = np.array([q.qid for q in queries], np.int64), _means(queries, cfg)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i in part.column(0).to_pylist():
-                qid, lower, upper = asked[i]
-                own = np.append(np.unique(pids[bounds_to(lo, hi, lower, upper, cfg) <= radius]), overflow)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), qid), pa.int64()), pa.array(own, pa.int32())], ["qid", "pid"])
+                own = np.append(np.unique(pids[bounds_to(lo, hi, low[i], high[i], cfg) <= radius]), overflow)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), qids[i]), pa.int64()), pa.array(own, pa.int32())], ["qid", "pid"])
 
-    return index.spark.range(0, len(asked), 1, max(1, min(len(asked) // 64, 256))).mapInArrow(run, "qid long, pid int")
+    return index.spark.range(0, len(qids), 1, max(1, min(len(qids) // 64, 256))).mapInArrow(run, "qid long, pid int")
 
 
 def range_search(index: Index, queries: list[Query], radius: float, strict: bool = False) -> DataFrame:
     """All (qid, series_id, dist) with ``dist <= radius``; bounds spare partitions that cannot hold any."""
-    pids = index.tree.within_any(_means(queries, index.cfg), radius)
+    pids = index.tree.within_any(*_means(queries, index.cfg), radius)
     return _search(index.series(pids), queries, None, radius, None, strict, index.cfg)
 
 
 def range_report(index: Index, queries: list[Query], radius: float) -> DataFrame:
     """(qid, blocks, internal_nodes, terminal_nodes): partitions read, and local nodes whose path stays within the radius."""
     cfg = index.cfg
-    asked = [(q.qid, *m) for q, m in zip(queries, _means(queries, cfg), strict=True)]
+    qids, (low, high) = np.array([q.qid for q in queries], np.int64), _means(queries, cfg)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inner, outer = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+        inner, outer = np.zeros(len(qids), np.int64), np.zeros(len(qids), np.int64)
         for part in parts:
             lo, hi = boxes(part.column(0).to_pylist(), cfg)
             leaf = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for i, (_, lower, upper) in enumerate(asked):
-                inside = bounds_to(lo, hi, lower, upper, cfg) <= radius
+            for i in range(len(qids)):
+                inside = bounds_to(lo, hi, low[i], high[i], cfg) <= radius
                 n, leaves = np.count_nonzero(inside), np.count_nonzero(inside & leaf)
                 inner[i] += n - leaves
                 outer[i] += leaves
-        yield pa.RecordBatch.from_arrays([pa.array([q for q, *_ in asked], pa.int64()), pa.array(inner), pa.array(outer)], ["qid", "inner", "outer"])
+        yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(inner), pa.array(outer)], ["qid", "inner", "outer"])
 
     # bounds grow down a path, so a node within the radius has all its ancestors there, its partition's leaf among them; a root is as near as its partition
     nodes = index.nodes()

@@ -116,11 +116,11 @@ class GlobalIndex:
         lo, hi, pids = self.boxes()
         return sorted({*np.unique(pids[bounds_to(lo, hi, lower, upper, self.cfg) <= radius]).tolist(), self.overflow})
 
-    def within_any(self, means: list[tuple[np.ndarray, np.ndarray]], radius: float) -> list[int]:
-        """Partitions within the radius of one or more of (lower, upper), and the overflow."""
+    def within_any(self, lowers: np.ndarray, uppers: np.ndarray, radius: float) -> list[int]:
+        """Partitions within the radius of one or more queries (rows), and the overflow."""
         lo, hi, pids = self.boxes()
         left = np.ones(len(pids), bool)
-        for lower, upper in means:
+        for lower, upper in zip(lowers, uppers, strict=True):
             at = np.flatnonzero(left)
             if not len(at):
                 break

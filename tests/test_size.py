@@ -1,5 +1,6 @@
 """What only larger tables show: identifiers that meet, plans of many queries, sums in another order."""
 
+import datetime
 import tracemalloc
 
 import numpy as np
@@ -69,3 +70,12 @@ def test_i12_partitions_are_found_in_tasks(many):
         got.setdefault(r.qid, []).append(r.pid)
     assert {q: sorted(p) for q, p in got.items()} == {q: list(p) for q, p in search.plan_range(index, asked[:60], queries.RADIUS).items()}
     assert found.count() == 100 * sum(len(p) for p in search.plan_range(index, asked[:30], queries.RADIUS).values())
+
+
+def test_q11_visits_are_counted_in_tasks(many):
+    index, asked = many
+    peak, report = held(lambda: search.range_report(index, asked, queries.RADIUS))
+    assert peak < 6
+    got = {r.qid: r for r in report.collect()}
+    plan = search.plan_range(index, asked[:30], queries.RADIUS)
+    assert sorted(got) == list(range(3000)) and all(got[q].blocks == len(plan[q % 30]) for q in got)
