@@ -16,7 +16,7 @@ import tempfile
 import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 log = logging.getLogger("seriesloom")
@@ -154,13 +154,18 @@ def from_embeddings(rows: DataFrame) -> DataFrame:
 
 def from_events(events: DataFrame, days: int | None = 30, start: str | None = "2024-01-01") -> DataFrame:
     """A series of daily sums per user from the ``events`` table; days without events count 0. Without ``start`` and ``days``
-    the range is that of the data; events outside a given range are left out and counted by :func:`outside`."""
+    the range is that of the data; events outside a given range are left out and counted by :func:`outside`. A day's values are
+    added one after another in order of the events' identifiers, as the last bits of a sum, and with them symbols, depend on the order."""
     if start is None or days is None:
         seen = events.agg(F.min(F.to_date("ts")).alias("low"), F.max(F.to_date("ts")).alias("high")).first()
         start = start or str(seen.low)
         days = days or (0 if seen.high is None else (seen.high - date.fromisoformat(start)).days + 1)
     day = F.datediff(F.to_date("ts"), F.lit(start))
-    sums = events.where(day.between(0, days - 1)).groupBy("user_id", day.alias("day")).agg(F.sum("value").alias("s"))
+    order = [c for c in ("event_id", "ts", "value") if c in events.columns]
+    so_far = Window.partitionBy("user_id", "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = events.where(day.between(0, days - 1)).select("user_id", day.alias("day"), *order)
+    running = rows.select("user_id", "day", F.sum("value").over(so_far).alias("s"), F.row_number().over(so_far).alias("n"))
+    sums = running.groupBy("user_id", "day").agg(F.max_by("s", "n").alias("s"))
     by_day = F.map_from_entries(F.collect_list(F.struct("day", "s")))
     filled = F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda d: F.coalesce(F.col("m")[d], F.lit(0.0)))
     return sums.groupBy("user_id").agg(by_day.alias("m")).select(F.col("user_id").alias("series_id"), filled.alias("values"))

@@ -79,3 +79,29 @@ def test_q11_visits_are_counted_in_tasks(many):
     got = {r.qid: r for r in report.collect()}
     plan = search.plan_range(index, asked[:30], queries.RADIUS)
     assert sorted(got) == list(range(3000)) and all(got[q].blocks == len(plan[q % 30]) for q in got)
+
+
+def test_a12_range_search_keeps_no_plan_of_pairs(many):
+    index, asked = many
+    peak, found = held(lambda: search.range_search(index, asked, 100.0))
+    assert peak < 2.5
+    assert found.count() == 3000 * index.series().count()
+
+
+def test_t7_sums_follow_the_order_of_events(spark):
+    """Values whose sum, 500 or the double below it, depends on the order; files hold the events backwards."""
+    cents = np.random.default_rng(3).integers(1, 20000, (20000, 2))
+    triples = [(a / 100, b / 100, (50000 - a - b) / 100) for a, b in cents.tolist()]
+    odd = [(a, b, c) for a, b, c in triples if c > 0 and min((a + b) + c, (c + b) + a) < max((a + b) + c, (c + b) + a) == 500.0][:50]
+    assert len(odd) == 50
+    at = datetime.datetime(2024, 1, 2, tzinfo=datetime.UTC)
+    events = [(3 * u + i, at, u, x) for u, t in enumerate(odd) for i, x in enumerate(t)]
+    made = lambda part: spark.createDataFrame(part, "event_id long, ts timestamp, user_id long, value double").coalesce(1)
+    root = storage.scratch(spark, "events")
+    made(events).write.parquet(f"{root}/ordered")
+    for i in (2, 1, 0):
+        made([e for e in events if e[0] % 3 == i]).write.mode("append").parquet(f"{root}/events.parquet")
+    made(sorted(events, reverse=True)).write.parquet(f"{root}/back/events.parquet")
+    _, expected = duck_rows(queries.ORACLE_SQL["t7_t13_words_and_back"], {"events": f"{root.removeprefix('file://')}/ordered/*.parquet"})
+    for where in (root, f"{root}/back"):
+        assert rows(queries.QUERIES["t7_t13_words_and_back"](spark, where)) == expected
