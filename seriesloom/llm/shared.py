@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -119,6 +120,14 @@ def release() -> None:
         pass
 
 
+def settle(spark: SparkSession) -> None:
+    """Give back what the driver has freed: its JVM's heap and the classes of earlier plans, which go in a full collection
+    only, and what its Python holds."""
+    gc.collect()
+    spark._jvm.System.gc()
+    release()
+
+
 def unique_name(prefix: str, suffix: str) -> str:
     """A file name for this task attempt."""
     from pyspark import TaskContext
